@@ -5,8 +5,8 @@ shared by all thresholds t_0 <= t_1 <= t_2. The score is the expected grade.
 
 Features are whole words and word beginnings, chosen on a bounded sample of
 labelled documents by their association with the label. Where labels only tell
-toxic from not, the grades of toxic documents are thirds of how densely the
-chosen features occur in them.
+toxic from not, the grades of toxic documents are thirds of the amount of
+chosen features in them (the sum of log counts), which shared weights can order.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ class Model:
         for piece in _slices(text or ""):
             words += len(piece)
             known = self.known
-            if new := set(piece) - known.keys():
+            if new := {w for w in piece if w not in known}:
                 if len(known) + len(new) > CACHED_WORDS:
                     known.clear()
                     new = set(piece)
@@ -159,10 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x, y = np.zeros((len(rows), len(chosen))), np.array([r["toxic"] for r in rows])
     for i, r in enumerate(rows):
         x[i, r["found"]] = np.log1p(r["n"])
-    density = np.array([sum(r["n"]) / max(1, r["words"]) for r in rows])
+    amount = x.sum(1)
     if y.any():
-        edges = np.quantile(density[y == 1], np.arange(1, GRADES) / GRADES)
-        y = np.where(y == 1, 1 + np.searchsorted(edges, density, side="right"), 0)
+        edges = np.quantile(amount[y == 1], np.arange(1, GRADES) / GRADES)
+        y = np.where(y == 1, 1 + np.searchsorted(edges, amount, side="right"), 0)
     model.weights, model.thresholds = fit_ordinal(x, y)
     return model
 
