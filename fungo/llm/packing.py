@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 #: Expected documents in a packing group; token ids held for words seen before.
-GROUP_DOCS, CACHED_WORDS = 8_000, 400_000
+GROUP_DOCS, CACHED_WORDS = 8_000, 1_200_000
 SLICE_CHARS = 1 << 20
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -39,37 +39,55 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Ids of blank-separated pieces, worked out on first use; a bounded cache of two generations."""
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.encode, self.older = tokenizer.encode, {}
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.older.get(w)
+        if ids is None:
+            if w[-1] in ".," and w[-2:-1].isalpha():
+                ids = self[w[:-1]] + self[w[-1]]
+            elif w.isascii() and w.isalpha() and not w.islower():
+                ids = self[w.lower()]
+            else:
+                ids = np.array(self.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        self[w] = ids
+        return ids
+
+    def trim(self) -> None:
+        """What has been used lately stays known for another generation."""
+        if len(self) > CACHED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+            self[""] = b""
+
+
 class WordEncoder:
     """Token ids of whole texts, one piece between blanks at a time.
 
     White space ends a word for this kind of tokenizer, so a text's ids are the
-    ids of its pieces in a row; pieces met before come from a bounded cache.
+    ids of its pieces in a row; so are those of letters and a full stop or comma
+    after them, and case makes no difference.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.known = _Words(Tokenizer.from_file(path))
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         out, at = [], 0
+        self.known.trim()
         while at < len(text):
             end = len(text) if at + SLICE_CHARS >= len(text) else text.find(" ", at + SLICE_CHARS)
             end = len(text) if end < 0 else end
-            words = text[at:end].replace("\n", " ").split(" ")
-            known = self.known
-            if new := [w for w in set(words) if w not in known]:
-                if len(known) + len(new) > CACHED_WORDS:
-                    known.clear()
-                    known[""] = b""
-                    new = list(set(words) - {""})
-                for i in range(0, len(new), 10_000):
-                    some = new[i : i + 10_000]
-                    for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join([known[w] for w in words]))
+            out.append(b"".join(map(self.known.__getitem__, text[at:end].replace("\n", " ").split(" "))))
             at = end
         return b"".join(out)
 
