@@ -54,3 +54,18 @@ def drop_staged(df: DataFrame) -> None:
 def share(col: Column, salt: str) -> Column:
     """A number in [0, 1) that depends only on the value and the salt."""
     return (F.pmod(F.xxhash64(F.lit(salt), col.cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))).cast("double")
+
+
+def split_hot(rows: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
+    """``rows`` for pairwise work inside each key, with columns bi, bj and side.
+
+    A key of up to ``block`` rows is one group (0, 0). A larger one is cut into
+    blocks by a hash of the id, and each pair of blocks is a group of its own:
+    side 0 comes from block bi, side 1 from block bj, and within (b, b) all rows
+    pair with each other. Every pair of rows meets in exactly one group.
+    """
+    hot = stage(rows.groupBy(*keys).count().where(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot_keys")
+    own = F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int")
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("bi"), F.greatest(own, o).alias("bj"), (own > o).cast("int").alias("side")))
+    alone = F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side")))
+    return rows.join(hot, keys, "left").withColumn("to", F.explode(F.coalesce(to, alone))).select(*rows.columns, "to.*")
