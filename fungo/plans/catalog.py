@@ -2,5 +2,20 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fungo.sources.views import Tables, with_views
+
+from . import display
+
+MODULES = (display,)
+
+
+def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(Tables(spark, sf_dir))
+
+
+QUERIES = {name: _query(plan[0]) for m in MODULES for name, plan in m.PLANS.items()}
+ORACLES = {name: with_views(plan[1]) for m in MODULES for name, plan in m.PLANS.items() if plan[1]}
