@@ -105,8 +105,12 @@ def eastern_day(ts: Column) -> Column:
 
 
 def step_bucket(value: Column, base: float, step: float) -> Column:
-    """floor((value - base) / step); unknown values fall into bucket 0."""
-    return F.floor(F.coalesce(value - base, F.lit(0.0)) / step).cast("int")
+    """floor((value - base) / step); unknown values fall into bucket 0.
+
+    The quotient is rounded to nine places first, so that the order of a sum
+    does not move a value across an edge.
+    """
+    return F.floor(F.round(F.coalesce(value - base, F.lit(0.0)) / step, 9)).cast("int")
 
 
 def near_bucket(value: Column, base: float, step: float, most: int = 2) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fungo.sources.views import Tables, with_views
 
-from . import display
+from . import display, training
 
-MODULES = (display,)
+MODULES = (display, training)
 
 
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
