@@ -70,13 +70,19 @@ def win_profit(price: Column, units: Column) -> Column:
     return F.round(F.when(p > 0, units * p / 100).when(p < 0, units * 100 / -p).otherwise(units), 3)
 
 
+# The five-term polynomial for the normal tail (Abramowitz and Stegun 26.2.17).
+TAIL_SLOPE, TAIL_DENSITY = 0.2316419, 0.3989423
+TAIL_TERMS = (0.3193815, -0.3565638, 1.781478, -1.821256, 1.330274)
+
+
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution by the five-term rational polynomial of Abramowitz and Stegun 7.1.26."""
-    z = F.abs(x) / F.lit(2.0) ** 0.5
-    t = 1 / (1 + 0.3275911 * z)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1 - poly * F.exp(-z * z)
-    return F.when(x >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
+    """Standard normal distribution, by the tail polynomial."""
+    t = 1 / (1 + TAIL_SLOPE * F.abs(x))
+    poly = F.lit(0.0)
+    for c in reversed(TAIL_TERMS):
+        poly = t * (c + poly)
+    tail = TAIL_DENSITY * F.exp(-x * x / 2) * poly
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
 def blend(value: Column, league: Column | float, n: Column, k: float) -> Column:

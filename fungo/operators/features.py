@@ -23,11 +23,12 @@ def form_spine(events: DataFrame, entity: str, day: str, measures: Mapping[str,
     """Trailing means of each measure for every (entity, day), the day itself left out.
 
     Events are summed to (entity, day) first, so windows run over days and a
-    busy entity costs no more than its days. Means are weighted by events.
+    busy entity costs no more than its days. Means are weighted by events; a
+    day's mean is kept to nine decimals, so that sums do not depend on order.
     ``null_safe`` weighs a measure by the events that have it; without it a day
     without the measure still counts in the divisor.
     """
-    daily = events.groupBy(entity, day).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{k}") for k, c in measures.items()), *(F.count(c).alias(f"n_{k}") for k, c in measures.items()))
+    daily = events.groupBy(entity, day).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 9).cast("decimal(18,9)").alias(f"m_{k}") for k, c in measures.items()), *(F.count(c).alias(f"n_{k}") for k, c in measures.items()))
     order = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
     w = Window.partitionBy(entity).orderBy(order)
     out: list[Column] = [F.col(entity), F.col(day)]
@@ -36,7 +37,7 @@ def form_spine(events: DataFrame, entity: str, day: str, measures: Mapping[str,
         out.append(F.coalesce(F.sum("n").over(frame), F.lit(0)).alias(f"{name}_n"))
         for k in measures:
             weight = F.col(f"n_{k}") if null_safe else F.col("n")
-            out.append(F.try_divide(F.sum(F.col(f"m_{k}") * F.col("n" if not null_safe else f"n_{k}")).over(frame), F.nullif(F.sum(weight).over(frame), F.lit(0)).cast("double")).alias(f"{name}_{k}"))
+            out.append(F.try_divide(F.sum(F.col(f"m_{k}") * weight.cast("decimal(12,0)")).over(frame).cast("double"), F.nullif(F.sum(weight).over(frame), F.lit(0)).cast("double")).alias(f"{name}_{k}"))
     return daily.select(*out)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fungo.sources.views import Tables, with_views
 
-from . import display, training
+from . import display, grading, training
 
-MODULES = (display, training)
+MODULES = (display, training, grading)
 
 
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

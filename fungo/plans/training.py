@@ -8,11 +8,11 @@ from fungo.operators import features as X
 
 
 def _spine_sql(table: str, measures: dict[str, str]) -> str:
-    daily = ", ".join(f"avg({v}) as {k}" for k, v in measures.items())
+    daily = ", ".join(f"cast(round(avg({v}), 9) as decimal(18, 9)) as {k}" for k, v in measures.items())
     cols = []
     for w in X.WINDOWS:
         cols.append(f"coalesce(sum(n) over {w}, 0) as {w}_n")
-        cols += [f"sum({k} * n) over {w} / nullif(sum(n) over {w}, 0) as {w}_{k}" for k in measures]
+        cols += [f"cast(sum({k} * cast(n as decimal(12, 0))) over {w} as double) / nullif(sum(n) over {w}, 0) as {w}_{k}" for k in measures]
     frames = ", ".join(f"{w} as (partition by pitcher_id order by game_date range between {'unbounded' if d is None else f'interval {d} days'} preceding and interval 1 day preceding)" for w, d in X.WINDOWS.items())
     return f"select pitcher_id, game_date, {', '.join(cols)} from (select pitcher_id, game_date, count(*) as n, {daily} from {table} group by 1, 2) window {frames}"
 
@@ -22,11 +22,11 @@ _PA = _spine_sql("at_bats_v", {"k_rate": "case when result = 'strikeout' then 1.
 
 
 def _rounded(sql: str, columns: list[str]) -> str:
-    return f"select * replace ({', '.join(f'round({c}, 8) as {c}' for c in columns)}) from ({sql})"
+    return f"select * replace ({', '.join(f'round({c}, 9) as {c}' for c in columns)}) from ({sql})"
 
 
 def _spine(df, measures: list[str]):
-    return df.withColumns({f"{w}_{m}": F.round(f"{w}_{m}", 8) for w in X.WINDOWS for m in measures}).withColumns({f"{w}_n": F.col(f"{w}_n").cast("long") for w in X.WINDOWS})
+    return df.withColumns({f"{w}_{m}": F.round(f"{w}_{m}", 9) for w in X.WINDOWS for m in measures}).withColumns({f"{w}_n": F.col(f"{w}_n").cast("long") for w in X.WINDOWS})
 
 
 def _cells_sql(table: str, spine: str, keys: str, feature: str, base: float, step: float, bucket: str, extra: str = "", where: str = "") -> str:

@@ -58,7 +58,7 @@ select game_pk * 1000 + at_bat_index * 20 + pitch_number * 2 + m.mid as id, game
       else case when (game_pk + at_bat_index) % 2 = 0 then 'over' else 'under' end end as recommendation,
  case when m.mid = 1 then 90.5 else null end as line,
  case cast(game_pk % 3 as int) when 0 then -110 when 1 then 120 else null end as price,
- round(0.4 + ((game_pk + pitch_number) % 50) / 100.0, 4) as confidence,
+ round(cast(0.4 as double) + ((game_pk + pitch_number) % 50) / cast(100 as double), 4) as confidence,
  case when game_pk % 5 = 0 then 'v1' else 'v2' end as model_version,
  (game_pk + pitch_number) % 11 = 0 as backfilled
 from pitches_v cross join (select 0 as mid, 'pitch_result' as market union all select 1, 'pitch_speed_ou') m
