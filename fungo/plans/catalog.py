@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fungo.sources.views import Tables, with_views
 
-from . import display, grading, training
+from . import display, grading, quality, training
 
-MODULES = (display, training, grading)
+MODULES = (display, training, grading, quality)
 
 
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

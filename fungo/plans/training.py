@@ -21,12 +21,8 @@ _PITCH = _spine_sql("pitches_v", {"zone_rate": "case when zone between 1 and 9 t
 _PA = _spine_sql("at_bats_v", {"k_rate": "case when result = 'strikeout' then 1.0 else 0.0 end"})
 
 
-def _rounded(sql: str, columns: list[str]) -> str:
-    return f"select * replace ({', '.join(f'round({c}, 9) as {c}' for c in columns)}) from ({sql})"
-
-
-def _spine(df, measures: list[str]):
-    return df.withColumns({f"{w}_{m}": F.round(f"{w}_{m}", 9) for w in X.WINDOWS for m in measures}).withColumns({f"{w}_n": F.col(f"{w}_n").cast("long") for w in X.WINDOWS})
+def _spine(df):
+    return df.withColumns({f"{w}_n": F.col(f"{w}_n").cast("long") for w in X.WINDOWS})
 
 
 def _cells_sql(table: str, spine: str, keys: str, feature: str, base: float, step: float, bucket: str, extra: str = "", where: str = "") -> str:
@@ -42,8 +38,8 @@ _SWUNG = "(description in ('swinging_strike','foul') or result_category = 'in_pl
 _LAGGED = "select *, coalesce(lag(balls) over w, 0) as pre_balls, coalesce(lag(strikes) over w, 0) as pre_strikes from {} window w as (partition by game_pk, at_bat_index order by pitch_number)"
 
 PLANS = {
-    "w1_form_spine": (lambda t: _spine(X.pitch_spine(t.pitches), ["zone_rate", "velo"]), _rounded(_PITCH, [f"{w}_{m}" for w in X.WINDOWS for m in ("zone_rate", "velo")])),
-    "w2_form_spine_pa": (lambda t: _spine(X.at_bat_spine(t.at_bats), ["k_rate"]), _rounded(_PA, [f"{w}_k_rate" for w in X.WINDOWS])),
+    "w1_form_spine": (lambda t: _spine(X.pitch_spine(t.pitches)), _PITCH),
+    "w2_form_spine_pa": (lambda t: _spine(X.at_bat_spine(t.at_bats)), _PA),
     "w3_count_before_pitch": (
         lambda t: X.count_before_pitch(t.pitches).select("game_pk", "at_bat_index", "pitch_number", "pre_balls", "pre_strikes"),
         f"select game_pk, at_bat_index, pitch_number, pre_balls, pre_strikes from ({_LAGGED.format('pitches_v')})",
