@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fungo.sources.views import Tables, with_views
 
-from . import display, grading, quality, training
+from . import display, grading, market, quality, training
 
-MODULES = (display, training, grading, quality)
+MODULES = (display, training, grading, quality, market)
 
 
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
