@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Call codes of the feed and what they describe.
 CALL_CODES = {
@@ -21,7 +20,7 @@ HITS = ("single", "double", "triple", "home_run")
 
 _ID = "struct<id:bigint>"
 _CODE = "struct<code:string>"
-PLAYS = T._parse_datatype_string(
+PLAYS = (
     "struct<allPlays:array<struct<"
     "result:struct<eventType:string,event:string,homeScore:int,awayScore:int,rbi:int>,"
     "about:struct<atBatIndex:int,inning:int,isTopInning:boolean,isScoringPlay:boolean>,"
