@@ -82,7 +82,7 @@ def with_copies(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 2,
     leaf gets; rows that repeat are drawn each; among rows with equal order the
     shorter comes first. An empty table gives no row.
     """
-    weights = weights or {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
+    weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
     tagged = docs.withColumns({
         "__domain": F.coalesce(domain if domain is not None else default_domain(F.col(source_col)), F.lit("none")),
         "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("none")),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import small_batches, stage
 
 # Fixed patterns of the base scan. Minimum lengths are checked after the match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -162,6 +162,7 @@ SCAN_SCHEMA = "doc_id long, base array<struct<start: long, kind: int, end: long>
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans and tested tokens of each row, staged."""
+    small_batches(docs.sparkSession)
     return stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, SCAN_SCHEMA), "secret_scan")
 
 
@@ -192,6 +193,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _equals(value: int):
+    return lambda x: x == value
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
@@ -200,7 +205,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives no row. Other columns are not read.
     """
     scanned = scan(docs, id_col, text_col)
-    of_kind = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    of_kind = [F.size(F.filter("base.kind", _equals(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     spans = F.concat("base", _accepted(thresholds(scanned, fdr)))
     return scanned.select("doc_id", *of_kind, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
@@ -210,6 +215,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr:
 
     The length column, where the table has it, is set anew for changed texts.
     """
+    small_batches(docs.sparkSession)
     limits = thresholds(scan(docs, id_col, text_col), fdr)
 
     @F.pandas_udf("string")

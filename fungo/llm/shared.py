@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Partitions of this many rows at least are worth a task of their own when ids and codes are dealt out.
-ROWS_PER_TASK = 20_000
+#: Rows handed to Python at once by the operators that read whole texts.
+TEXTS_AT_ONCE = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python a few hundred at a time, where the session still has Spark's default.
+
+    A batch of the default 10,000 rows can hold most of an executor's memory
+    once documents are long.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXTS_AT_ONCE))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fungo/{name}-{uuid.uuid4().hex}"
 
