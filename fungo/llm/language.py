@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import share
+from .shared import share, small_batches
 
 #: Hash buckets of n-grams, and the longest n-gram.
 BUCKETS, LONGEST = 1 << 15, 3
@@ -187,6 +187,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     nothing can be trained on. Equal texts get equal predictions; an empty table
     gives no row. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
     model = train(rows.where(~held), F.col("doc_id"), **how)

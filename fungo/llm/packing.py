@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import small_batches, stage
 
 #: Expected documents in a packing group; token ids held for words seen before.
-GROUP_DOCS, CACHED_WORDS = 8_000, 1_200_000
+GROUP_DOCS, CACHED_WORDS = 8_000, 700_000
 SLICE_CHARS = 1 << 20
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -186,6 +186,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     end id alone. Repeated rows are packed each; null ids stay null; an empty
     table gives no row. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     n = docs.count()
     groups = max(1, -(-n // group_docs))
     made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer or tokenizer_path(), size, end_id), PIECE_SCHEMA)

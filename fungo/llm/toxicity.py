@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import share
+from .shared import share, small_batches
 
 #: Bounds: labelled documents of each class in the sample, features of the model, and grades above zero.
 SAMPLE_EACH, FEATURES, GRADES = 1_500, 1_000, 3
 BEGINNINGS = (4, 5, 6, 7)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 SLICE = 1 << 20
 
 
@@ -132,6 +132,7 @@ def _counted(model: Model):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_each: int = SAMPLE_EACH, features: int = FEATURES) -> Model:
     """Fit on at most about ``sample_each`` labelled documents of each class. Null labels are not used."""
+    small_batches(docs.sparkSession)
     told = labels.select(F.col(id_col).alias("__label_id"), F.col(label_col).cast("boolean").cast("long").alias("toxic")).where("__label_id is not null and toxic is not null")
     sizes = {r["toxic"]: r["n"] for r in told.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
