@@ -158,3 +158,56 @@ def scoring_context(pitches: DataFrame, pitcher_stats: DataFrame, batter_stats:
     p = pitcher_stats.select("pitcher_id", F.col("sample_pitches").alias("p_pitches"), F.col("sample_abs").alias("p_abs"), *(F.col(c).alias(f"p_{c}") for c in ("zone_rate", "whiff_rate", "k_rate", "bb_rate")), F.lit(None).cast("double").alias("p_velo"))
     b = batter_stats.select("batter_id", F.col("sample_abs").alias("b_abs"), *(F.col(c).alias(f"b_{c}") for c in ("chase_rate", "contact_rate", "k_rate", "bb_rate")))
     return pitches.withColumn("pitch_count_pa", F.col("pitch_number") - 1).join(p, "pitcher_id", "left").join(b, "batter_id", "left")
+
+
+# League runs a team and game, and how starters and weather move runs.
+LEAGUE_RUNS = 4.4
+
+
+def _held(x: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+
+
+def starter_factor(k_rate: Column, bb_rate: Column, pa: Column) -> Column:
+    """What a starter does to the runs of the other side; 1 where nothing is known of them."""
+    n = F.coalesce(pa, F.lit(0))
+    k, bb = P.blend(k_rate, LEAGUE_PA["strikeout"], n, 200.0), P.blend(bb_rate, LEAGUE_PA["walk"], n, 200.0)
+    raw = 1 - 1.6 * (k - LEAGUE_PA["strikeout"]) + 1.1 * (bb - LEAGUE_PA["walk"])
+    return F.when(pa.isNull(), 1.0).otherwise(_held(1 + 0.6 * (raw - 1), 0.78, 1.22))
+
+
+def weather_factor(temp_f: Column, wind_mph: Column, wind_direction: Column) -> Column:
+    """Warm air and wind out add runs, wind in takes some; unknown weather does nothing."""
+    warm = F.coalesce(_held(1 + 0.004 * (temp_f - 70), 0.94, 1.08), F.lit(1.0))
+    to, mph = F.lower(F.coalesce(wind_direction, F.lit(""))), F.coalesce(wind_mph, F.lit(0)).cast("double")
+    wind = F.when((mph > 0) & to.contains("out"), _held(1 + 0.006 * mph, 1.0, 1.10)).when((mph > 0) & to.contains("in"), _held(1 - 0.005 * mph, 0.92, 1.0)).otherwise(1.0)
+    return warm * wind
+
+
+def game_totals(games: DataFrame, rates: DataFrame, parks: DataFrame) -> DataFrame:
+    """Expected runs of each game from both teams' rates, the park and the weather, and their deviation."""
+    side = lambda s: rates.select(F.col("team_id").alias(f"{s}_team_id"), F.col("rs_pg").alias(f"{s}_rs"), F.col("ra_pg").alias(f"{s}_ra"), F.col("games").alias(f"{s}_n"))
+    g = games.join(side("home"), "home_team_id", "left").join(side("away"), "away_team_id", "left").join(parks.select("venue_id", "factor"), "venue_id", "left")
+    have = {c: F.col(c) if c in games.columns else F.lit(None) for c in ("temp_f", "wind_mph", "wind_direction")}
+    n = F.least(F.coalesce("home_n", F.lit(0)), F.coalesce("away_n", F.lit(0)))
+    part = lambda c: P.blend(F.col(c), LEAGUE_RUNS, n, 40.0)
+    runs = (part("home_rs") + part("away_ra")) / 2 + (part("away_rs") + part("home_ra")) / 2
+    park = F.coalesce(_held(F.col("factor"), 0.85, 1.18), F.lit(1.0))
+    mu = _held(runs * park * weather_factor(have["temp_f"].cast("double"), have["wind_mph"].cast("double"), have["wind_direction"].cast("string")), 4.5, 14.0)
+    return g.select("game_pk", n.cast("long").alias("sample_games"), mu.alias("mu")).withColumn("sigma", F.greatest(F.lit(3.0), F.sqrt(2 * F.col("mu"))))
+
+
+def pending_positions(pitches: DataFrame, done: DataFrame, open_pa: DataFrame, lookback: int = 4) -> DataFrame:
+    """Positions of the latest plate appearances that still lack a call.
+
+    Position k is a call after k pitches. A finished plate appearance has one
+    for each pitch thrown; an open one also has its forward position. Open
+    plate appearances (game_pk, at_bat_index) may have no pitch yet.
+    """
+    thrown = pitches.groupBy("game_pk", "at_bat_index").agg(F.count("pitch_number").alias("n"))
+    both = thrown.join(open_pa.select("game_pk", "at_bat_index", F.lit(True).alias("open")), ["game_pk", "at_bat_index"], "full")
+    newest = both.groupBy("game_pk").agg(F.max("at_bat_index").alias("newest"))
+    live = both.join(newest, "game_pk").where(F.col("at_bat_index") > F.col("newest") - lookback)
+    last = F.coalesce("n", F.lit(0)) - F.when(F.col("open"), 0).otherwise(1)
+    todo = live.withColumn("last", last).where("last >= 0").select("game_pk", "at_bat_index", F.coalesce("open", F.lit(False)).alias("open"), F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("pitch_number"))
+    return todo.join(done.select("game_pk", "at_bat_index", F.col("pitch_number").cast("int").alias("pitch_number")).distinct(), ["game_pk", "at_bat_index", "pitch_number"], "left_anti")

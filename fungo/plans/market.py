@@ -109,6 +109,25 @@ PLANS = {
         lambda t: (lambda ctx, ms: ctx.withColumn("mu", F.round(ms[0], 2)).withColumn("line", F.floor(F.col("mu") * 2 + 0.5) / 2).withColumns(R.over_line(F.col("mu"), ms[1], F.col("line"))).select(*_KEY, "mu", "line", "recommendation", "confidence", "edge"))(_context(t), R.pitch_speed()),
         f"with {_CTX}, m as (select *, round(92.8::double - 2.2 - case when strikes = 2 then 0.4 else 0.0 end + case when balls = 3 then 0.3 else 0.0 end, 2) as mu from ctx), l as (select *, floor(mu * 2 + 0.5) / 2 as line from m), o as (select *, 1 - {_cdf('((line - mu) / 5.4::double)')} as ov from l) select game_pk, at_bat_index, pitch_number, mu, line, case when ov >= 0.5 then 'over' else 'under' end as recommendation, round(greatest(ov, 1 - ov), 4) as confidence, round(greatest(ov, 1 - ov) - 0.5, 4) as edge from o",
     ),
+    "r5_game_totals": (
+        lambda t: R.game_totals(t.games.where(F.col("season") == SEASON), A.team_run_rates(t.games, SEASON), A.park_factors(t.games)).select("game_pk", "sample_games", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma")),
+        f"""
+with {_WINS}, tr as (select team_id, count(*) as n, round(avg(rs), 3) as rs, round(avg(ra), 3) as ra from s group by 1),
+ sc as (select venue_id, home_score + away_score as runs from games_v), pl as (select avg(runs) as m from sc), pv as (select venue_id, count(*) as g, avg(runs) as r from sc group by 1),
+ pf as (select venue_id, round(1 + (r / nullif(m, 0) - 1) * (g / (g + 200)), 4) as factor from pv cross join pl),
+ j as (select g.game_pk, g.temp_f, factor, least(coalesce(h.n, 0), coalesce(a.n, 0)) as n, h.rs as hrs, h.ra as hra, a.rs as ars, a.ra as ara from games_v g left join tr h on h.team_id = home_team_id left join tr a on a.team_id = away_team_id left join pf on pf.venue_id = g.venue_id where season = {SEASON}),
+ e as (select game_pk, n, temp_f, factor, ({_blend_sql('hrs', 4.4, 'n', 40.0)} + {_blend_sql('ara', 4.4, 'n', 40.0)}) / 2 + ({_blend_sql('ars', 4.4, 'n', 40.0)} + {_blend_sql('hra', 4.4, 'n', 40.0)}) / 2 as runs from j),
+ m as (select game_pk, n, least(14.0, greatest(4.5, runs * coalesce(least(1.18, greatest(0.85, factor)), 1.0) * coalesce(least(1.08, greatest(0.94, 1 + 0.004::double * (temp_f - 70))), 1.0))) as mu from e)
+select game_pk, n as sample_games, round(mu, 6) as mu, round(greatest(3.0, sqrt(2 * mu)), 6) as sigma from m""",
+    ),
+    "r15_pending_positions": (
+        lambda t: R.pending_positions(t.pitches, t.predictions.where("market = 'pitch_result'"), t.pitches.groupBy("game_pk").agg((F.max("at_bat_index") + 1).alias("at_bat_index")).where("game_pk % 3 = 0"), 2),
+        """
+with o as (select game_pk, max(at_bat_index) + 1 as at_bat_index from pitches_v where game_pk % 3 = 0 group by 1),
+ th as (select game_pk, at_bat_index, count(*) - 1 as last, false as open from pitches_v group by 1, 2 union all select game_pk, at_bat_index, 0, true from o),
+ nw as (select *, max(at_bat_index) over (partition by game_pk) as newest from th), w as (select game_pk, at_bat_index, open, unnest(range(0, last + 1)) as k from nw where at_bat_index > newest - 2)
+select w.game_pk, w.at_bat_index, cast(w.k as int) as pitch_number, w.open from w where not exists (select 1 from predictions_v p where p.market = 'pitch_result' and p.game_pk = w.game_pk and p.at_bat_index = w.at_bat_index and p.pitch_number = w.k)""",
+    ),
     "n1_flatten_pitches": (
         lambda t: N.flatten_pitches(N.to_feed(t.pitches, t.at_bats)).select("game_pk", "at_bat_index", "pitch_number", "pitcher_id", "balls", "strikes", "home_score", "men_on_base", "pitch_of_game", "times_through_order", "description", "result_category", "start_speed", "zone", "inning"),
         """
