@@ -175,3 +175,19 @@ def verdicts(*checks: tuple[str, DataFrame, str]) -> DataFrame:
         r = rows.agg(F.lit(name).alias("check"), F.coalesce(F.max(rank(status)), F.lit(0)).alias("r"), F.count_if(F.col(status).isin("fail", "warn")).alias("evidence"))
         out = r if out is None else out.unionByName(r)
     return out.select("check", F.element_at(F.array(*(F.lit(s) for s in ("pass", "known", "warn", "fail"))), F.col("r") + 1).alias("status"), "evidence")
+
+
+def freshness(tables: Mapping[str, tuple[DataFrame, str]], as_of: Column, stale_hours: int = 36) -> DataFrame:
+    """Rows, newest instant and staleness of each named table (frame, time column)."""
+    out = None
+    for name, (df, ts) in tables.items():
+        r = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.max(F.col(ts).cast("timestamp")).alias("newest"))
+        out = r if out is None else out.unionByName(r)
+    hours = (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("newest")) / 3600
+    return out.withColumns({"age_hours": F.round(hours, 4), "stale": F.coalesce(hours > stale_hours, F.lit(True))})
+
+
+def job_health(runs: DataFrame, job: str, ok: Column, finished: str, as_of: Column) -> DataFrame:
+    """Last success of each job and the minutes since; null where a job never succeeded."""
+    g = runs.groupBy(F.col(job).alias("job")).agg(F.count("*").alias("runs"), F.count_if(ok).alias("successes"), F.max(F.when(ok, F.col(finished).cast("timestamp"))).alias("last_success"))
+    return g.withColumn("age_minutes", F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("last_success")) / 60).cast("long"))

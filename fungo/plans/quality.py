@@ -103,6 +103,14 @@ PLANS = {
         lambda t: t.base("events").where("ts < timestamp_ntz '2024-01-20 00:00:00' or (ts = timestamp_ntz '2024-01-20 00:00:00' and event_id < 0)").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(50),
         "select event_id, ts, event_type from events where ts < timestamp '2024-01-20 00:00:00' or (ts = timestamp '2024-01-20 00:00:00' and event_id < 0) order by ts desc, event_id desc limit 50",
     ),
+    "a27_freshness": (
+        lambda t: Q.freshness({"games": (t.games, "game_date"), "events": (t.base("events"), "ts")}, F.lit("2024-01-31 12:00:00")).select("table_name", "n_rows", "stale"),
+        "select 'games' as table_name, count(*) as n_rows, date_diff('second', max(game_date)::timestamp, timestamp '2024-01-31 12:00:00') > 36 * 3600 as stale from games_v union all select 'events', count(*), date_diff('second', max(ts), timestamp '2024-01-31 12:00:00') > 36 * 3600 from events",
+    ),
+    "a28_job_health": (
+        lambda t: Q.job_health(t.base("events"), "event_type", F.col("value") > 20, "ts", F.lit("2024-02-01 00:00:00")).select("job", "runs", "successes", "age_minutes"),
+        "select event_type as job, count(*) as runs, count(*) filter (where value > 20) as successes, cast(floor((epoch(timestamp '2024-02-01 00:00:00') - floor(epoch(max(ts) filter (where value > 20)))) / 60) as bigint) as age_minutes from events group by 1",
+    ),
     "u2_distinct_keys": (
         lambda t: t.predictions.agg(F.count("*").alias("n"), F.countDistinct("game_pk", "at_bat_index", "pitch_number").alias("positions"), F.countDistinct("game_pk").alias("games")),
         "select count(*) as n, count(distinct (game_pk, at_bat_index, pitch_number)) as positions, count(distinct game_pk) as games from predictions_v",
