@@ -98,11 +98,11 @@ def confidence(n: Column, k: float) -> Column:
 
 
 def log5(home: Column, away: Column, advantage: float = 0.542) -> Column:
-    """Chance of the home side from two win shares, with home advantage in odds space; between .05 and .95."""
+    """Chance of the home side from two win shares, with home advantage in odds space; between .05 and .95, null if a share is."""
     h, a = F.greatest(F.lit(0.05), F.least(F.lit(0.95), home)), F.greatest(F.lit(0.05), F.least(F.lit(0.95), away))
     neutral = h * (1 - a) / (h * (1 - a) + a * (1 - h))
     odds = neutral / (1 - neutral) * (advantage / (1 - advantage))
-    return F.greatest(F.lit(0.05), F.least(F.lit(0.95), odds / (1 + odds)))
+    return F.when(home.isNotNull() & away.isNotNull(), F.greatest(F.lit(0.05), F.least(F.lit(0.95), odds / (1 + odds))))
 
 
 def eastern_day(ts: Column) -> Column:

@@ -18,7 +18,7 @@ fair as (select *, case when count(*) over w = 2 then round(implied_prob / sum(i
 _WINS = f"""
 s as (select home_team_id as team_id, home_score as rs, away_score as ra from games_v where season = {SEASON} and status like 'Final%' and game_type = 'R' union all select away_team_id, away_score, home_score from games_v where season = {SEASON} and status like 'Final%' and game_type = 'R'),
 wp as (select team_id, case when count(*) >= 10 then round(avg(case when rs > ra then 1.0 else 0.0 end), 4) end as pct from s group by 1),
-lg as (select game_pk, greatest(0.05, least(0.95, h.pct)) as h, greatest(0.05, least(0.95, a.pct)) as a from games_v g join wp h on h.team_id = home_team_id join wp a on a.team_id = away_team_id),
+lg as (select game_pk, greatest(0.05, least(0.95, h.pct)) as h, greatest(0.05, least(0.95, a.pct)) as a from games_v g join wp h on h.team_id = home_team_id join wp a on a.team_id = away_team_id where h.pct is not null and a.pct is not null),
 n5 as (select game_pk, h * (1 - a) / (h * (1 - a) + a * (1 - h)) as n from lg),
 l5 as (select game_pk, greatest(0.05, least(0.95, (n / (1 - n) * (0.542 / (1 - 0.542))) / (1 + n / (1 - n) * (0.542 / (1 - 0.542))))) as p_home from n5)"""
 _CDF = "case when {x} > 0 then 1 - {tail} else {tail} end"
@@ -79,7 +79,7 @@ PLANS = {
     ),
     "f16_log5_home_chance": (
         lambda t: A.season_win_share(t.games, SEASON).select(F.col("team_id").alias("home_team_id"), F.col("win_pct").alias("h")).crossJoin(F.broadcast(A.season_win_share(t.games, SEASON).select(F.col("team_id").alias("away_team_id"), F.col("win_pct").alias("a")))).select("home_team_id", "away_team_id", F.round(P.log5(F.col("h"), F.col("a")), 8).alias("p_home")),
-        f"with {_WINS}, c as (select h.team_id as home_team_id, a.team_id as away_team_id, greatest(0.05, least(0.95, h.pct)) as h, greatest(0.05, least(0.95, a.pct)) as a from wp h cross join wp a), m as (select *, h * (1 - a) / (h * (1 - a) + a * (1 - h)) as n from c) select home_team_id, away_team_id, round(greatest(0.05, least(0.95, (n / (1 - n) * (0.542 / (1 - 0.542))) / (1 + n / (1 - n) * (0.542 / (1 - 0.542))))), 8) as p_home from m",
+        f"with {_WINS}, c as (select h.team_id as home_team_id, a.team_id as away_team_id, case when h.pct is not null and a.pct is not null then greatest(0.05, least(0.95, h.pct)) end as h, greatest(0.05, least(0.95, a.pct)) as a from wp h cross join wp a), m as (select *, h * (1 - a) / (h * (1 - a) + a * (1 - h)) as n from c) select home_team_id, away_team_id, case when n is not null then round(greatest(0.05, least(0.95, (n / (1 - n) * (0.542 / (1 - 0.542))) / (1 + n / (1 - n) * (0.542 / (1 - 0.542))))), 8) end as p_home from m",
     ),
     "r13_moneyline_picks": (
         lambda t: R.moneyline_picks(_quotes(t), t.games, A.season_win_share(t.games, SEASON)),
