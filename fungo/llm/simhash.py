@@ -232,6 +232,15 @@ def links(codes: DataFrame, budget: int = 3, task_fingerprints: int = TASK_FINGE
     return out
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, budget: int, width: int, seed: int, task_fingerprints: int, **more: Column) -> DataFrame:
+    """doc_id, code and the root of its component for each row, and the columns ``more``."""
+    small_batches(docs.sparkSession)
+    prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width, seed).alias("code"), *(c.alias(n) for n, c in more.items())), "fingerprints")
+    forest = links(prints.select("code").distinct(), budget, task_fingerprints)
+    roots = stage(connected_components(forest), "roots")
+    return prints.join(roots, prints["code"] == roots["node"], "left").select("doc_id", "code", F.coalesce("root", "code").alias("root"), *more)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 3, seed: int = 42, task_fingerprints: int = TASK_FINGERPRINTS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -240,16 +249,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id is kept and never a component's name while an id is there; an
     empty table gives an empty result. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width, seed).alias("code")), "fingerprints")
-    forest = links(prints.select("code").distinct(), budget, task_fingerprints)
-    roots = stage(connected_components(forest), "roots")
-    placed = prints.join(roots, prints["code"] == roots["node"], "left").select("doc_id", "code", F.coalesce("root", "code").alias("root"))
+    placed = _placed(docs, id_col, text_col, budget, width, seed, task_fingerprints)
     named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(named, "root").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row for each component: that of its least id. Columns stay as they are."""
-    kept = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col])
+def keep_rows(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row for each ``root`` of ``placed`` (doc_id, root, text_hash): that of its least id, a null id only where there is no other.
+
+    A row is named by id and text together, so neither a null nor a repeated id
+    makes rows of different components one.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("x")
+    kept = placed.groupBy("root").agg(least).select(F.col("x.doc_id").alias("__kept_id"), F.col("x.text_hash").alias("__kept_hash")).distinct()
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
+    return hashed.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 3, seed: int = 42, task_fingerprints: int = TASK_FINGERPRINTS) -> DataFrame:
+    """``docs`` with one row for each component: that of its least id, also where ids are null or repeated. Columns stay as they are."""
+    placed = _placed(docs, id_col, text_col, budget, width, seed, task_fingerprints, text_hash=F.xxhash64(F.col(text_col)))
+    return keep_rows(docs, placed, id_col, text_col)

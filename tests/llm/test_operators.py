@@ -116,6 +116,13 @@ def test_simhash_odd_rows(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    texts = [f"{w} alone in the {w} of a {w} wood by the river {w}" for w in ("ash", "birch", "cedar", "elm", "fir", "oak")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[4]), (9, texts[5]), (None, texts[5])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), budget=0).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (9, texts[5])], key=str)
+
+
 def test_packing_round_trip(docs, odd):
     from tokenizers import Tokenizer
 
