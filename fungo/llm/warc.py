@@ -25,15 +25,21 @@ from pyspark.sql import functions as F
 from .shared import new_path, stage
 
 MAGIC = b"WARC/1.1\r\n"
-#: Archives are rotated at about this many rows, and at this many bytes where pages are long.
+#: Archives are rotated at this many rows, and at this many bytes where pages are long; only a record that is longer by itself makes a longer file.
 FILE_PAGES, FILE_BYTES = 2_000, 8 << 20
+#: Records whose lengths differ by up to this factor are written together. HEAD_BYTES: header lines without the address, at most.
+SIZE_STEP, HEAD_BYTES = 8, 1_024
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 URN = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> str:
-    """Archive ``pages`` under ``path`` (one WARC file a task) and return the path.
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100, file_bytes: int = FILE_BYTES) -> str:
+    """Archive ``pages`` under ``path`` and return the path.
+
+    Spark's writer rotates by rows only. So pages are written by classes of
+    length, each with as many rows a file as ``file_bytes`` allows its longest
+    record; a task writes its own pages of a class.
 
     Null payloads are empty. Equal payloads shorter than ``least_bytes`` are
     responses all. Null ids or addresses are written as empty. Line breaks in an
@@ -45,8 +51,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     base = base.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     keys = stage(base.where(F.col("bytes") >= least_bytes).select("page_id", "digest"), "page_digests")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = stage(keys.join(first, "digest").where("page_id > first").select(F.col("page_id").alias("again"), F.col("first").alias("refers_to")).distinct(), "revisits")
-    joined = base.join(revisits, base["page_id"] == revisits["again"], "left").drop("again")
+    revisits = stage(keys.join(first, "digest").where("page_id > first").select(F.col("page_id").alias("again"), F.col("digest").alias("same"), F.col("first").alias("refers_to")).distinct(), "revisits")
+    # a page that comes with several payloads is a revisit only where the payload is the earlier one
+    joined = base.join(revisits, (base["page_id"] == revisits["again"]) & (base["digest"] == revisits["same"]), "left").drop("again", "same")
     http = F.concat(F.lit(HTTP_HEAD), F.col("bytes"), F.lit("\r\n\r\n"))
     block = F.when(F.col("refers_to").isNull(), F.concat(http, F.col("payload"))).otherwise(http)
     name = lambda c: F.concat(F.lit("<" + URN), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -62,7 +69,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     ]
     # the writer ends each value with the line separator, so a record ends in CR LF CR LF
     record = F.concat(F.lit(MAGIC.decode()), F.concat_ws("\r\n", *head), F.lit("\r\n\r\n"), block, F.lit("\r\n\r"))
-    joined.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_PAGES).text(path)
+    longest = F.col("bytes") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD_BYTES
+    rows = [FILE_PAGES]
+    while rows[-1] > 1:
+        rows.append(rows[-1] // SIZE_STEP or 1)
+    size_class = F.lit(len(rows) - 1)
+    for k in reversed(range(len(rows) - 1)):
+        size_class = F.when(longest * rows[k] <= file_bytes, k).otherwise(size_class)
+    present = sorted(r[0] for r in base.select(size_class).distinct().collect())  # a handful
+    for k in present or [0]:
+        joined.where(size_class == k).select(record.alias("value")).write.mode("append" if k != (present or [0])[0] else "error").option("lineSep", "\n").option("maxRecordsPerFile", rows[k]).text(path)
     return path
 
 
@@ -152,9 +168,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """One row a record, revisits with length and digest of the payload they refer to."""
     records = stage(records, "warc_records")
-    targets = records.where("record_type = 'response'").join(records.where("refers_to is not null").select(F.col("refers_to").alias("t")).distinct(), F.col("page_id") == F.col("t"), "left_semi").select(F.col("page_id").alias("target"), F.col("payload_bytes").alias("target_bytes"), F.col("payload_digest").alias("target_digest")).dropDuplicates(["target"])
+    wanted = records.where("refers_to is not null").select(F.col("refers_to").alias("t"), F.col("declared").alias("d")).distinct()
+    targets = records.where("record_type = 'response'").join(wanted, (F.col("page_id") == F.col("t")) & (F.col("payload_digest") == F.col("d")), "left_semi").select(F.col("page_id").alias("target"), F.col("payload_bytes").alias("target_bytes"), F.col("payload_digest").alias("target_digest")).dropDuplicates(["target", "target_digest"])
     again = F.col("record_type") == "revisit"
-    return records.join(targets, records["refers_to"] == targets["target"], "left").select(
+    return records.join(targets, (records["refers_to"] == targets["target"]) & (records["declared"] == targets["target_digest"]), "left").select(
         "page_id",
         F.when(again, F.col("target_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(again, F.col("target_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
@@ -167,8 +184,8 @@ def round_trip(pages: DataFrame, path: str | None = None, **columns) -> DataFram
     """Archive ``pages``, read the archives back, and return one row for each record.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to. Repeated
-    rows with one id make a record each, all of them responses if their payload
-    has no smaller id. A null id comes back null, as a response. An empty table
+    rows with one id make a record each, whether their payloads are the same or
+    not, and are responses if their payload has no smaller id. A null id comes back null, as a response. An empty table
     gives no row. Other columns are not read.
     """
     spark = pages.sparkSession

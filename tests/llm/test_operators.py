@@ -206,6 +206,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_pages_with_several_payloads(spark, tmp_path):
+    a, b, c = "a" * 150, "b" * 250, "c" * 350
+    rows = [(1, "u", a), (2, "u", a), (2, "u", b), (3, "u", b), (0, "u", c), (4, "u", c), (4, "u", a), (5, "u", b), (5, "u", b)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(pages, str(tmp_path / "w")).toPandas()
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.sql(registry.ORACLES["op9_warc_round_trip"]).df()
+    as_rows = lambda x: sorted(tuple(None if pd.isna(v) else v for v in r) for r in x[["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]].itertuples(index=False))
+    assert as_rows(got) == as_rows(want) and len(got) == len(rows)
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "http://x/" + "y" * 50, chr(97 + i % 26) * (40_000 if i % 10 == 0 else 300) + str(i)) for i in range(200)] + [(200, None, "z" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write(pages, str(tmp_path / "w"), file_bytes=100_000)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("*.txt"))
+    assert sizes[-2] <= 100_000 and 200_000 < sizes[-1] < 202_000
+    assert warc.resolve(warc.read(spark, path)).count() == len(rows)
+
+
 def test_pointer_jumping():
     at, nxt = np.array([0, 10, 15, 30, 50]), np.array([10, 30, 50, 60, 70])
     assert warc.reachable(at, nxt).tolist() == [True, True, False, True, False]
