@@ -1,12 +1,15 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over character 4-grams in an alphabet of 64 classes. Counts come
-from all trusted text: tasks count their own documents, counts meet in a shuffle
-sharded by gram, and joins of the sharded counts with those of their contexts
-give discounted probabilities and back-off weights. The alphabet bounds the
-model's tables: 64^4 grams, 64^3 contexts and lower-order probabilities; in
-practice a few hundred thousand grams. So the finished model goes to the tasks
-and documents are scored where they lie, without a shuffle of their text.
+The model is over 4-grams of code points, without a fixed alphabet. Tasks write
+postings: for each block of BLOCK documents and each gram in it, the documents
+that have it and how often. Postings of trusted documents are summed to counts
+sharded by gram; joins of the counts of each order with those of its contexts
+give discounted probabilities and back-off weights. Postings of all documents
+are joined with the sharded log p, and the products summed by document. No
+table of grams comes to the driver or goes into a task's closure.
+
+``train`` is another, bounded model (64 classes of characters, held in memory)
+that ``classify`` does not use.
 
 A document is kept if its perplexity is at most a quantile of that of trusted
 documents in its language.
@@ -20,6 +23,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,9 @@ from .shared import small_batches, stage
 
 ORDER, CLASSES = 4, 64
 SLICE = 1 << 20
+#: Documents in a block of postings, grams held for one, and blocks whose sums a task holds. PIECE: characters at once; as many different ones pack into 64 bits.
+BLOCK, BLOCK_GRAMS, BLOCKS_HELD, PIECE = 500, 2_000_000, 10_000, 1 << 15
+PAD = "\0"
 QUANTILE = 0.995
 PUNCTUATION = ".,;:!?'\"-()"
 
@@ -151,13 +159,125 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model:
     return Model(alphas["gram"].to_numpy(np.int32), alphas["alpha"].to_numpy(np.float32), gamma, lower_orders(left))
 
 
-def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [model.perplexity(t.as_py()) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.float64())], names=["doc_id", "lang", "n_grams", "perplexity"])
+def code_point_grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """4-grams of a whole text, the start padded, and their counts; a long text comes in pieces."""
+    for at in range(0, len(text), PIECE):
+        piece = text[max(at - ORDER + 1, 0) : at + PIECE]
+        piece = PAD * max(ORDER - 1 - at, 0) + piece
+        letters, x = np.unique(np.frombuffer(piece.encode("utf-32-le"), "<u4"), return_inverse=True)
+        k = len(letters)
+        packed = ((x[:-3] * k + x[1:-2]) * k + x[2:-1]) * k + x[3:]
+        g, n = np.unique(packed, return_counts=True)
+        at_letter = np.stack([g // k**3, g // k**2 % k, g // k % k, g % k], 1)
+        yield np.ascontiguousarray(letters[at_letter].astype("<u4")).view(f"<U{ORDER}").ravel(), n
+
+
+POSTINGS = "block long, gram string, docs binary, counts binary, idx int, doc_id long, lang string, n_grams long"
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: a gram of a block (gram, docs, counts), and a document of it (idx, doc_id, lang, n_grams)."""
+    block = TaskContext.get().partitionId() << 32
+    grams_, docs_, counts_, rows, held = [], [], [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal block, grams_, docs_, counts_, rows, held
+        if rows:
+            ids, langs, totals = zip(*rows, strict=True)
+            none = lambda t, n=len(rows): pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), none(pa.string()), none(pa.binary()), none(pa.binary()), pa.array(range(len(rows)), pa.int32()), pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(totals, pa.int64())], names=names)
+        if grams_:
+            found, which = np.unique(np.concatenate(grams_), return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            start = np.searchsorted(which[order], np.arange(len(found) + 1))
+            d, n = np.concatenate(docs_)[order].astype("<u2"), np.concatenate(counts_)[order].astype("<u2")
+            # numpy drops zeros at the end of a string
+            text = [g.ljust(ORDER, PAD) for g in found.tolist()]
+            offsets = pa.py_buffer((2 * start).astype("<i4").tobytes())
+            blobs = [pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(x.tobytes())]) for x in (d, n)]
+            none = lambda t, n=len(found): pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(text, pa.string()), *blobs, none(pa.int32()), none(pa.int64()), none(pa.string()), none(pa.int64())], names=names)
+        block += 1
+        grams_, docs_, counts_, rows, held = [], [], [], [], 0
+
+    names = [x.split()[0] for x in POSTINGS.split(", ")]
+    for batch in batches:
+        for doc_id, text, lang in zip(batch["doc_id"].to_pylist(), batch["text"], batch["lang"].to_pylist(), strict=True):
+            if len(rows) == BLOCK or held > BLOCK_GRAMS:
+                yield from flush()
+            text = text.as_py() or ""
+            for g, n in code_point_grams(text):
+                grams_.append(g)
+                docs_.append(np.full(len(g), len(rows)))
+                counts_.append(n)
+                held += len(g)
+            rows.append((doc_id, lang, len(text)))
+    yield from flush()
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, document and count of every posting in the batch. A document of several pieces stands in a row more than once."""
+    docs, counts = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").astype(np.int64) for c in ("docs", "counts"))
+    lengths = pc.binary_length(batch["docs"]).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    return np.repeat(np.arange(len(batch)), lengths), docs, counts
+
+
+def _trusted_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings with the block's trusted documents to (gram, n)."""
+    for batch in batches:
+        row, docs, counts = _flat(batch)
+        _, first, which = np.unique(batch["block"].to_numpy(), return_index=True, return_inverse=True)
+        mask = np.zeros((len(first), BLOCK), np.int64)
+        for i, at in enumerate(first.tolist()):
+            mask[i, batch["good"][at].as_py()] = 1
+        n = np.bincount(row, mask[which[row], docs] * counts, len(batch)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch["gram"], pa.array(n)], names=["gram", "n"])
+
+
+def _log_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings with log p to the sums of each block's documents, in part."""
+    sums: dict[int, np.ndarray] = {}
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["block", "sums"])
+        sums.clear()
+        return out
+
+    for batch in batches:
+        row, docs, counts = _flat(batch)
+        blocks, which = np.unique(batch["block"].to_numpy(), return_inverse=True)
+        part = np.bincount(which[row] * BLOCK + docs, counts * batch["logp"].to_numpy()[row], len(blocks) * BLOCK).reshape(-1, BLOCK)
+        for block, x in zip(blocks.tolist(), part, strict=True):
+            if block in sums:
+                sums[block] += x
+            else:
+                sums[block] = x.copy()
+        if len(sums) > BLOCKS_HELD:
+            yield flush()
+    if sums:
+        yield flush()
+
 
-    return run
+def log_probabilities(counts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, logp) for each of the distinct ``grams``, from the trusted ``counts`` (gram, n)."""
+    orders = [counts]
+    for k in range(ORDER - 1, 0, -1):
+        # below the highest order, a gram counts its different left neighbours
+        orders.insert(0, stage(orders[0].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "lower_counts"))
+    letters = orders[0].count()
+    p = None
+    for k, c in enumerate(orders, 1):
+        d = [float(x) for x in _discounts(*c.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first())]
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        head = lambda g, k=k: F.substring(g, 1, k - 1) if k > 1 else F.lit("")
+        contexts = c.groupBy(head("gram").alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("held_back"))
+        wanted = (grams if k == ORDER else grams.select(F.substring("gram", ORDER + 1 - k, k).alias("gram")).distinct()).withColumns({"context": head("gram"), "tail": F.substring("gram", 2, k - 1) if k > 1 else F.lit("")})
+        seen = wanted.join(c, "gram", "left").join(contexts, "context", "left")
+        # one more letter stands for all unseen ones
+        lower = seen.withColumn("lower", F.lit(1 / (letters + 1))) if p is None else seen.join(p.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), "tail")
+        direct = F.coalesce((F.col("n") - cut) / F.col("total"), F.lit(0.0))
+        p = stage(lower.select("gram", (direct + F.coalesce(F.col("held_back") / F.col("total"), F.lit(1.0)) * F.col("lower")).alias("p")), "gram_probabilities")
+    return p.select("gram", F.log("p").alias("logp"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
@@ -173,9 +293,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     good = labels.where(F.col(label_col).cast("int") == 1).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    postings = stage(rows.mapInArrow(_postings, POSTINGS), "postings")
+    members, found = postings.where("gram is null").select("block", "idx", "doc_id", "lang", "n_grams"), postings.where("gram is not null").select("block", "gram", "docs", "counts")
     # the same shuffle join at every size: ids outgrow any broadcast
-    model = train(rows.where("text is not null").join(good.hint("merge"), "doc_id", "left_semi"))
-    scored = stage(rows.mapInArrow(_score(model), "doc_id long, lang string, n_grams long, perplexity double"), "perplexities")
+    masks = stage(members.join(good.hint("merge"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("idx").alias("good")), "trusted_of_blocks")
+    counts = stage(found.join(masks, "block").select("block", "gram", "docs", "counts", "good").mapInArrow(_trusted_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 0"), "gram_counts")
+    logs = log_probabilities(counts, stage(found.select("gram").distinct(), "grams"))
+    sums = found.join(logs, "gram").select("block", "docs", "counts", "logp").mapInArrow(_log_sums, "block long, sums array<double>")
+    sums = sums.select("block", F.posexplode("sums").alias("idx", "part")).groupBy("block", "idx").agg(F.sum("part").alias("total"))
+    perplexity = F.when(F.col("n_grams") > 0, F.exp(-F.col("total") / F.col("n_grams")))
+    scored = stage(members.join(sums, ["block", "idx"], "left").select("doc_id", "lang", "n_grams", perplexity.alias("perplexity")), "perplexities")
     trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
     limits = trusted.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit"))
     overall = trusted.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("overall"))

@@ -298,6 +298,26 @@ def test_quality(spark, odd, labels):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def test_quality_without_an_alphabet(spark):
+    rng = np.random.default_rng(0)
+    words = ["".join(chr(0x430 + x) for x in rng.integers(0, 16, 5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(40)]
+    moved = ["".join(chr(ord(c) + 16) if c != " " else c for c in t) for t in texts[:10]]
+    upper = [("QZXJ KVWQ " * 40)[i:] for i in range(5)]
+    caps = [" ".join(w.upper() for w in t.split()) for t in texts[:5]]
+    rows = [(i, t, "ru") for i, t in enumerate(texts + moved + upper + caps)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.classify(d, spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")).toPandas().set_index("doc_id").sort_index()
+    assert got.loc[:29, "keep"].mean() > 0.95 and not got.loc[40:, "keep"].any()
+    assert got.loc[40:49, "perplexity"].min() > 2 * got.loc[30:39, "perplexity"].max()
+    counts = spark.createDataFrame([("abab", 3), ("babc", 1), ("abca", 2), ("aabb", 1), ("abad", 1)], "gram string, n long")
+    ends = spark.createDataFrame([(c + x,) for c in ("aba", "xyz", "zab") for x in "abcd?"], "gram string")
+    p = quality.log_probabilities(counts, ends).toPandas()
+    assert np.exp(p["logp"]).groupby(p["gram"].str[:3]).sum().to_numpy() == pytest.approx([1, 1, 1])
+    long_text = "".join(chr(0x4E00 + x) for x in rng.integers(0, 20_000, 2 * quality.PIECE))
+    assert sum(int(n.sum()) for _, n in quality.code_point_grams(long_text)) == len(long_text)
+
+
 @pytest.mark.parametrize("block", [2_000, 40])
 def test_embeddings_equal_brute_force(spark, block):
     rng = np.random.default_rng(0)
