@@ -12,6 +12,10 @@ tasks, and so on; the rest of the walk is done with arrays inside the task.
 
 Tasks emit a spanning forest of their links and no pairs; copies share a
 fingerprint and enter the trie once.
+
+``keep_one_similar`` is for edited copies, whose fingerprints are too many bits
+apart for the trie: bands of least hashes find candidates, whose shingles are
+then compared exactly.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ SPLIT_BITS = 4
 #: Node pairs held at once inside a task, and leaf pairs below which a node pair is resolved directly.
 PAIRS_AT_ONCE, LEAF_PAIRS = 1_000_000, 64
 SLICE_BYTES = 1 << 20
+#: Bands of least hashes: recall 0.9998 for a pair at similarity 0.8.
+BANDS, ROWS = 16, 4
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -270,3 +276,85 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     """``docs`` with one row for each component: that of its least id, also where ids are null or repeated. Columns stay as they are."""
     placed = _placed(docs, id_col, text_col, budget, width, seed, task_fingerprints, text_hash=F.xxhash64(F.col(text_col)))
     return keep_rows(docs, placed, id_col, text_col)
+
+
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct word shingles of a text, hashed and ascending; cut and shortened like those of ``fingerprint``."""
+    found, last, digest = [], [], xxhash.xxh64_intdigest
+    for words in _word_slices((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = last + words
+        if len(words) >= width:
+            grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+            found.append(np.fromiter((digest(g, seed) for g in grams), np.uint64, len(words) - width + 1))
+        last = words[-(width - 1) :] if width > 1 else []
+    if not found and last:
+        found = [np.array([digest(b" ".join(last), seed)], np.uint64)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared shingles by all shingles; two texts without any are the same."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def band_keys(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """BANDS keys, each of ROWS least hashes of the shingles. Texts of similarity s share one with 1 - (1 - s^ROWS)^BANDS."""
+    if not len(x):
+        return np.zeros(BANDS, np.int64)
+    odd = np.random.default_rng(seed).integers(0, 1 << 63, (2, BANDS * ROWS)).astype(np.uint64) | np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(x), 4_096):
+        h = x[at : at + 4_096, None] * odd[0]
+        h = (h ^ (h >> np.uint64(32))) * odd[1]
+        least = np.minimum(least, (h ^ (h >> np.uint64(29))).min(0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def similar_links(texts: DataFrame, least: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
+    """(a, b): links that connect what pairs of ``texts`` (text_hash, text; distinct) of similarity ``least`` or more connect.
+
+    Candidates share a band. First each text is compared with the least of its
+    band; then all texts of a band that are still in different components are
+    compared, so a large group of copies needs no more than a star.
+    """
+
+    @F.pandas_udf("array<long>")
+    def bands(x: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(shingles(t, width, seed), seed) for t in x])
+
+    @F.pandas_udf("double")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(shingles(x, width, seed), shingles(y, width, seed)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    keys = stage(texts.select("text_hash", F.posexplode(bands("text")).alias("band", "key")), "bands")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(texts.select(F.col("text_hash").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("text_hash").alias("b"), F.col("text").alias("text_b")), "b")
+        return stage(both.where(compare("text_a", "text_b") >= least).select("a", "b"), name)
+
+    hubs = keys.groupBy("band", "key").agg(F.min("text_hash").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = stage(keys.join(hubs, ["band", "key"]), "shared_bands")
+    stars = checked(shared.where("text_hash <> a").select("a", F.col("text_hash").alias("b")).distinct(), "star_links")
+    roots = stage(connected_components(stars), "star_roots")
+    placed = stage(shared.join(roots, shared["text_hash"] == roots["node"], "left").select("band", "key", "a", "text_hash", F.coalesce("root", "text_hash").alias("root")), "placed_bands")
+    # bands whose texts are one component by now have nothing to add
+    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
+    left = placed.join(open_, ["band", "key"], "left_semi")
+    other = left.select("band", "key", F.col("text_hash").alias("other"), F.col("root").alias("other_root"))
+    apart = (F.col("root") != F.col("other_root")) & (F.col("text_hash") < F.col("other")) & (F.col("text_hash") != F.col("a"))
+    rest = left.join(other, ["band", "key"]).where(apart).select(F.col("text_hash").alias("a"), F.col("other").alias("b")).distinct()
+    return stars.unionByName(checked(rest, "other_links"))
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
+    """``docs`` with one row (that of the least id) for each component of texts whose word shingles are similar by ``least`` or more.
+
+    Null and empty texts are one component. Columns stay as they are.
+    """
+    small_batches(docs.sparkSession)
+    hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = hashed.select("text_hash", "text").dropDuplicates(["text_hash"])
+    roots = stage(connected_components(similar_links(stage(texts, "distinct_texts"), least, width, seed)), "roots")
+    placed = hashed.select("doc_id", "text_hash").join(roots, F.col("text_hash") == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+    return keep_rows(docs, placed, id_col, text_col)

@@ -123,6 +123,28 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (9, texts[5])], key=str)
 
 
+def test_keep_one_similar_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    texts = []
+    for _ in range(40):
+        words = list(rng.choice(vocabulary, 100))
+        for edits in (0, 1, 2, 1, 3):
+            changed = words.copy()
+            for at in rng.integers(0, 100, edits):
+                changed[at] = rng.choice(vocabulary)
+            texts.append(" ".join(changed))
+    texts += [None, "", "short", "short text"]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
+    sets = [simhash.shingles(t) for t in texts]
+    assert len(simhash.shingles("a b c d e f")) == 2 and len(simhash.shingles("a b")) == 1
+    linked = np.array([[simhash.similarity(a, b) >= 0.8 for a in sets] for b in sets])
+    roots = _roots(np.arange(len(rows)), linked)
+    want = len(set(roots.values() if isinstance(roots, dict) else list(roots)))
+    kept = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(kept) == want < 100
+
+
 def test_packing_round_trip(docs, odd):
     from tokenizers import Tokenizer
 
