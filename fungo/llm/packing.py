@@ -6,13 +6,16 @@ widened gap more tightly.
 
 Documents are tokenised where they lie; only lengths are dealt out, to groups
 that a hash of the document makes even. A group takes a fixed expected number of
-documents, so groups grow in number and not in size; each leaves at most about
-one sequence unfilled. Pieces of full length are sequences of their own.
+documents, so groups grow in number and not in size, also where one row is
+repeated without end; each leaves at most about one sequence unfilled. Pieces of full length are sequences of their own.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stage
+from .shared import stage
 
-#: Expected documents in a packing group; token ids held for words seen before.
-GROUP_DOCS, CACHED_WORDS = 8_000, 700_000
+#: Expected documents in a packing group; pre-tokens whose ids are held.
+GROUP_DOCS, CACHED_PARTS = 8_000, 400_000
 SLICE_CHARS = 1 << 20
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -39,57 +42,84 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    """Ids of blank-separated pieces, worked out on first use; a bounded cache of two generations."""
+# What the tokenizer file states about its own steps, and its pattern for pre-tokens.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters of the short way: all are in NFC, each has one lower-case form of one character, and their classes are those below.
+PLAIN = re.compile("[\t\n\r -~\u00a1-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*")
+_LETTERS, _NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+CUT = re.compile("[A-Za-z0-9] ")
+PRE_TOKEN = re.compile(PATTERN.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS))
 
-    def __init__(self, tokenizer):
-        super().__init__({"": b""})
-        self.encode, self.older = tokenizer.encode, {}
 
-    def __missing__(self, w: str) -> bytes:
-        ids = self.older.get(w)
-        if ids is None:
-            if w[-1] in ".," and w[-2:-1].isalpha():
-                ids = self[w[:-1]] + self[w[-1]]
-            elif w.isascii() and w.isalpha() and not w.islower():
-                ids = self[w.lower()]
-            else:
-                ids = np.array(self.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        self[w] = ids
-        return ids
+@lru_cache(1)
+def _byte_names() -> dict[int, str]:
+    """The character by which byte-level models name each byte: itself if it is printable, else the next from U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Parts(dict):
+    """Ids of pre-tokens, worked out on first use."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokens, self.names = model.tokenize, _byte_names()
 
-    def trim(self) -> None:
-        """What has been used lately stays known for another generation."""
-        if len(self) > CACHED_WORDS // 2:
-            self.older = dict(self)
-            self.clear()
-            self[""] = b""
+    def __missing__(self, part: str) -> bytes:
+        found = self.tokens(part.encode().decode("latin-1").translate(self.names))
+        ids = self[part] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return ids
 
 
 class WordEncoder:
-    """Token ids of whole texts, one piece between blanks at a time.
+    """Token ids of whole texts.
 
-    White space ends a word for this kind of tokenizer, so a text's ids are the
-    ids of its pieces in a row; so are those of letters and a full stop or comma
-    after them, and case makes no difference.
+    A text of PLAIN characters only is cut into pre-tokens, whose ids are looked
+    up in a bounded table; new ones go to the tokenizer's model. The ids of a
+    pre-token do not depend on its neighbours. Every other text, and every text
+    under a tokenizer with other steps than those stated above, goes to the
+    tokenizer as it is.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.known = _Words(Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(tokenizer.to_str())
+        self.encode, self.parts = tokenizer.encode, _Parts(tokenizer.model)
+        self.added = [t["content"] for t in steps["added_tokens"]]
+        pre = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.known_steps = (
+            [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])] == NORMALIZERS
+            and pre[0].get("pattern") == {"Regex": PATTERN}
+            and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+        )
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        out, at = [], 0
-        self.known.trim()
-        while at < len(text):
-            end = len(text) if at + SLICE_CHARS >= len(text) else text.find(" ", at + SLICE_CHARS)
-            end = len(text) if end < 0 else end
-            out.append(b"".join(map(self.known.__getitem__, text[at:end].replace("\n", " ").split(" "))))
-            at = end
-        return b"".join(out)
+        if len(text) > SLICE_CHARS + 1:
+            return b"".join(map(self._ids, _slices(text)))
+        return self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
+        if self.known_steps and PLAIN.fullmatch(text) and not any(x in text for x in self.added):
+            if len(self.parts) > CACHED_PARTS:
+                self.parts.clear()
+            return b"".join(map(self.parts.__getitem__, PRE_TOKEN.findall(text.lower())))
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _slices(text: str) -> Iterator[str]:
+    """Parts of a very long text, cut before a blank that follows a letter or digit; one without such stays whole."""
+    at = 0
+    while at < len(text):
+        found = CUT.search(text, at + SLICE_CHARS)
+        end = found.start() + 1 if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 @lru_cache(2)
@@ -144,7 +174,7 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
             take(length)
             held.append(length)
             gap -= length
-        if gap and len(held) > 1:
+        if gap:
             small = held[-1]
             wide = gap + small
             give_back(small)
@@ -186,13 +216,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     end id alone. Repeated rows are packed each; null ids stay null; an empty
     table gives no row. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    n = docs.count()
-    groups = max(1, -(-n // group_docs))
     made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer or tokenizer_path(), size, end_id), PIECE_SCHEMA)
-    made = stage(made, "pieces")
-    schema = f"{PIECE_SCHEMA}, nameless boolean, sequence_id long, offset long"
-    full = made.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    rest = made.where(F.col("length") < size).withColumns({"nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0)), "grp": F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups))})
-    packed = rest.groupBy("grp").applyInPandas(_pack(size), schema)
+    # a number for each piece, written with it, so that repeated rows spread over the groups too
+    made = stage(made.withColumn("at", F.monotonically_increasing_id()), "pieces")
+    full = made.where(F.col("length") == size).drop("at").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = made.where(F.col("length") < size)
+    groups = max(1, -(-rest.count() // group_docs))
+    packed = rest.withColumns({"nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0)), "grp": F.pmod(F.xxhash64("at"), F.lit(groups))}).drop("at")
+    packed = packed.groupBy("grp").applyInPandas(_pack(size), f"{PIECE_SCHEMA}, nameless boolean, sequence_id long, offset long")
     return full.unionByName(packed.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless"))
