@@ -1,15 +1,16 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over 4-grams of code points, without a fixed alphabet. Tasks write
-postings: for each block of BLOCK documents and each gram in it, the documents
-that have it and how often. Postings of trusted documents are summed to counts
-sharded by gram; joins of the counts of each order with those of its contexts
-give discounted probabilities and back-off weights. Postings of all documents
-are joined with the sharded log p, and the products summed by document. No
-table of grams comes to the driver or goes into a task's closure.
-
-``train`` is another, bounded model (64 classes of characters, held in memory)
-that ``classify`` does not use.
+The model is over 4-grams of UTF-16 code units, so a gram is exactly one 64-bit
+number in every script (a character beyond U+FFFF is two units). Counts of
+trusted text are a table sharded by gram; joins of the counts of each order with
+those of its contexts give discounted probabilities and back-off weights, also
+for grams that only other documents have.
+
+Documents are scored by a join of their gram counts with that table. The most
+frequent grams of the corpus, HOT_GRAMS at most, are the skewed keys of this
+join and most of its rows: for them log p is broadcast, and their products are
+summed by document before any shuffle. All other grams of a document go through
+a shuffle join with the whole table. Both ways give the same sums.
 
 A document is kept if its perplexity is at most a quantile of that of trusted
 documents in its language.
@@ -18,83 +19,72 @@ documents in its language.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stage
+from .shared import stage
 
-ORDER, CLASSES = 4, 64
-SLICE = 1 << 20
-#: Documents in a block of postings, grams held for one, and blocks whose sums a task holds. PIECE: characters at once; as many different ones pack into 64 bits.
-BLOCK, BLOCK_GRAMS, BLOCKS_HELD, PIECE = 500, 2_000_000, 10_000, 1 << 15
-PAD = "\0"
+ORDER, UNIT = 4, 16
+#: Code units of a text, and distinct grams of a task, that are held at once.
+SLICE, GRAMS_HELD = 1 << 20, 2_000_000
+#: Bound of the broadcast: grams whose log p every task holds (16 bytes each).
+HOT_GRAMS = 400_000
+#: Bound of the other broadcast: hash buckets of trusted ids. Salts of the join by language.
+ID_BUCKETS, SALTS = 1 << 21, 64
 QUANTILE = 0.995
-PUNCTUATION = ".,;:!?'\"-()"
-
-
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    """Class of each code point: 1-26 a-z, 27 any capital, 28-43 other letters, 44 digits, 45 blank, 46 line end, then punctuation and signs."""
-    table = np.zeros(0x110000, np.uint8)
-    points = np.arange(0x110000)
-    table[:] = 60 + points % 4  # signs
-    for block in (range(0xD800), range(0xE000, 0x32000)):
-        for i in block:
-            c = chr(i)
-            if c.isalpha():
-                table[i] = 27 if c.isupper() else 28 + i % 16
-            elif c.isdigit():
-                table[i] = 44
-            elif c.isspace():
-                table[i] = 46 if c in "\r\n" else 45
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    for k, c in enumerate(PUNCTUATION):
-        table[ord(c)] = 47 + k
-    return table
-
-
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """4-grams of a whole text (as numbers in base 64, the start padded with class 0) and their counts."""
-    found, last = [], np.zeros(ORDER - 1, np.uint8)
-    for at in range(0, len(text or ""), SLICE):
-        c = np.concatenate([last, _classes()[np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")]])
-        x = c.astype(np.int32)
-        found.append(((x[:-3] * CLASSES + x[1:-2]) * CLASSES + x[2:-1]) * CLASSES + x[3:])
-        last = c[-(ORDER - 1) :]
-    if not found:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    return np.unique(np.concatenate(found) if len(found) > 1 else found[0], return_counts=True)
+
+
+def grams(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of a whole text, its start padded with zeros, and their counts; a very long text comes in parts."""
+    units = np.frombuffer((text or "").encode("utf-16-le", "surrogatepass"), "<u2")
+    for at in range(0, len(units), SLICE):
+        x = units[max(at - ORDER + 1, 0) : at + SLICE].astype(np.uint64)
+        x = np.concatenate([np.zeros(max(ORDER - 1 - at, 0), np.uint64), x])
+        packed = x[ORDER - 1 :].copy()
+        for back in range(1, ORDER):
+            packed |= x[ORDER - 1 - back : len(x) - back] << np.uint64(UNIT * back)
+        g, n = np.unique(packed, return_counts=True)
+        yield g.view(np.int64), n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, counts, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    """Texts to (gram, n), summed within the task as far as memory goes."""
+    found, counts, held = [], [], 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
-        g, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-        return g, np.bincount(inverse, np.concatenate(counts), len(g)).astype(np.int64)
+        g, which = np.unique(np.concatenate(found), return_inverse=True)
+        return g, np.bincount(which, np.concatenate(counts), len(g)).astype(np.int64)
+
+    def batch_of(g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
 
     for batch in batches:
         for text in batch["text"]:
-            g, n = grams(text.as_py())
-            codes.append(g)
-            counts.append(n)
-            held += len(g)
-            if held > 2_000_000:
+            for g, n in grams(text.as_py()):
+                found.append(g)
+                counts.append(n)
+                held += len(g)
+            if held > GRAMS_HELD:
                 g, n = merged()
-                codes, counts, held = [g], [n], 0
-    g, n = merged()
-    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(n, pa.int64())], names=["gram", "n"])
+                if len(g) > GRAMS_HELD // 2:
+                    yield batch_of(g, n)
+                    g, n = g[:0], n[:0]
+                found, counts, held = [g], [n], len(g)
+    if found:
+        yield batch_of(*merged())
+
+
+def count_grams(texts: DataFrame, name: str) -> DataFrame:
+    """(gram, n) of a text column, staged."""
+    return stage(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), name)
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 and more; 0 where the counts of counts do not allow any."""
+    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 and more; 0.5 where the counts of counts do not allow any."""
     if not n1 or not n2:
         return np.array([0.5, 0.5, 0.5])
     y = n1 / (n1 + 2 * n2)
@@ -102,185 +92,96 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip(d, 0.05, [0.95, 1.9, 2.9])
 
 
-def lower_orders(continuations: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of every 3-gram from its number of different left neighbours (both of length 64^3)."""
-    p = np.full(CLASSES, 1 / CLASSES)
-    levels = [continuations]
-    for _ in range(ORDER - 2):
-        levels.insert(0, (levels[0].reshape(CLASSES, -1) > 0).sum(0))
-    for n in levels:
-        table = n.reshape(-1, CLASSES).astype(float)
-        d = _discounts(*(int((n == k).sum()) for k in (1, 2, 3, 4)))
-        total = table.sum(1, keepdims=True)
-        ones, twos, more = ((table == 1).sum(1, keepdims=True), (table == 2).sum(1, keepdims=True), (table > 2).sum(1, keepdims=True))
-        cut = np.where(table == 1, d[0], np.where(table == 2, d[1], np.where(table > 2, d[2], 0)))
-        back = np.where(total > 0, (d[0] * ones + d[1] * twos + d[2] * more) / np.maximum(total, 1), 1.0)
-        lower = np.tile(p.reshape(-1, CLASSES), (len(table) * CLASSES // p.size, 1))
-        p = (np.maximum(table - cut, 0) / np.maximum(total, 1) + back * lower).ravel()
-    return p
-
-
-@dataclass
-class Model:
-    gram: np.ndarray  # ascending
-    alpha: np.ndarray  # discounted probability of each
-    gamma: np.ndarray  # back-off weight of each context of three
-    lower: np.ndarray  # probability of each 3-gram
-
-    def perplexity(self, text: str | None) -> tuple[int, float | None]:
-        """Grams scored, and perplexity a character; None for a text without any."""
-        g, n = grams(text)
-        if not len(g):
-            return 0, None
-        at = np.searchsorted(self.gram, g)
-        at[at == len(self.gram)] = 0
-        seen = self.gram[at] == g if len(self.gram) else np.zeros(len(g), bool)
-        p = np.where(seen, self.alpha[at] if len(self.gram) else 0.0, 0.0) + self.gamma[g // CLASSES] * self.lower[g % CLASSES ** (ORDER - 1)]
-        total = int(n.sum())
-        return total, float(np.exp(-(n @ np.log(p)) / total))
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> Model:
-    """Fit on every row of ``trusted``."""
-    counts = stage(trusted.select(F.col(text_col).alias("text")).mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")), "gram_counts")
-    d = _discounts(*counts.agg(*(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))).first())
-    context = F.shiftright("gram", 6)
-    contexts = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), *(F.count_if(c).alias(f"n{k}") for k, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))))
-    contexts = contexts.withColumn("gamma", (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total"))
-    cut = F.when(F.col("n") == 1, float(d[0])).when(F.col("n") == 2, float(d[1])).otherwise(float(d[2]))
-    joined = counts.withColumn("context", context).join(contexts, "context").select("gram", ((F.col("n") - cut) / F.col("total")).alias("alpha"))
-    # at most 64^4, 64^3 and 64^3 rows
-    alphas = joined.toPandas().sort_values("gram")
-    gamma, left = np.ones(CLASSES ** (ORDER - 1)), np.zeros(CLASSES ** (ORDER - 1), np.int64)
-    g = contexts.select("context", "gamma").toPandas()
-    gamma[g["context"].to_numpy()] = g["gamma"]
-    c = counts.groupBy(F.col("gram").bitwiseAND(CLASSES ** (ORDER - 1) - 1).alias("tail")).count().toPandas()
-    left[c["tail"].to_numpy()] = c["count"]
-    return Model(alphas["gram"].to_numpy(np.int32), alphas["alpha"].to_numpy(np.float32), gamma, lower_orders(left))
-
-
-def code_point_grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """4-grams of a whole text, the start padded, and their counts; a long text comes in pieces."""
-    for at in range(0, len(text), PIECE):
-        piece = text[max(at - ORDER + 1, 0) : at + PIECE]
-        piece = PAD * max(ORDER - 1 - at, 0) + piece
-        letters, x = np.unique(np.frombuffer(piece.encode("utf-32-le"), "<u4"), return_inverse=True)
-        k = len(letters)
-        packed = ((x[:-3] * k + x[1:-2]) * k + x[2:-1]) * k + x[3:]
-        g, n = np.unique(packed, return_counts=True)
-        at_letter = np.stack([g // k**3, g // k**2 % k, g // k % k, g % k], 1)
-        yield np.ascontiguousarray(letters[at_letter].astype("<u4")).view(f"<U{ORDER}").ravel(), n
+def _last(gram: Column, units: int) -> Column:
+    """The last units of a gram."""
+    return gram.bitwiseAND((1 << UNIT * units) - 1) if units < ORDER else gram
 
 
-POSTINGS = "block long, gram string, docs binary, counts binary, idx int, doc_id long, lang string, n_grams long"
-
-
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: a gram of a block (gram, docs, counts), and a document of it (idx, doc_id, lang, n_grams)."""
-    block = TaskContext.get().partitionId() << 32
-    grams_, docs_, counts_, rows, held = [], [], [], [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal block, grams_, docs_, counts_, rows, held
-        if rows:
-            ids, langs, totals = zip(*rows, strict=True)
-            none = lambda t, n=len(rows): pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), none(pa.string()), none(pa.binary()), none(pa.binary()), pa.array(range(len(rows)), pa.int32()), pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(totals, pa.int64())], names=names)
-        if grams_:
-            found, which = np.unique(np.concatenate(grams_), return_inverse=True)
-            order = np.argsort(which, kind="stable")
-            start = np.searchsorted(which[order], np.arange(len(found) + 1))
-            d, n = np.concatenate(docs_)[order].astype("<u2"), np.concatenate(counts_)[order].astype("<u2")
-            # numpy drops zeros at the end of a string
-            text = [g.ljust(ORDER, PAD) for g in found.tolist()]
-            offsets = pa.py_buffer((2 * start).astype("<i4").tobytes())
-            blobs = [pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(x.tobytes())]) for x in (d, n)]
-            none = lambda t, n=len(found): pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(text, pa.string()), *blobs, none(pa.int32()), none(pa.int64()), none(pa.string()), none(pa.int64())], names=names)
-        block += 1
-        grams_, docs_, counts_, rows, held = [], [], [], [], 0
-
-    names = [x.split()[0] for x in POSTINGS.split(", ")]
-    for batch in batches:
-        for doc_id, text, lang in zip(batch["doc_id"].to_pylist(), batch["text"], batch["lang"].to_pylist(), strict=True):
-            if len(rows) == BLOCK or held > BLOCK_GRAMS:
-                yield from flush()
-            text = text.as_py() or ""
-            for g, n in code_point_grams(text):
-                grams_.append(g)
-                docs_.append(np.full(len(g), len(rows)))
-                counts_.append(n)
-                held += len(g)
-            rows.append((doc_id, lang, len(text)))
-    yield from flush()
-
-
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, document and count of every posting in the batch. A document of several pieces stands in a row more than once."""
-    docs, counts = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").astype(np.int64) for c in ("docs", "counts"))
-    lengths = pc.binary_length(batch["docs"]).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-    return np.repeat(np.arange(len(batch)), lengths), docs, counts
-
-
-def _trusted_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings with the block's trusted documents to (gram, n)."""
-    for batch in batches:
-        row, docs, counts = _flat(batch)
-        _, first, which = np.unique(batch["block"].to_numpy(), return_index=True, return_inverse=True)
-        mask = np.zeros((len(first), BLOCK), np.int64)
-        for i, at in enumerate(first.tolist()):
-            mask[i, batch["good"][at].as_py()] = 1
-        n = np.bincount(row, mask[which[row], docs] * counts, len(batch)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch["gram"], pa.array(n)], names=["gram", "n"])
-
-
-def _log_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings with log p to the sums of each block's documents, in part."""
-    sums: dict[int, np.ndarray] = {}
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["block", "sums"])
-        sums.clear()
-        return out
-
-    for batch in batches:
-        row, docs, counts = _flat(batch)
-        blocks, which = np.unique(batch["block"].to_numpy(), return_inverse=True)
-        part = np.bincount(which[row] * BLOCK + docs, counts * batch["logp"].to_numpy()[row], len(blocks) * BLOCK).reshape(-1, BLOCK)
-        for block, x in zip(blocks.tolist(), part, strict=True):
-            if block in sums:
-                sums[block] += x
-            else:
-                sums[block] = x.copy()
-        if len(sums) > BLOCKS_HELD:
-            yield flush()
-    if sums:
-        yield flush()
-
-
-def log_probabilities(counts: DataFrame, grams: DataFrame) -> DataFrame:
-    """(gram, logp) for each of the distinct ``grams``, from the trusted ``counts`` (gram, n)."""
+def log_probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, logp) for each of the distinct grams ``wanted``, from the trusted ``counts`` (gram, n)."""
     orders = [counts]
     for k in range(ORDER - 1, 0, -1):
         # below the highest order, a gram counts its different left neighbours
-        orders.insert(0, stage(orders[0].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "lower_counts"))
-    letters = orders[0].count()
+        orders.insert(0, stage(orders[0].groupBy(_last(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), "lower_counts"))
+    units = orders[0].count()
     p = None
     for k, c in enumerate(orders, 1):
         d = [float(x) for x in _discounts(*c.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first())]
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        head = lambda g, k=k: F.substring(g, 1, k - 1) if k > 1 else F.lit("")
-        contexts = c.groupBy(head("gram").alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("held_back"))
-        wanted = (grams if k == ORDER else grams.select(F.substring("gram", ORDER + 1 - k, k).alias("gram")).distinct()).withColumns({"context": head("gram"), "tail": F.substring("gram", 2, k - 1) if k > 1 else F.lit("")})
-        seen = wanted.join(c, "gram", "left").join(contexts, "context", "left")
-        # one more letter stands for all unseen ones
-        lower = seen.withColumn("lower", F.lit(1 / (letters + 1))) if p is None else seen.join(p.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), "tail")
-        direct = F.coalesce((F.col("n") - cut) / F.col("total"), F.lit(0.0))
-        p = stage(lower.select("gram", (direct + F.coalesce(F.col("held_back") / F.col("total"), F.lit(1.0)) * F.col("lower")).alias("p")), "gram_probabilities")
+        mine = wanted if k == ORDER else wanted.select(_last(F.col("gram"), k).alias("gram")).distinct()
+        seen = mine.join(c, "gram", "left")
+        if k == 1:
+            total, back = c.agg(F.sum("n"), F.sum(cut)).first()
+            # one more unit stands for all unseen ones
+            direct, weight, lower = (F.col("n") - cut) / F.lit(float(total or 1)), F.lit(back / total if total else 1.0), F.lit(1 / (units + 1))
+        else:
+            head = F.shiftrightunsigned("gram", UNIT)
+            contexts = c.groupBy(head.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("held_back"))
+            seen = seen.withColumns({"context": head, "tail": _last(F.col("gram"), k - 1)}).join(contexts, "context", "left").join(p.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), "tail")
+            direct, weight, lower = (F.col("n") - cut) / F.col("total"), F.coalesce(F.col("held_back") / F.col("total"), F.lit(1.0)), F.col("lower")
+        p = stage(seen.select("gram", (F.coalesce(direct, F.lit(0.0)) + weight * lower).alias("p")), "gram_probabilities")
     return p.select("gram", F.log("p").alias("logp"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
+def frequent(corpus: DataFrame, most: int) -> DataFrame:
+    """Grams of ``corpus`` (gram, n) down to a count that leaves at most ``most`` of them."""
+    size = F.floor(8 * F.log2("n")).cast("int")
+    least, held = 1 << 30, 0
+    for row in corpus.groupBy(size.alias("size")).agg(F.count("*").alias("grams")).orderBy(F.desc("size")).collect():  # 512 rows at most
+        held += row["grams"]
+        if held > most:
+            break
+        least = row["size"]
+    return corpus.where(size >= least).select("gram")
+
+
+POSTINGS = "row long, gram long, n long, doc_id long, lang_key long"
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document one row (doc_id, lang_key, n: its units) without a gram, and one for each gram and part."""
+    row = TaskContext.get().partitionId() << 33
+    names = [x.split()[0] for x in POSTINGS.split(", ")]
+    for batch in batches:
+        for lo in range(0, len(batch), 64):
+            some = batch.slice(lo, 64)
+            rows, found, counts, totals = [], [], [], np.zeros(len(some), np.int64)
+            for i, text in enumerate(some["text"]):
+                for g, n in grams(text.as_py()):
+                    rows.append(np.full(len(g), row + i))
+                    found.append(g)
+                    counts.append(n)
+                    totals[i] += n.sum()
+            heads = np.arange(row, row + len(some))
+            yield pa.RecordBatch.from_arrays([pa.array(heads), pa.nulls(len(some), pa.int64()), pa.array(totals), some["doc_id"], some["lang_key"]], names=names)
+            if rows:
+                none = pa.nulls(sum(map(len, rows)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found)), pa.array(np.concatenate(counts)), none, none], names=names)
+            row += len(some)
+
+
+def perplexities(rows: DataFrame, logs: DataFrame, hot: DataFrame) -> DataFrame:
+    """doc_id, lang_key, n_grams and perplexity of each of ``rows`` (doc_id, text, lang_key), staged."""
+    near = logs.join(hot, "gram", "left_semi").select("gram", "logp")
+    # ``hot`` is bounded by HOT_GRAMS
+    joined = rows.select("doc_id", "text", "lang_key").mapInArrow(_postings, POSTINGS).join(F.broadcast(near), "gram", "left")
+    left = F.when(F.col("logp").isNull(), F.col("gram"))
+    of_doc = F.col("gram").isNull()
+    parts = joined.groupBy("row", left.alias("rest")).agg(
+        F.sum(F.col("n") * F.col("logp")).alias("part"),
+        F.sum(F.when(~of_doc, F.col("n"))).alias("n"),
+        F.max(F.when(of_doc, F.col("n"))).alias("n_grams"),
+        F.max("doc_id").alias("doc_id"),
+        F.max("lang_key").alias("lang_key"),
+    )
+    parts = stage(parts, "score_parts")
+    rest = parts.where("rest is not null").join(logs, F.col("rest") == logs["gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("more"))
+    total = F.coalesce("part", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+    perplexity = F.when(F.col("n_grams") > 0, F.exp(-total / F.col("n_grams")))
+    return stage(parts.where("rest is null").join(rest, "row", "left").select("doc_id", "lang_key", "n_grams", perplexity.alias("perplexity")), "perplexities")
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang, n_grams, perplexity, threshold, keep.
 
     Trusted are all documents labelled 1. ``threshold`` is the quantile of
@@ -290,23 +191,23 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     document that has text is kept. Repeated rows come back repeated; an empty
     table gives no row. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    lang = F.col(lang_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(lang.isNull(), lang).alias("lang_key"), lang.alias("lang"))
     good = labels.where(F.col(label_col).cast("int") == 1).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    postings = stage(rows.mapInArrow(_postings, POSTINGS), "postings")
-    members, found = postings.where("gram is null").select("block", "idx", "doc_id", "lang", "n_grams"), postings.where("gram is not null").select("block", "gram", "docs", "counts")
-    # the same shuffle join at every size: ids outgrow any broadcast
-    masks = stage(members.join(good.hint("merge"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("idx").alias("good")), "trusted_of_blocks")
-    counts = stage(found.join(masks, "block").select("block", "gram", "docs", "counts", "good").mapInArrow(_trusted_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 0"), "gram_counts")
-    logs = log_probabilities(counts, stage(found.select("gram").distinct(), "grams"))
-    sums = found.join(logs, "gram").select("block", "docs", "counts", "logp").mapInArrow(_log_sums, "block long, sums array<double>")
-    sums = sums.select("block", F.posexplode("sums").alias("idx", "part")).groupBy("block", "idx").agg(F.sum("part").alias("total"))
-    perplexity = F.when(F.col("n_grams") > 0, F.exp(-F.col("total") / F.col("n_grams")))
-    scored = stage(members.join(sums, ["block", "idx"], "left").select("doc_id", "lang", "n_grams", perplexity.alias("perplexity")), "perplexities")
+    good = stage(good, "trusted_ids")
+    # texts that are surely not trusted go first, by a table of ID_BUCKETS rows at most; the rest is matched exactly
+    in_bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).alias("id_bucket")
+    likely = rows.select("doc_id", "text", in_bucket).join(F.broadcast(good.select(in_bucket).distinct()), "id_bucket", "left_semi")
+    counts = count_grams(likely.join(good.hint("merge"), "doc_id", "left_semi").select("text"), "gram_counts")
+    corpus = count_grams(rows.select("text"), "corpus_grams")
+    scored = perplexities(rows, log_probabilities(counts, corpus.select("gram")), frequent(corpus, hot_grams))
     trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
-    limits = trusted.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit"))
+    limits = trusted.groupBy("lang_key").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit"))
+    # one row
     overall = trusted.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("overall"))
-    # languages are few and overall is one row
-    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(overall))
+    names = rows.groupBy("lang_key").agg(F.first("lang").alias("lang"))
+    # a language may hold most rows, so each is there SALTS times
+    salted = names.join(limits, "lang_key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "perplexity"), F.lit(SALTS)).cast("int")).join(salted, ["lang_key", "salt"]).join(F.broadcast(overall))
     threshold = F.coalesce("limit", "overall")
     return joined.select("doc_id", "lang", "n_grams", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= F.coalesce(threshold, F.lit(float("inf"))), F.lit(False)).alias("keep"))
