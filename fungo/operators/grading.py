@@ -167,13 +167,10 @@ def recap_day(games: DataFrame, as_of: Column, back: int = 10) -> DataFrame:
 
 
 def first_and_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
-    """First and last row of each key, and the number of its rows."""
-    w = Window.partitionBy(*keys)
-    down = [c.desc() if isinstance(c, Column) else F.desc(c) for c in order]
-    n = df.withColumns({"__up": F.row_number().over(w.orderBy(*order)), "__down": F.row_number().over(w.orderBy(*down))}).where("__up = 1 or __down = 1")
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    g = n.groupBy(*keys).agg(*(F.max(F.when(F.col("__up") == 1, F.col(c))).alias(f"first_{c}") for c in columns), *(F.max(F.when(F.col("__down") == 1, F.col(c))).alias(f"last_{c}") for c in columns))
-    return g.join(counts, list(keys))
+    """First and last row of each key, and the number of its rows, in one aggregation."""
+    row, place = F.struct(*columns), F.struct(*order)
+    g = df.groupBy(*keys).agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"), F.count("*").alias("n_rows"))
+    return g.select(*keys, *(F.col(f"first.{c}").alias(f"first_{c}") for c in columns), *(F.col(f"last.{c}").alias(f"last_{c}") for c in columns), "n_rows")
 
 
 def call_pairs(calls: DataFrame) -> DataFrame:

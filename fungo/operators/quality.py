@@ -75,15 +75,23 @@ def histograms(df: DataFrame, bins: Mapping[str, tuple[float, float, int]], late
     return x.groupBy("metric", b.alias("bin"), "lo", "step").agg(F.count_if("latest").alias("latest_n"), F.count_if(~F.col("latest")).alias("baseline_n")).select("metric", "bin", F.round(F.col("lo") + F.col("bin") * F.col("step"), 6).alias("bin_start"), "latest_n", "baseline_n")
 
 
-def robust_stats(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
+def robust_stats(df: DataFrame, columns: Sequence[str], digits: int = 6, accuracy: int | None = None) -> DataFrame:
     """5th, 50th and 95th percentile, a robust spread (IQR / 1.349) and missing share of each column.
 
-    Exact percentiles; for tables too wide for that give ``percentile_approx`` columns instead.
+    Equal values are counted first, so an exact percentile sees each value once;
+    for columns whose distinct values outgrow a task give ``accuracy``, which
+    takes ``percentile_approx`` with that accuracy.
     """
-    parts = [F.struct(F.lit(c).alias("metric"), F.percentile(c, F.array(*(F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("q"), F.count(c).alias("present"), F.count("*").alias("n_rows")) for c in columns]
-    x = df.agg(*(p.alias(f"m{i}") for i, p in enumerate(parts))).select(F.explode(F.array(*(F.col(f"m{i}") for i in range(len(parts))))).alias("x")).select("x.*")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
+    counted = long.groupBy("metric", "value").agg(F.count("*").alias("n"))
+    wanted = F.array(*(F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)))
+    quantiles = F.percentile("value", wanted, F.col("n")) if accuracy is None else F.percentile_approx("value", wanted, accuracy)
+    source = counted if accuracy is None else long.withColumn("n", F.lit(1))
+    x = source.groupBy("metric").agg(quantiles.alias("q"), F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("present"))
     at = lambda i: F.round(F.try_element_at("q", F.lit(i)), digits)
-    return x.select("metric", at(1).alias("p05"), at(3).alias("median"), at(5).alias("p95"), F.round((F.try_element_at("q", F.lit(4)) - F.try_element_at("q", F.lit(2))) / 1.349, digits).alias("spread"), F.round(F.try_divide(100.0 * (F.col("n_rows") - F.col("present")), F.col("n_rows").cast("double")), digits).alias("null_pct"))
+    spread = F.round((F.try_element_at("q", F.lit(4)) - F.try_element_at("q", F.lit(2))) / 1.349, digits)
+    missing = F.round(F.try_divide(100.0 * (F.col("n_rows") - F.col("present")), F.col("n_rows").cast("double")), digits)
+    return x.select("metric", at(1).alias("p05"), at(3).alias("median"), at(5).alias("p95"), spread.alias("spread"), missing.alias("null_pct"))
 
 
 def severity(z: Column, relative: Column, floor: float = FLOOR_PERCENT) -> Column:
@@ -130,11 +138,12 @@ def trailing_baseline(df: DataFrame, keys: Sequence[str], day: str, metric: str,
     return x.select(*df.columns, F.col("__median").alias(f"{metric}_median"), F.round("__mad", digits).alias(f"{metric}_mad"), F.round(rel, digits).alias(f"{metric}_rel_pct"), F.round(z, digits).alias(f"{metric}_z"), severity(z, rel, floor).alias(f"{metric}_status"))
 
 
-def day_gaps(days: DataFrame, day: str = "day") -> DataFrame:
-    """Runs of missing days inside each year's span."""
-    d = days.select(F.col(day).alias("d")).distinct().withColumn("season", F.year("d"))
-    nxt = F.lead("d").over(Window.partitionBy("season").orderBy("d"))
-    return d.withColumn("n", nxt).where("datediff(n, d) > 1").select("season", F.date_add("d", 1).alias("from_day"), F.date_sub("n", 1).alias("to_day"), (F.datediff("n", "d") - 1).alias("days"))
+def day_gaps(days: DataFrame, day: str = "day", keys: Sequence[str] = ()) -> DataFrame:
+    """Runs of missing days inside each year's span, for each key by itself."""
+    d = days.select(*keys, F.col(day).alias("d")).distinct().withColumn("season", F.year("d"))
+    following = F.lead("d").over(Window.partitionBy(*keys, "season").orderBy("d"))
+    gaps = d.withColumn("n", following).where("datediff(n, d) > 1")
+    return gaps.select(*keys, "season", F.date_add("d", 1).alias("from_day"), F.date_sub("n", 1).alias("to_day"), (F.datediff("n", "d") - 1).alias("days"))
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -36,14 +36,13 @@ def _quotes(t):
 
 def _context(t):
     as_of = F.lit(AS_OF).cast("date")
-    day = t.pitches.where(F.col("game_date").between(F.date_sub(as_of, 60), as_of))
-    return R.scoring_context(day, A.rolling_stats(t.pitches, t.at_bats, "pitcher_id", as_of), A.rolling_stats(t.pitches, t.at_bats, "batter_id", as_of))
+    return R.scoring_context(t.pitches, A.rolling_stats(t.pitches, t.at_bats, "pitcher_id", as_of), A.rolling_stats(t.pitches, t.at_bats, "batter_id", as_of))
 
 
 _CTX = f"""
 ps as ({_rolling('pitcher_id').strip()}), bs as ({_rolling('batter_id').strip()}),
 ctx as (select p.game_pk, p.at_bat_index, p.pitch_number, p.balls, p.strikes, p.pitch_number - 1 as pitch_count_pa, ps.zone_rate as pz, ps.k_rate as pk, ps.bb_rate as pbb, ps.sample_abs as pa, bs.k_rate as bk, bs.sample_abs as ba
- from pitches_v p left join ps on ps.pitcher_id = p.pitcher_id left join bs on bs.batter_id = p.batter_id where p.game_date between date '{AS_OF}' - interval 60 day and date '{AS_OF}')"""
+ from pitches_v p left join ps on ps.pitcher_id = p.pitcher_id left join bs on bs.batter_id = p.batter_id)"""
 
 
 def _shift_sql(k: str) -> str:

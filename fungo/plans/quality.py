@@ -70,8 +70,10 @@ PLANS = {
         f"with {_BASELINE} select dataset, day, rows_n, games, med as rows_n_median, round(mad, 9) as rows_n_mad, round(rel, 9) as rows_n_rel_pct, round(z, 9) as rows_n_z, {_SEVERITY} as rows_n_status from s",
     ),
     "w7_day_gaps": (
-        lambda t: Q.day_gaps(t.games.where("game_pk % 97 < 3").select("game_date"), "game_date"),
-        "with d as (select distinct game_date as d, year(game_date) as season from games_v where game_pk % 97 < 3), n as (select *, lead(d) over (partition by season order by d) as n from d) select cast(season as int) as season, d + 1 as from_day, n - 1 as to_day, cast(n - d - 1 as int) as days from n where n - d > 1",
+        lambda t: Q.day_gaps(t.games, "game_date", ["venue_id"]),
+        """with played as (select distinct venue_id, game_date as day from games_v),
+ ahead as (select venue_id, day, (select min(p.day) from played p where p.venue_id = q.venue_id and p.day > q.day and year(p.day) = year(q.day)) as following from played q)
+select venue_id, cast(year(day) as int) as season, day + 1 as from_day, following - 1 as to_day, cast(following - day - 1 as int) as days from ahead where following > day + 1""",
     ),
     "w8_last_rows": (
         lambda t: Q.last_rows(t.ledger, ["dataset"], [F.desc("day")], 7),

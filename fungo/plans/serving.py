@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fungo.functions import predicates as P
 from fungo.operators import aggregates as A
 from fungo.operators import grading as G
-from fungo.plans.display import _RATES, FLOOR
+from fungo.plans.display import FLOOR
 from fungo.plans.grading import _GRADED
 from fungo.sources import datasets as D
 
@@ -85,11 +85,13 @@ PLANS = {
     ),
     "v1_profile_lookup": (
         lambda t: A.situational_splits(t.pitches, t.at_bats, FLOOR).where("role = 'pitcher' and player_id = 7").select("men_on_base", "opp_hand", "pa", "k_rate").orderBy("men_on_base", "opp_hand"),
-        f"select men_on_base, bat_side as opp_hand, pa, k_rate from (select pitcher_id, men_on_base, bat_side, {_RATES} from at_bats_v where pitcher_id = 7 group by 1, 2, 3)",
+        "select men_on_base, bat_side as opp_hand, count(*) as pa, round(sum(cast(result = 'strikeout' as int)) / count(*), 4) as k_rate from at_bats_v where pitcher_id = 7 group by men_on_base, bat_side",
     ),
     "v2_matchup_lookup": (
-        lambda t: t.sql("select cast(p as int) as pitcher_id, cast(b as int) as batter_id from (select distinct pitcher_id as p from pitches_v where pitcher_id < 10) cross join (select distinct batter_id as b from pitches_v where batter_id < 12)").join(A.matchup_history(t.at_bats, FLOOR).select("pitcher_id", "batter_id", "pa_count", "h_count"), ["pitcher_id", "batter_id"], "left").na.fill(0, ["pa_count", "h_count"]),
-        "with k as (select p as pitcher_id, b as batter_id from (select distinct pitcher_id as p from pitches_v where pitcher_id < 10) cross join (select distinct batter_id as b from pitches_v where batter_id < 12)), m as (select pitcher_id, batter_id, count(*) as pa_count, count(*) filter (where result = 'hit') as h_count from at_bats_v group by 1, 2 having count(*) >= 3) select k.pitcher_id, k.batter_id, coalesce(pa_count, 0) as pa_count, coalesce(h_count, 0) as h_count from k left join m on m.pitcher_id = k.pitcher_id and m.batter_id = k.batter_id",
+        lambda t: A.matchup_lookup(t.pitches.select("pitcher_id", "batter_id"), A.matchup_history(t.at_bats, FLOOR)),
+        """with asked as (select distinct pitcher_id, batter_id from pitches_v),
+ met as (select pitcher_id, batter_id, count(*) as n, sum(cast(result = 'hit' as int)) as hits from at_bats_v group by all)
+select a.pitcher_id, a.batter_id, cast(case when n >= 3 then n else 0 end as bigint) as pa_count, cast(case when n >= 3 then hits else 0 end as bigint) as h_count from asked a left join met m on m.pitcher_id = a.pitcher_id and m.batter_id = a.batter_id""",
     ),
     "v15_speed_by_workload": (
         lambda t: t.pitches.groupBy("pitcher_id", F.when(F.col("pitch_of_game") <= 25, "1-25").when(F.col("pitch_of_game") <= 50, "26-50").when(F.col("pitch_of_game") <= 75, "51-75").otherwise("76+").alias("workload")).agg(F.count("*").alias("n"), F.round(F.avg("start_speed"), 8).alias("mean_speed")),
