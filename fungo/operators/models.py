@@ -57,7 +57,9 @@ def design(cells: DataFrame, spec: MarketSpec, window: str) -> DataFrame:
     inputs: dict[str, Column] = {"balls": F.col("balls"), "strikes": F.col("strikes"), "two_strikes": (F.col("strikes") >= 2).cast("int"), "three_balls": (F.col("balls") >= 3).cast("int"), "pitcher_zone_delta": form, "pitcher_k_delta": form, "pitcher_velo": spec.base + form}
     if "pitch_of_pa" in cells.columns:
         inputs["pitch_of_pa"] = F.col("pitch_of_pa")
-    return cells.withColumns({f"x_{f}": inputs.get(f, F.lit(0.0)).cast("double") for f in spec.features})
+    if unknown := [f for f in spec.features if f not in inputs]:
+        raise ValueError(f"cells carry no feature {unknown}")
+    return cells.withColumns({f"x_{f}": inputs[f].cast("double") for f in spec.features})
 
 
 def _vectors(df: DataFrame, spec: MarketSpec) -> DataFrame:
@@ -186,3 +188,81 @@ def activate(registry: DataFrame, market: str, version: str, at: Column) -> Data
 def rollback_target(registry: DataFrame) -> DataFrame:
     """For each market the version that was active before the present one."""
     return registry.where("not is_active and activated_at is not null").groupBy("market").agg(F.max_by("version", F.struct("activated_at", "version")).alias("version"))
+
+
+def row_coverage(events: DataFrame, actual: Column, mu: Column, sigma: float, digits: int = 6) -> DataFrame:
+    """Share of events within one deviation of their prediction, event by event."""
+    inside = (F.abs(actual - mu) <= sigma).cast("int")
+    return events.where(actual.isNotNull()).agg(F.round(F.avg(inside), digits).alias("coverage"), F.count("*").alias("n"))
+
+
+def home_advantage_folds(cells: DataFrame, half_lives: Sequence[float | None], first: int, skip: Sequence[int] = ()) -> DataFrame:
+    """Every half-life's out-of-sample log loss and Brier score of a constant home chance, season by season.
+
+    All folds and half-lives come from one pass: a cell of season s trains every
+    fold after s. Cells are one row a season and outcome, so the fan-out is small.
+    """
+    seasons = cells.select(F.col("season").alias("fold")).distinct().where(F.col("fold") >= first)
+    seasons = seasons.where(~F.col("fold").isin(*skip)) if skip else seasons
+    halves = F.explode(F.array(*(F.lit(h).cast("double") for h in half_lives)))
+    # at most one row for each season
+    tried = F.broadcast(seasons.withColumn("half_life", halves))
+    train = cells.join(tried, F.col("season") < F.col("fold"))
+    w = F.col("n") * F.when(F.col("half_life").isNull(), 1.0).otherwise(F.pow(F.lit(0.5), (F.col("fold") - 1 - F.col("season")) / F.col("half_life")))
+    fitted = train.groupBy("fold", "half_life").agg(F.round(F.sum(w * F.col("home_win")) / F.sum(w), 6).alias("home_adv"))
+    test = fitted.join(cells, F.col("season") == F.col("fold"))
+    p = F.when(F.col("home_win") == 1, F.col("home_adv")).otherwise(1 - F.col("home_adv"))
+    return test.groupBy("fold", "half_life", "home_adv").agg(
+        F.round(F.sum(-F.col("n") * F.log(F.greatest(p, F.lit(1e-12)))) / F.sum("n"), 6).alias("logloss"),
+        F.round(F.sum(F.col("n") * F.pow(1 - p, 2)) / F.sum("n"), 6).alias("brier"),
+        F.sum("n").alias("n"),
+    )
+
+
+def sweep(folds: DataFrame, settings: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Means over folds, weighted by events, for each setting."""
+    return folds.groupBy(*settings).agg(*(F.round(F.sum(F.col(m) * F.col("n")) / F.sum("n"), 6).alias(m) for m in metrics), F.count("*").alias("folds_used"), F.sum("n").alias("n"))
+
+
+def best_setting(results: DataFrame, metric: str, higher: bool = False) -> DataFrame:
+    """The row of the best metric; ties go to the setting first in order. Raises if nothing carries the metric."""
+    if metric not in results.columns:
+        raise ValueError(f"no sweep result carries {metric}")
+    key = F.struct(-F.col(metric) if higher else F.col(metric), *(c for c in results.columns if c != metric))
+    return results.where(F.col(metric).isNotNull()).agg(F.min_by(F.struct(*results.columns), key).alias("r")).where("r is not null").select("r.*")
+
+
+#: What a stored fit must hold, by type.
+NEEDED = {"multinomial_logistic": ("classes", "features", "coef", "intercept"), "linear": ("features", "coef", "intercept", "sigma"), "remaining_table": ("table",), "log5": ("home_adv",)}
+
+
+def rebuilt(params: str | Mapping) -> dict:
+    """A stored fit, checked: incomplete or uneven parameters raise instead of scoring as something else."""
+    p = dict(json.loads(params) if isinstance(params, str) else params)
+    kind = p.get("type")
+    if kind not in NEEDED:
+        raise ValueError(f"unknown type of fit: {kind}")
+    if missing := [k for k in NEEDED[kind] if p.get(k) in (None, [], {})]:
+        raise ValueError(f"incomplete fit: {', '.join(missing)} missing")
+    if kind == "multinomial_logistic" and not (len(p["classes"]) == len(p["coef"]) == len(p["intercept"]) and all(len(row) == len(p["features"]) for row in p["coef"])):
+        raise ValueError("coefficients do not fit classes and features")
+    if kind == "linear" and len(p["coef"]) != len(p["features"]):
+        raise ValueError("coefficients do not fit features")
+    return p
+
+
+def logged_run(runs: DataFrame, spec: MarketSpec, setting: Mapping[str, str], metrics: Mapping[str, float], at: Column, holdout: bool = False) -> DataFrame:
+    """The run log with one more row: market, spec hash, setting, metrics, holdout or not, time."""
+    one = runs.sparkSession.range(1).select(
+        F.lit(spec.market).alias("market"), F.lit(spec.digest).alias("spec_hash"), F.lit(json.dumps(dict(setting), sort_keys=True)).alias("setting"),
+        F.lit(json.dumps(dict(metrics), sort_keys=True)).alias("metrics"), F.lit(holdout).alias("holdout"), at.cast("timestamp").alias("finished_at"),
+    )
+    return runs.unionByName(one)
+
+
+def version_drift(registry: DataFrame, stamped: DataFrame) -> DataFrame:
+    """Markets whose newest calls carry another version than the active one, or none."""
+    active = registry.where("is_active").select("market", F.col("version").alias("active_version"))
+    last = stamped.groupBy("market").agg(F.max_by("model_version", F.struct("created_date", "id")).alias("stamped_version"))
+    both = active.join(last, "market", "full")
+    return both.withColumn("drifted", ~F.col("active_version").eqNullSafe(F.col("stamped_version")))

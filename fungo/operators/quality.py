@@ -200,3 +200,35 @@ def job_health(runs: DataFrame, job: str, ok: Column, finished: str, as_of: Colu
     """Last success of each job and the minutes since; null where a job never succeeded."""
     g = runs.groupBy(F.col(job).alias("job")).agg(F.count("*").alias("runs"), F.count_if(ok).alias("successes"), F.max(F.when(ok, F.col(finished).cast("timestamp"))).alias("last_success"))
     return g.withColumn("age_minutes", F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("last_success")) / 60).cast("long"))
+
+
+# Percent missing beyond which a column is flagged, and files of one write that make it a backfill.
+MISSING_WARN, MISSING_ALERT, BACKFILL_FILES = 1.0, 5.0, 20
+
+
+def missingness(df: DataFrame, columns: Sequence[str], structural: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """Missing values of each column with a severity; columns that lack values by design are never flagged."""
+    one = df.agg(F.count("*").alias("n_rows"), *(F.count(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    parts = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("present"), F.lit(c in structural).alias("structural")) for i, c in enumerate(columns)))
+    rows = one.select("n_rows", F.explode(parts).alias("x")).select("n_rows", "x.*")
+    pct = F.coalesce(F.try_divide(100.0 * (F.col("n_rows") - F.col("present")), F.col("n_rows").cast("double")), F.lit(0.0))
+    level = F.when(F.col("structural") | (pct <= MISSING_WARN), "ok").when(pct > MISSING_ALERT, "alert").otherwise("warn")
+    return rows.select("column", (F.col("n_rows") - F.col("present")).alias("missing"), F.round(pct, digits).alias("missing_pct"), "present", "structural", level.alias("severity"))
+
+
+def ingest_frame(ledger: DataFrame, digits: int = 6) -> DataFrame:
+    """Ledger days with rows a game, bytes a row, days from game to write, and whether the write was a backfill."""
+    batch = with_group_size(ledger.withColumn("written", F.to_date("ingested_at")), ["dataset", "written"], "batch_files", "from_backfill", BACKFILL_FILES)
+    per = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), digits)
+    lag = (F.unix_timestamp("ingested_at") - F.unix_timestamp(F.col("day").cast("timestamp"))) / 86_400
+    return batch.select("dataset", "day", "rows_n", "games", "bytes", per("rows_n", "games").alias("rows_per_game"), per("bytes", "rows_n").alias("bytes_per_row"), F.round(lag, digits).alias("lag_days"), "batch_files", "from_backfill")
+
+
+def sampled_days(ledger: DataFrame, n: int, seed: int) -> DataFrame:
+    """A seeded random sample of ledger days (a sampling operator): those of least hash."""
+    return ledger.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "dataset", F.col("day").cast("string"))), "dataset", "day").limit(n)
+
+
+def newest_rows(df: DataFrame, order: Sequence[Column], columns: Sequence[str], n: int = 20) -> DataFrame:
+    """A preview of a table (a top-k report)."""
+    return df.orderBy(*order).select(*columns).limit(n)

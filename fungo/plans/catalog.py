@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fungo.sources.views import Tables, with_views
 
-from . import display, grading, market, quality, serving, training
+from . import boards, display, grading, market, quality, serving, training
 
-MODULES = (display, training, grading, quality, market, serving)
+MODULES = (display, training, grading, quality, market, serving, boards)
 
 
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
