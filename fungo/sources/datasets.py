@@ -125,14 +125,29 @@ def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column
 
 
 def publish(df: DataFrame, path: str) -> int:
-    """Write beside the target, refuse to go on without rows, then overwrite the target."""
-    spark, staging = df.sparkSession, f"{path}.staging"
+    """Write beside the target, refuse to go on without rows, then swap the two folders.
+
+    The old table is moved aside and not deleted before the new one has taken
+    its place; if that fails it is moved back.
+    """
+    spark, staging, aside = df.sparkSession, f"{path}.staging", f"{path}.old"
     df.write.mode("overwrite").parquet(staging)
-    staged = spark.read.schema(df.schema).parquet(staging)
-    n = staged.count()
+    n = spark.read.schema(df.schema).parquet(staging).count()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, old, kept = (hadoop.Path(x) for x in (staging, path, aside))
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not n:
+        fs.delete(new, True)
         raise ValueError("nothing to publish")
-    staged.write.mode("overwrite").parquet(path)
+    fs.delete(kept, True)
+    was_there = fs.exists(old)
+    if was_there and not fs.rename(old, kept):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, old):
+        if was_there:
+            fs.rename(kept, old)
+        raise OSError(f"cannot put the new table at {path}")
+    fs.delete(kept, True)
     return n
 
 

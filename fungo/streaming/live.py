@@ -70,15 +70,17 @@ def live_state(events: DataFrame, key: str, kind: str = "event_type", ts: str =
 
 
 def settle_stream(calls: DataFrame, events: DataFrame, key: str, within: str, late: str = "10 minutes") -> DataFrame:
-    """Calls (key, call_id, call_ts) with the events of their key that follow within a time.
+    """Calls (key, call_id, call_ts) with the first event of their key that follows within a time.
 
-    A left outer join of two streams: a call without an event comes out with
-    nulls once the watermark has passed its time, and is void.
+    A left outer join of two streams, and the earliest match of each call; a call
+    without an event comes out with nulls once the watermark has passed its
+    time, and is void. Every call comes out once.
     """
     c = calls.withWatermark("call_ts", late)
     e = events.select(F.col(key).alias("e_key"), F.col("ts").alias("event_ts"), F.col("event_type").alias("happened")).withWatermark("event_ts", late)
     cond = (F.col(key) == F.col("e_key")) & (F.col("event_ts") > F.col("call_ts")) & (F.col("event_ts") <= F.col("call_ts") + F.expr(f"interval {within}"))
-    return c.join(e, cond, "left").drop("e_key")
+    first = F.min(F.when(F.col("event_ts").isNotNull(), F.struct("event_ts", "happened"))).alias("first")
+    return c.join(e, cond, "left").groupBy(*calls.columns).agg(first).select(*calls.columns, "first.event_ts", "first.happened")
 
 
 def once_each(batch_sink: Callable[[DataFrame], None], path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
@@ -77,3 +78,29 @@ def test_gate_and_registry(spark):
     with pytest.raises(ValueError):
         M.MarketSpec("x", "tree", lambda: None)
     assert SPEC.digest != M.MarketSpec("pitch_result", "multinomial", lambda: None, features=("balls",), classes=SPEC.classes).digest
+
+
+def test_rebuilt_fits_refuse_what_is_incomplete():
+    good = {"type": "multinomial_logistic", "classes": ["a", "b"], "features": ["balls"], "coef": [[1.0], [2.0]], "intercept": [0.0, 1.0]}
+    assert M.rebuilt(json.dumps(good)) == good
+    assert M.rebuilt({"type": "log5", "home_adv": 0.54})["home_adv"] == 0.54
+    for bad in ({}, {"type": "linear", "features": ["balls"], "coef": [1.0], "intercept": 0.0}, good | {"coef": [[1.0]]}, good | {"features": ["balls", "strikes"]}, good | {"coef": None}, {"type": "remaining_table", "table": {}}):
+        with pytest.raises(ValueError):
+            M.rebuilt(bad)
+
+
+def test_design_refuses_a_feature_that_cells_lack(spark):
+    spec = M.MarketSpec("x", "multinomial", lambda: None, ("pitch_of_pa",), ("a",))
+    with pytest.raises(ValueError):
+        M.design(spark.createDataFrame([(0, 0, 1)], "balls int, strikes int, career_zone_bucket int"), spec, "career")
+
+
+def test_run_log_and_best_setting(spark):
+    spec = M.MarketSpec("x", "log5", lambda: None)
+    runs = spark.createDataFrame([], "market string, spec_hash string, setting string, metrics string, holdout boolean, finished_at timestamp")
+    runs = M.logged_run(M.logged_run(runs, spec, {"h": "1"}, {"logloss": 0.6}, F.lit("2024-01-01")), spec, {"h": "2"}, {"logloss": 0.5}, F.lit("2024-01-02"), True)
+    assert runs.where("holdout").count() == 1 and runs.select("spec_hash").distinct().first()[0] == spec.digest
+    results = spark.createDataFrame([(1.0, 0.6), (2.0, 0.5), (4.0, 0.5), (8.0, None)], "half_life double, logloss double")
+    assert M.best_setting(results, "logloss").first()["half_life"] == 2.0 and M.best_setting(results, "logloss", True).first()["half_life"] == 1.0
+    with pytest.raises(ValueError):
+        M.best_setting(results, "rmse")

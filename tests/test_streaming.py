@@ -46,11 +46,11 @@ def test_once_each_sink(spark, tmp_path):
 
 
 def test_settlement_of_streams(spark, tmp_path):
-    e = spark.createDataFrame([(1, "2024-01-01 00:05:00", "a"), (1, "2024-01-01 00:30:00", "b"), (9, "2024-01-03 00:00:00", "z")], "user_id int, t string, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_type")
+    e = spark.createDataFrame([(1, "2024-01-01 00:05:00", "a"), (1, "2024-01-01 00:07:00", "b"), (1, "2024-01-01 00:30:00", "c"), (9, "2024-01-03 00:00:00", "z")], "user_id int, t string, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_type")
     c = spark.createDataFrame([(1, 10, "2024-01-01 00:00:00"), (2, 20, "2024-01-01 00:00:00"), (9, 90, "2024-01-03 00:00:00")], "user_id int, call_id int, t string").select("user_id", "call_id", F.to_timestamp("t").alias("call_ts"))
     e.write.parquet(str(tmp_path / "e"))
     c.write.parquet(str(tmp_path / "k"))
     es, cs = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), spark.readStream.schema(c.schema).parquet(str(tmp_path / "k"))
     got = L.run_available(L.settle_stream(cs, es, "user_id", "10 minutes"), "settled", str(tmp_path / "c"))
     rows = {r["call_id"]: r["happened"] for r in got.collect()}
-    assert rows[10] == "a" and rows.get(20, "missing") is None
+    assert rows[10] == "a" and rows.get(20, "missing") is None and got.where("call_id = 10").count() == 1
