@@ -1,14 +1,15 @@
 """Secret scans: fixed patterns, and a battery of randomness tests.
 
 Tokens of key-like characters are tested as draws from the alphabet of their
-inferred encoding: chi-squared uniformity over classes of the alphabet, runs
-about the median, and lag-one serial correlation. The least p-value times three
-is a token's p. Random strings have p spread over [0, 1]; ordinary words, names
-and paths gather at zero. So for each encoding and length class, counts of p
-over the whole corpus tell how many tokens above a threshold are random ones
-(twice those above one half, carried down), and the threshold is the least that
-keeps the share of others at or below ``fdr``, or within the counting error of
-the square root where a class is small. Counts are a table of bounded
+inferred encoding: chi-squared uniformity over classes of the alphabet, repeated
+symbols, runs about the median, and lag-one serial correlation. Tested are runs
+of 20 and more such characters; shorter ones do not tell random from not. A token's p is the chance
+that the least of as many p-values is no greater. Random strings have p spread over [0, 1]; ordinary words,
+names and paths gather at zero. So for each encoding and pool of neighbouring
+length classes, counts of p over the whole corpus tell how many tokens above a
+threshold are random ones (twice those above one half, carried down), and the
+threshold is the least that keeps the share of others at or below ``fdr``.
+Counts are a table of bounded
 size: encodings x length classes x bins of p.
 """
 
@@ -44,6 +45,8 @@ ALPHABETS = {
 }
 #: Thresholds of p that are tried, and bins of its histogram.
 GRID = (0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
+#: Tokens that neighbouring length classes of an encoding are pooled to.
+POOL = 400
 
 
 def infer_encoding(token: str) -> str:
@@ -80,7 +83,7 @@ def _class_edges(encoding: str, n: int) -> list[int]:
 
 
 def randomness(token: str) -> tuple[str, float]:
-    """Inferred encoding, and p of the battery (three times the least, at most 1)."""
+    """Inferred encoding, and p of the battery: the chance that the least of as many independent p-values is no greater."""
     encoding = infer_encoding(token)
     chars = ALPHABETS[encoding]
     place = {c: i for i, c in enumerate(chars)}
@@ -108,7 +111,7 @@ def randomness(token: str) -> tuple[str, float]:
     y = x - x.mean()
     r = float((y[1:] * y[:-1]).sum() / max((y * y).sum(), 1e-9))
     p.append(math.erfc(abs(r + 1 / n) * math.sqrt(n / 2)))
-    return encoding, min(1.0, len(p) * min(p))
+    return encoding, 1 - (1 - min(p)) ** len(p)
 
 
 def length_class(n: int) -> int:
@@ -166,17 +169,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, SCAN_SCHEMA), "secret_scan")
 
 
+def _pools(sizes: dict[int, int]) -> list[list[int]]:
+    """Length classes of one encoding, neighbours together until a pool holds POOL tokens; what is left joins the last pool."""
+    pools, now, held = [], [], 0
+    for length in sorted(sizes):
+        now.append(length)
+        held += sizes[length]
+        if held >= POOL:
+            pools.append(now)
+            now, held = [], 0
+    if now and pools:
+        pools[-1] += now
+    elif now:
+        pools.append(now)
+    return pools
+
+
 def thresholds(scanned: DataFrame, fdr: float = 0.05) -> dict[str, float]:
-    """Least accepted p by "encoding/length class"; classes without one are absent."""
+    """Least accepted p by "encoding/length class"; classes without one are absent.
+
+    The rule is the same at every size: of the tokens above a threshold, the
+    share that the estimate of random ones does not explain is ``fdr`` at most.
+    """
     above = [F.count_if(F.col("c.p") > t).alias(f"n{i}") for i, t in enumerate(GRID)]
-    rows = scanned.select(F.explode("more").alias("c")).groupBy("c.encoding", "c.lengths").agg(*above).collect()
+    rows = scanned.select(F.explode("more").alias("c")).groupBy("c.encoding", "c.lengths").agg(F.count("*").alias("size"), *above).collect()
     out = {}
-    for row in rows:
-        random = 2 * row[f"n{len(GRID) - 1}"]
-        for i, t in enumerate(GRID):
-            if (n := row[f"n{i}"]) and n - random * (1 - t) <= max(fdr * n, math.sqrt(n)):
-                out[f"{row['encoding']}/{row['lengths']}"] = t
-                break
+    for encoding in {row["encoding"] for row in rows}:
+        mine = {row["lengths"]: row for row in rows if row["encoding"] == encoding}
+        for pool in _pools({k: row["size"] for k, row in mine.items()}):
+            counts = [sum(mine[k][f"n{i}"] for k in pool) for i in range(len(GRID))]
+            random = 2 * counts[-1]
+            accepted = [t for t, n in zip(GRID, counts, strict=True) if n and n - random * (1 - t) <= fdr * n]
+            out |= {f"{encoding}/{k}": accepted[0] for k in pool if accepted}
     return out
 
 
