@@ -32,7 +32,7 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """For each code point: itself in lower case if it is a letter, else blank."""
     table = np.full(0x110000, 32, np.uint32)
-    for block in (range(0xD800), range(0xE000, 0x32000)):
+    for block in (range(0xD800), range(0xE000, 0x110000)):
         for i in block:
             c = chr(i)
             if c.isalpha():
@@ -155,9 +155,17 @@ def train(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str =
     if not sizes:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)))
     each = max(1, min(sample_each, sample_all // len(sizes)))
-    limit = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, each / n)))
+    # a few more than wanted, so that the rows of least place are among them
+    limit = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, (each + 4 * math.sqrt(each) + 4) / n)))
     sample = rows.where(F.col("place") < F.element_at(limit, F.col("lang"))).mapInArrow(_sampled, "lang string, place double, found array<int>, counts array<long>")
     picked = sorted(sample.collect(), key=lambda r: (r["place"], r["lang"], r["found"], r["counts"]))
+    drawn: dict[str, int] = {}
+    kept = []
+    for r in picked:
+        drawn[r["lang"]] = drawn.get(r["lang"], 0) + 1
+        if drawn[r["lang"]] <= each:
+            kept.append(r)
+    picked = kept
     held = np.zeros(BUCKETS + 1, np.int64)
     for r in rows.select("text").mapInArrow(_document_counts, "bucket int, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs")).collect():
         held[r["bucket"]] = r["docs"]

@@ -15,14 +15,17 @@ TEXTS_AT_ONCE = 500
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary folder is made and set on the context.
+    It is read from ``spark.checkpoint.dir``; where that is unset on a single
+    machine (tests), a temporary folder is made and set on the context. On a
+    cluster a folder of one machine would lose rows, so there it raises.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fungo-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")

@@ -236,6 +236,44 @@ def test_secret_thresholds_and_redaction(spark):
     assert out["text"].str.contains(r"\[secret\]").sum() == len(hit) and (out["n_chars"] == out["text"].str.len()).loc[out["text"].str.contains("secret")].all()
 
 
+def test_small_classes_keep_the_false_share(spark):
+    path = "buildArtifactSnapshot42Xq/configPath"
+    p = secrets.randomness(path)[1]
+    assert 0.001 < p < 0.1
+    table = spark.createDataFrame([(1, f"see {path} there"), (2, "nothing")], "doc_id long, text string")
+    assert not secrets.find_secrets(table).where("spans <> ''").count()
+    assert path in {t for r in secrets.redact(table).collect() for t in (r["text"] or "").split()}
+    rng = np.random.default_rng(8)
+    words = ["get", "Http", "Response", "Server", "config", "Build", "Artifact", "value", "Index", "42", "Cache", "node", "Path", "user", "2024", "List"]
+    names = ["".join(rng.choice(words, 6)) for _ in range(3_000)]
+    keys = ["".join(rng.choice(list(secrets.ALPHABETS["base62"]), int(rng.integers(24, 60)))) for _ in range(600)]
+    rows = [(i, f"x {t} y") for i, t in enumerate(names + keys)]
+    hit = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("spans like '%random%'").toPandas()
+    assert (hit["doc_id"] < 3_000).mean() < 0.1 and (hit["doc_id"] >= 3_000).sum() > 400
+
+
+def test_one_training_document_a_language(spark):
+    rows = [(i, f"{chr(0x4E00 + 50 * (i % 40))}{chr(0x4E10 + 50 * (i % 40))} " * 5, f"l{i % 40}") for i in range(1, 400)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id"), sample_all=40)
+    assert len(model.languages) == 40
+    assert language.grams(chr(0x32000)) is not None and language.grams("1 2 3") is None
+
+
+def test_one_step_of_the_learner():
+    model = language.Model(["a", "b"], np.ones(language.BUCKETS), np.zeros((language.BUCKETS + 1, 2)))
+    found, x = np.array([3, 9]), np.array([0.6, 0.8])
+    language.fit_ftrl([(found, x, 1)], model, alpha=0.5, beta=1.0, l1=0.1, l2=0.2, epochs=1)
+    for place, value in ((3, 0.6), (9, 0.8), (language.BUCKETS, 1.0)):
+        for c, p in ((0, 0.5), (1, -0.5)):
+            g = value * p  # all weights are zero, so the slope is the chance less the truth
+            want = -(g - np.sign(g) * 0.1) / ((1 + abs(g)) / 0.5 + 0.2) if abs(g) > 0.1 else 0.0
+            assert model.weights[place, c] == pytest.approx(want)
+    scores = [(found, x, k % 2) for k in range(10)]
+    model.weights[3] = [4.0, -4.0]
+    t = language.fit_temperature(scores, model)
+    assert t == pytest.approx(5.0)  # half of them are wrong, so the flattest softmax is best
+
+
 def test_warc_round_trip(spark, tmp_path):
     evil = "x WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: 9999999\r\n\r\n" + "é" * 100
     rows = [(1, "u", None), (2, None, ""), (3, "a\nb", evil), (4, "u", evil), (5, "u", "short"), (6, "u", "short"), (7, "u", "é" * 60), (0, "u", "é" * 60), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 20), (9, "u", "<p>" * 200_000)]
