@@ -1,7 +1,8 @@
 """Embedding near-duplicates with randomised-rotation binary codes.
 
 A vector is turned by one random rotation; the signs of the result are its code
-and the inner product of code and vector is its stored correction factor. Code
+and the inner product of code and vector is its correction factor. Both are
+worked out once and stored with the vector. Code
 and factor give an unbiased estimate of the inner product with any other vector
 and a bound on its error. A pair whose upper bound is under the threshold is
 settled; only the rest is computed again, in double precision.
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .components import connected_components
 from .shared import split_hot, stage
@@ -48,8 +50,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _keys(planes: dict[int, np.ndarray], tables: int, bits: int):
-    """Bucket numbers of each vector in each table."""
+def _coded(rotations: dict[int, np.ndarray], planes: dict[int, np.ndarray], tables: int, bits: int, kind: str):
+    """Adds to each vector its code (sign bits after rotation), correction factor, and bucket numbers in all tables."""
     weight = 1 << np.arange(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,15 +59,19 @@ def _keys(planes: dict[int, np.ndarray], tables: int, bits: int):
             dims, raw = batch["dim"].to_numpy(), batch["vec"].to_pylist()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(raw[i] for i in at), "<f8").reshape(len(at), dim)
-                keys = ((_unit(x) @ planes[int(dim)]).reshape(len(at), tables, bits) > 0) @ weight
+                x = _unit(np.frombuffer(b"".join(raw[i] for i in at), kind).astype(float).reshape(len(at), dim))
+                turned = x @ rotations[int(dim)]
+                code = np.packbits(turned > 0, axis=1, bitorder="little")
+                factor = np.abs(turned).sum(1) / math.sqrt(dim)
+                keys = ((x @ planes[int(dim)]).reshape(len(at), tables, bits) > 0) @ weight
                 some = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], names=[*some.schema.names, "keys"])
+                more = [pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*some.columns, *more], names=[*some.schema.names, "code", "factor", "keys"])
 
     return run
 
 
-def _pairs(rotations: dict[int, np.ndarray], threshold: float):
+def _pairs(rotations: dict[int, np.ndarray], threshold: float, kind: str):
     """Whole groups of vectors to (a, b, n): links of a forest where b is set, else n more links of a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +83,7 @@ def _pairs(rotations: dict[int, np.ndarray], threshold: float):
         order = np.lexsort([col[c] for c in ("rep", "side", "bj", "bi", "key", "t", "dim", "label")])
         group = np.stack([col[c][order].astype(np.int64) for c in ("label", "dim", "t", "key", "bi", "bj")])
         starts = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
-        vec, keys = rows["vec"].combine_chunks(), rows["keys"].combine_chunks()
+        vec, keys, codes, factors = (rows[c].combine_chunks() for c in ("vec", "keys", "code", "factor"))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
             if hi - lo < 2:
@@ -88,11 +94,12 @@ def _pairs(rotations: dict[int, np.ndarray], threshold: float):
             if not own and cut in (0, hi - lo):
                 continue
             some = pa.array(at)
-            x = _unit(np.frombuffer(b"".join(vec.take(some).to_pylist()), "<f8").reshape(len(at), dim))
+            x = _unit(np.frombuffer(b"".join(vec.take(some).to_pylist()), kind).astype(float).reshape(len(at), dim))
             first, second = (slice(None), slice(None)) if own else (slice(0, cut), slice(cut, None))
             turned = x @ rotations[dim]
-            code = np.where(turned > 0, 1.0, -1.0) / math.sqrt(dim)
-            factor = (code * turned).sum(1)
+            packed = np.frombuffer(b"".join(codes.take(some).to_pylist()), np.uint8).reshape(len(at), -1)
+            code = (2.0 * np.unpackbits(packed, axis=1, bitorder="little", count=dim) - 1) / math.sqrt(dim)
+            factor = factors.take(some).to_numpy()
             estimate = (code[first] @ turned[second].T) / factor[first, None]
             bound = DEVIATIONS * np.sqrt(np.maximum(0, 1 - factor[first] ** 2)) / factor[first] / math.sqrt(max(1, dim - 1))
             i, j = np.nonzero(estimate + bound[:, None] >= threshold)
@@ -118,11 +125,15 @@ def _pairs(rotations: dict[int, np.ndarray], threshold: float):
     return run
 
 
-def _to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch["v"]
-        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes(), np.concatenate([[0], np.cumsum(batch["dim"].to_numpy())]) * 8
-        yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], batch["dim"], pa.array([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["vec_id", "label", "dim", "vec"])
+def _to_bytes(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.dtype(kind).itemsize
+        for batch in batches:
+            flat = batch["v"].flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+            offsets = np.concatenate([[0], np.cumsum(batch["dim"].to_numpy())]) * size
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], batch["dim"], pa.array([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["vec_id", "label", "dim", "vec"])
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 42, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -134,20 +145,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     different lengths. Rows that repeat are copies that link with each other. An
     empty table gives no row. Other columns are not read.
     """
+    # single precision is kept where the table has it: the bytes are half as many and the same numbers
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType == FloatType() else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     finite: Column = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    good = rows.where(sound).withColumn("dim", F.size("v").cast("long")).mapInArrow(_to_bytes, "vec_id long, label long, dim long, vec binary")
+    good = rows.where(sound).withColumn("dim", F.size("v").cast("long")).mapInArrow(_to_bytes(kind), "vec_id long, label long, dim long, vec binary")
     good = stage(good.withColumn("same", F.sha2("vec", 256)), "vectors")
     reps = stage(good.groupBy("label", "dim", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec")), "distinct_vectors")
     sizes = reps.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     bits, tables = tables_for(max((r["n"] for r in sizes), default=1), threshold, recall)
     rotations = {r["dim"]: rotation(r["dim"], seed) for r in sizes}
     planes = {d: np.random.default_rng([seed, d, 1]).normal(size=(d, tables * bits)) for d in rotations}
-    coded = stage(reps.select("label", "dim", "rep", "copies", "vec").mapInArrow(_keys(planes, tables, bits), "label long, dim long, rep long, copies long, vec binary, keys array<int>"), "coded_vectors")
+    schema = "label long, dim long, rep long, copies long, vec binary, code binary, factor double, keys array<int>"
+    coded = stage(reps.select("label", "dim", "rep", "copies", "vec").mapInArrow(_coded(rotations, planes, tables, bits, kind), schema), "coded_vectors")
     rows_by_key = coded.select("*", F.posexplode("keys").alias("t", "key"))
     group = ["label", "dim", "t", "key"]
-    met = split_hot(rows_by_key, group, "rep", block).repartition(*group, "bi", "bj").mapInArrow(_pairs(rotations, threshold), "a long, b long, n long")
+    met = split_hot(rows_by_key, group, "rep", block).repartition(*group, "bi", "bj").mapInArrow(_pairs(rotations, threshold, kind), "a long, b long, n long")
     met = stage(met, "vector_links")
     roots = connected_components(met.where("b is not null").select("a", "b"))
     counts = met.where("b is null").groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n"))
