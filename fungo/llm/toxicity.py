@@ -4,9 +4,10 @@ P(grade > k) = sigmoid(w.x - t_k): one weight for each sparse text feature,
 shared by all thresholds t_0 <= t_1 <= t_2. The score is the expected grade.
 
 Features are whole words and word beginnings, chosen on a bounded sample of
-labelled documents by their association with the label. Where labels only tell
-toxic from not, the grades of toxic documents are thirds of the amount of
-chosen features in them (the sum of log counts), which shared weights can order.
+labelled documents by their association with the label. Labels only tell toxic
+from not, so the grades of toxic documents are thirds of the amount (the sum of
+log counts) of features that were chosen on the other half of the sample: what a
+document's own words choose does not grade it.
 """
 
 from __future__ import annotations
@@ -130,6 +131,18 @@ def _counted(model: Model):
     return run
 
 
+def _chosen(sample: DataFrame, features: int) -> list[str]:
+    """Features that toxic documents of a sample have far more often than others, the most telling first."""
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return []
+    bad, good = F.col("bad") / n[1], (F.col("docs") - F.col("bad")) / n[0]
+    both = F.col("docs") / (n[0] + n[1])
+    z = (bad - good) / F.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + F.lit(1e-12))
+    table = sample.select("text", "toxic").mapInArrow(_present, "feature string, bad long, docs long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("docs").alias("docs"))
+    return [r["feature"] for r in table.where("bad >= 3").withColumn("z", z).where("z > 4").where(bad > 20 * good).orderBy(F.desc("z"), "feature").limit(features).collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_each: int = SAMPLE_EACH, features: int = FEATURES) -> Model:
     """Fit on at most about ``sample_each`` labelled documents of each class. Null labels are not used."""
     small_batches(docs.sparkSession)
@@ -141,26 +154,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = told.withColumn("place", place).where(F.col("place") < F.when(F.col("toxic") == 1, sample_each / sizes[1]).otherwise(sample_each / sizes[0]))
     wanted = wanted.groupBy("__label_id").agg(F.max("toxic").alias("toxic"), F.first("place").alias("place"))
     # its size is bounded by the two sample sizes, so a broadcast is safe and no text is shuffled
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("__label_id")).select("text", "toxic", "place").where("text is not null").persist()
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("__label_id")).select("text", "toxic", "place", F.pmod(F.xxhash64("place"), F.lit(2)).alias("half")).where("text is not null").persist()
     try:
         n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(n) < 2:
             return Model()
-        bad, good = F.col("bad") / n[1], (F.col("docs") - F.col("bad")) / n[0]
-        both = F.col("docs") / (n[0] + n[1])
-        z = (bad - good) / F.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + F.lit(1e-12))
-        table = sample.select("text", "toxic").mapInArrow(_present, "feature string, bad long, docs long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("docs").alias("docs"))
-        chosen = [r["feature"] for r in table.where("bad >= 3").withColumn("z", z).where("z > 4").where(bad > 20 * good).orderBy(F.desc("z"), "feature").limit(features).collect()]
-        model = Model({f: i for i, f in enumerate(chosen)})
-        rows = sorted(sample.mapInArrow(_counted(model), "place double, toxic long, found array<long>, n array<long>, words long").collect(), key=lambda r: (r["place"], r["words"]))
+        rows = {}
+        # the features of the model, then those of each half of the sample for grades of the other half
+        for half in (None, 0, 1):
+            some = sample if half is None else sample.where(F.col("half") == half)
+            chosen = _chosen(some, features)
+            model = Model({f: i for i, f in enumerate(chosen)})
+            other = sample if half is None else sample.where(F.col("half") != half)
+            found = other.mapInArrow(_counted(model), "place double, toxic long, found array<long>, n array<long>, words long").collect()
+            rows[half] = chosen, sorted(found, key=lambda r: (r["place"], r["words"], r["found"], r["n"]))
     finally:
         sample.unpersist()
+    chosen, all_rows = rows[None]
     if not chosen:
         return Model()
-    x, y = np.zeros((len(rows), len(chosen))), np.array([r["toxic"] for r in rows])
-    for i, r in enumerate(rows):
+    model = Model({f: i for i, f in enumerate(chosen)})
+    x, y = np.zeros((len(all_rows), len(chosen))), np.array([r["toxic"] for r in all_rows])
+    for i, r in enumerate(all_rows):
         x[i, r["found"]] = np.log1p(r["n"])
-    amount = x.sum(1)
+    amounts = {(r["place"], r["words"]): float(np.log1p(r["n"]).sum()) for half in (0, 1) for r in rows[half][1]}
+    amount = np.array([amounts[r["place"], r["words"]] for r in all_rows])
     if y.any():
         edges = np.quantile(amount[y == 1], np.arange(1, GRADES) / GRADES)
         y = np.where(y == 1, 1 + np.searchsorted(edges, amount, side="right"), 0)
