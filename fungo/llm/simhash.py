@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import small_batches, stage
+from .shared import small_batches, split_hot, stage
 
 BITS = 64
 #: A task of more fingerprints than this is split at the next levels of the trie.
@@ -40,6 +40,8 @@ PAIRS_AT_ONCE, LEAF_PAIRS = 1_000_000, 64
 SLICE_BYTES = 1 << 20
 #: Bands of least hashes: recall 0.9998 for a pair at similarity 0.8.
 BANDS, ROWS = 16, 4
+#: Texts of one block, where all texts of a band are compared, and shingles counted at once.
+BLOCK_TEXTS, COLUMNS = 512, 2_048
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -311,18 +313,73 @@ def band_keys(x: np.ndarray, seed: int = 42) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shared values of each of the sets ``a`` with each of the sets ``b`` (numbers of sets), some values at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = seen > 1
+    number, kept = np.cumsum(twice) - 1, twice[column]
+    owner, column = owner[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, int(twice.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[lo:hi], column[lo:hi] - at] = 1
+        out += held[a] @ held[b].T
+    return out
+
+
+def _block_forest(least: float):
+    """Links between the components (``root``) of a block's texts, as few as connect what similar pairs of it connect."""
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("text_hash", ignore_index=True)
+        sets, names, roots, side = [np.asarray(x, np.int64) for x in rows["shingles"]], rows["text_hash"].tolist(), rows["root"].to_numpy(), rows["side"].to_numpy()
+        a = np.flatnonzero(side == 0)
+        b = a if rows["bi"][0] == rows["bj"][0] else np.flatnonzero(side == 1)
+        links, parent = [], {r: r for r in roots.tolist()}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        if len(a) and len(b):
+            both, sizes = shared_counts(sets, a, b), np.array([len(x) for x in sets])
+            all_ = sizes[a][:, None] + sizes[b][None] - both
+            alike = np.divide(both, all_, out=np.ones_like(both), where=all_ > 0) >= least
+            for i, j in np.argwhere(alike & (roots[a][:, None] != roots[b][None])):
+                x, y = top(int(roots[a[i]])), top(int(roots[b[j]]))
+                if x != y:
+                    parent[x] = y
+                    links.append((names[a[i]], names[b[j]]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return found
+
+
 def similar_links(texts: DataFrame, least: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
     """(a, b): links that connect what pairs of ``texts`` (text_hash, text; distinct) of similarity ``least`` or more connect.
 
     Candidates share a band. First each text is compared with the least of its
-    band; then all texts of a band that are still in different components are
-    compared, so a large group of copies needs no more than a star.
+    band, so a large group of copies needs no more than a star. Bands whose texts
+    are still in different components are then compared whole, in blocks of
+    BLOCK_TEXTS texts: a block counts shared shingles by matrix products and gives
+    a forest of its links, so no pairs leave it. Those counts grow with the square
+    of a band's texts, as texts just below ``least`` cannot be told apart without.
     """
 
     @F.pandas_udf("array<long>")
     def bands(x: pd.Series) -> pd.Series:
         return pd.Series([band_keys(shingles(t, width, seed), seed) for t in x])
 
+    @F.pandas_udf("array<long>")
+    def sets_of(x: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width, seed).view(np.int64) for t in x])
+
     @F.pandas_udf("double")
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(shingles(x, width, seed), shingles(y, width, seed)) for x, y in zip(a, b, strict=True)], dtype=float)
@@ -340,11 +397,11 @@ def similar_links(texts: DataFrame, least: float = 0.8, width: int = 5, seed: in
     placed = stage(shared.join(roots, shared["text_hash"] == roots["node"], "left").select("band", "key", "a", "text_hash", F.coalesce("root", "text_hash").alias("root")), "placed_bands")
     # bands whose texts are one component by now have nothing to add
     open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    left = placed.join(open_, ["band", "key"], "left_semi")
-    other = left.select("band", "key", F.col("text_hash").alias("other"), F.col("root").alias("other_root"))
-    apart = (F.col("root") != F.col("other_root")) & (F.col("text_hash") < F.col("other")) & (F.col("text_hash") != F.col("a"))
-    rest = left.join(other, ["band", "key"]).where(apart).select(F.col("text_hash").alias("a"), F.col("other").alias("b")).distinct()
-    return stars.unionByName(checked(rest, "other_links"))
+    left = stage(placed.join(open_, ["band", "key"], "left_semi").select("band", "key", "text_hash", "root"), "open_bands")
+    sets = stage(texts.join(left.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", sets_of("text").alias("shingles")), "open_shingles")
+    blocks = split_hot(left, ["band", "key"], "text_hash", BLOCK_TEXTS).join(sets, "text_hash")
+    rest = blocks.groupBy("band", "key", "bi", "bj").applyInPandas(_block_forest(least), "a long, b long")
+    return stars.unionByName(stage(rest, "other_links"))
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:

@@ -145,6 +145,29 @@ def test_keep_one_similar_equals_brute_force(spark):
     assert len(kept) == want < 100
 
 
+def test_similar_links_in_blocks_equal_brute_force(spark, monkeypatch):
+    # a spread group: many texts are near each other but not near their band's hub
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 8)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        changed = list(texts[rng.integers(len(texts))]) if i else list(words)
+        for at in rng.integers(0, 150, rng.integers(1, 5)):
+            changed[at] = f"x{rng.integers(10_000)}"
+        texts.append(changed)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(60, None), (61, ""), (62, "\t")]
+    sets = [simhash.shingles(t) for _, t in rows]
+    counts = simhash.shared_counts([s.view(np.int64) for s in sets], np.arange(63), np.arange(20, 63))
+    # a set's count with itself lacks what no other set holds, and is not used
+    assert all(counts[i, j - 20] == len(np.intersect1d(sets[i], sets[j])) for i in range(63) for j in range(20, 63) if i != j)
+    linked = np.array([[simhash.similarity(a, b) >= 0.8 for a in sets] for b in sets])
+    roots = _roots(np.arange(len(rows)), linked)
+    want = set(roots.values() if isinstance(roots, dict) else list(roots))
+    kept = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert set(kept["doc_id"]) == want and len(want) > 1
+
+
 def test_packing_round_trip(docs, odd):
     from tokenizers import Tokenizer
 
