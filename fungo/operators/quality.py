@@ -224,6 +224,32 @@ def ingest_frame(ledger: DataFrame, digits: int = 6) -> DataFrame:
     return batch.select("dataset", "day", "rows_n", "games", "bytes", per("rows_n", "games").alias("rows_per_game"), per("bytes", "rows_n").alias("bytes_per_row"), F.round(lag, digits).alias("lag_days"), "batch_files", "from_backfill")
 
 
+# Least games and rows for a verdict on a day, floor of the file-size rule, lag limits in days, and newest days judged for lag.
+LEAST_GAMES, LEAST_FILE_ROWS, BYTES_FLOOR_PERCENT = 3, 3_000, 15.0
+LAG_WARN, LAG_ALERT, LAG_JUDGED_DAYS = 3.0, 5.0, 14
+
+
+def scored_days(frame: DataFrame, digits: int = 6) -> DataFrame:
+    """``ingest_frame`` rows with a status for rows a game, bytes a row and lag, the rows to expect, and the worst status.
+
+    Days of too few games or rows are in the baselines but pass; lag is judged
+    on each dataset's newest days, backfills left out.
+    """
+    x = trailing_baseline(frame, ["dataset"], "day", "rows_per_game", digits=digits)
+    x = trailing_baseline(x, ["dataset"], "day", "bytes_per_row", floor=BYTES_FLOOR_PERCENT, digits=digits)
+    newest = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("day")))
+    late = F.when(F.col("lag_days") > LAG_ALERT, "fail").when(F.col("lag_days") > LAG_WARN, "warn").otherwise("pass")
+    x = x.withColumn("__newest", newest).withColumns({
+        "rows_per_game_status": F.when(F.col("games") >= LEAST_GAMES, F.col("rows_per_game_status")).otherwise("pass"),
+        "bytes_per_row_status": F.when(F.col("rows_n") >= LEAST_FILE_ROWS, F.col("bytes_per_row_status")).otherwise("pass"),
+        "lag_days_status": F.when((F.col("__newest") <= LAG_JUDGED_DAYS) & ~F.col("from_backfill"), late).otherwise("pass"),
+        "expected_rows": F.round(F.col("rows_per_game_median") * F.col("games"), 3),
+    })
+    names = F.array(F.col("rows_per_game_status"), F.col("bytes_per_row_status"), F.col("lag_days_status"))
+    worst = F.when(F.array_contains(names, "fail"), "fail").when(F.array_contains(names, "warn"), "warn").otherwise("pass")
+    return x.withColumn("status", worst).drop("__newest")
+
+
 def sampled_days(ledger: DataFrame, n: int, seed: int) -> DataFrame:
     """A seeded random sample of ledger days (a sampling operator): those of least hash."""
     return ledger.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "dataset", F.col("day").cast("string"))), "dataset", "day").limit(n)

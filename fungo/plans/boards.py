@@ -206,6 +206,20 @@ select "column", n - present as missing, round(100.0 * (n - present) / n, 6) as
         lambda t: Q.ingest_frame(_ledger(t)),
         f"""with l as ({_LEDGER}), b as (select *, count(*) over (partition by dataset, cast(ingested_at as date)) as batch_files from l)
 select dataset, day, rows_n, games, bytes, round(rows_n / games, 6) as rows_per_game, round(bytes / rows_n, 6) as bytes_per_row, round(date_diff('second', day::timestamp, ingested_at) / 86400, 6) as lag_days, batch_files, batch_files > 20 as from_backfill from b""",
+    ),
+    "q12_scored_days": (
+        lambda t: Q.scored_days(Q.ingest_frame(_ledger(t))).select("dataset", "day", "expected_rows", "rows_per_game_status", "bytes_per_row_status", "lag_days_status", "status"),
+        f"""with l as ({_LEDGER}), f as (select *, round(rows_n / games, 6) as rpg, round(bytes / rows_n, 6) as bpr, round(date_diff('second', day::timestamp, ingested_at) / 86400, 6) as lag,
+  count(*) over (partition by dataset, cast(ingested_at as date)) > 20 as bulk, row_number() over (partition by dataset order by day desc) as newest from l),
+ long as (select dataset, day, 'rpg' as metric, rpg as v, 5.0 as floor_pct, games >= 3 as judged from f union all select dataset, day, 'bpr', bpr, 15.0, rows_n >= 3000 from f),
+ past as (select *, list(v) over (partition by dataset, metric order by day rows between 28 preceding and 1 preceding) as prior from long),
+ mid as (select *, case when len(prior) >= 10 then list_median(prior) end as med from past),
+ dev as (select *, case when med is not null then list_median(list_transform(prior, lambda y: abs(y - med))) end as mad from mid),
+ moved as (select *, abs(100.0 * (v - med) / nullif(med, 0)) as rel, case when mad > 0 then abs(0.6745 * (v - med) / mad) end as z from dev),
+ told as (select *, case when not judged or rel is null or rel <= floor_pct then 0 when z is null then case when rel > 3 * floor_pct then 2 else 1 end when z > 3.5 then 2 when z > 2.5 then 1 else 0 end as grade from moved),
+ wide as (select dataset, day, max(med) filter (where metric = 'rpg') as med, max(grade) filter (where metric = 'rpg') as a, max(grade) filter (where metric = 'bpr') as b from told group by 1, 2),
+ all_ as (select f.dataset, f.day, round(med * games, 3) as expected_rows, a, b, case when newest > 14 or bulk then 0 when lag > 5 then 2 when lag > 3 then 1 else 0 end as c from f join wide using (dataset, day))
+select dataset, day, expected_rows, ['pass', 'warn', 'fail'][a + 1] as rows_per_game_status, ['pass', 'warn', 'fail'][b + 1] as bytes_per_row_status, ['pass', 'warn', 'fail'][c + 1] as lag_days_status, ['pass', 'warn', 'fail'][greatest(a, b, c) + 1] as status from all_""",
     ),
     "o6_sampled_days": (
         lambda t: Q.sampled_days(t.ledger, 20, 7).select("dataset", "day"),
