@@ -111,6 +111,22 @@ def preferred(rows: DataFrame, keys: Sequence[str], kind: str, order: Sequence[s
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(rank, -F.col(newest))).alias("r")).select(*keys, "r.*")
 
 
+def quoted_games(quotes: DataFrame, games: DataFrame) -> DataFrame:
+    """``quotes`` (game_date, away_team_id, home_team_id) with the game they are of and how it was found.
+
+    Both teams name a game by pair; one team alone names its game of the day, the
+    greatest number where it plays twice. Quotes of no game stay, with nulls.
+    """
+    day = F.col("game_date").alias("__day")
+    pairs = games.groupBy(day, F.col("away_team_id").alias("__away"), F.col("home_team_id").alias("__home")).agg(F.max("game_pk").alias("__pair"))
+    teams = games.select(day, "game_pk", F.explode(F.array("home_team_id", "away_team_id")).alias("__team")).groupBy("__day", "__team").agg(F.max("game_pk").alias("__single"))
+    by_pair = (F.col("game_date") == F.col("__day")) & (F.col("away_team_id") == F.col("__away")) & (F.col("home_team_id") == F.col("__home"))
+    found = quotes.join(pairs, by_pair, "left").drop("__day", "__away", "__home")
+    alone = F.when(F.col("home_team_id").isNull() | F.col("away_team_id").isNull(), F.coalesce("home_team_id", "away_team_id"))
+    found = found.withColumn("__alone", alone).join(teams, (F.col("game_date") == F.col("__day")) & (F.col("__alone") == F.col("__team")), "left")
+    return found.select(*quotes.columns, F.coalesce("__pair", "__single").alias("game_pk"), F.when(F.col("__pair").isNotNull(), "pair").when(F.col("__single").isNotNull(), "team").alias("matched_by"))
+
+
 def in_window(games: DataFrame, now: Column, live: DataFrame, hours: int = 4) -> DataFrame:
     """Games within ``hours`` of their start, and those that are live still."""
     open_ = (F.col("start_ts") <= now) & (now < F.col("start_ts") + F.make_dt_interval(hours=F.lit(hours)))

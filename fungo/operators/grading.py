@@ -118,6 +118,12 @@ def record(calls: DataFrame) -> DataFrame:
     return r.withColumn("market", F.coalesce("market", F.lit("all")))
 
 
+def recent_days(calls: DataFrame, day: str, days: int = 30) -> DataFrame:
+    """Rows of the last ``days`` days up to the newest one."""
+    newest = calls.agg(F.max(day).alias("__newest"))
+    return calls.join(F.broadcast(newest), F.col(day) > F.date_sub("__newest", days)).drop("__newest")
+
+
 def summary(calls: DataFrame, keys: Sequence[str], digits: int = 2) -> DataFrame:
     """Counts and win share; pushes leave the divisor."""
     g = calls.groupBy(*keys).agg(*_tally(), F.round(F.sum(F.coalesce("profit_units", F.lit(0.0))), digits).alias("profit_units"))

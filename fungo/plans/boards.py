@@ -11,9 +11,16 @@ from fungo.operators import grading as G
 from fungo.operators import models as M
 from fungo.operators import pricing as R
 from fungo.operators import quality as Q
+from fungo.sources import feeds as S
 
 DAY = "1998-07-15"
 
+#: Quotes that name both teams, one team, or a team that does not play, and pitches under the names of tracking files.
+_TEAM_QUOTES = """select game_pk * 10 as quote_id, game_date, case when game_pk % 3 = 1 then null when game_pk % 5 = 0 then 999 else away_team_id end as away_team_id,
+ case when game_pk % 3 = 2 and game_pk % 2 = 0 then null else home_team_id end as home_team_id from games_v"""
+_TRACKED = """select game_pk, at_bat_index as at_bat_number, pitch_number, pitcher_id as pitcher, batter_id as batter, pitch_type, start_speed as release_speed, cast(zone as varchar(9)) as zone, description, balls, strikes, outs as outs_when_up, inning,
+ case when top_inning then 'Top' else 'Bot' end as inning_topbot, game_date from pitches_v"""
+
 #: A total for each game and quotes of it by two sources, drawn from the derived tables.
 _TOTALS = "select game_pk, 'game_total' as market, cast(home_team_id % 7 + away_team_id % 6 as double) as predicted_value, 0.5::double + (game_pk % 40) / 100 as confidence from games_v where game_pk % 8 <> 3"
 _PRICE_P = "case when {p} < 0 then -{p} / (100.0 - {p}) else 100.0 / (100 + {p}) end"
@@ -220,6 +227,19 @@ select dataset, day, rows_n, games, bytes, round(rows_n / games, 6) as rows_per_
  wide as (select dataset, day, max(med) filter (where metric = 'rpg') as med, max(grade) filter (where metric = 'rpg') as a, max(grade) filter (where metric = 'bpr') as b from told group by 1, 2),
  all_ as (select f.dataset, f.day, round(med * games, 3) as expected_rows, a, b, case when newest > 14 or bulk then 0 when lag > 5 then 2 when lag > 3 then 1 else 0 end as c from f join wide using (dataset, day))
 select dataset, day, expected_rows, ['pass', 'warn', 'fail'][a + 1] as rows_per_game_status, ['pass', 'warn', 'fail'][b + 1] as bytes_per_row_status, ['pass', 'warn', 'fail'][c + 1] as lag_days_status, ['pass', 'warn', 'fail'][greatest(a, b, c) + 1] as status from all_""",
+    ),
+    "j15_quoted_games": (
+        lambda t: B.quoted_games(t.sql(_TEAM_QUOTES), t.games),
+        f"""with q as ({_TEAM_QUOTES}), side as (select game_date, home_team_id as team, game_pk from games_v union all select game_date, away_team_id, game_pk from games_v),
+ m as (select q.*, (select max(g.game_pk) from games_v g where g.game_date = q.game_date and g.away_team_id = q.away_team_id and g.home_team_id = q.home_team_id) as p,
+  case when q.home_team_id is null or q.away_team_id is null then (select max(s.game_pk) from side s where s.game_date = q.game_date and s.team = coalesce(q.home_team_id, q.away_team_id)) end as s from q)
+select quote_id, game_date, away_team_id, home_team_id, coalesce(p, s) as game_pk, case when p is not null then 'pair' when s is not null then 'team' end as matched_by from m""",
+    ),
+    "s22_tracking_rows": (
+        lambda t: S.tracking_rows(t.sql(_TRACKED)).drop("pitch_ts"),
+        f"""with r as ({_TRACKED}) select game_pk, cast(at_bat_number as bigint) as at_bat_index, cast(pitch_number as bigint) as pitch_number, cast(pitcher as bigint) as pitcher_id, cast(batter as bigint) as batter_id,
+ try_cast(zone as bigint) as zone, cast(balls as bigint) as balls, cast(strikes as bigint) as strikes, cast(outs_when_up as bigint) as outs, cast(inning as bigint) as inning, pitch_type,
+ cast(release_speed as double) as start_speed, description, inning_topbot = 'Top' as top_inning, case description when 'ball' then 'ball' when 'in_play' then 'in_play' else 'strike_foul' end as result_category from r where release_speed is not null""",
     ),
     "o6_sampled_days": (
         lambda t: Q.sampled_days(t.ledger, 20, 7).select("dataset", "day"),

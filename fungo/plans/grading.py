@@ -83,6 +83,10 @@ select created_date as day, player_id, role, market, model_version, {_TALLY}, {_
         lambda t: G.record(_settled(t)),
         f"with {_GRADED} select coalesce(market, 'all') as market, count(*) as picks, count(*) filter (where result = 'win') as wins, count(*) filter (where result = 'loss') as losses, count(*) filter (where result = 'push') as pushes, round(sum(profit_units), 2) as units, round(100 * sum(profit_units) / count(*), 1) as roi from graded where result in ('win','loss','push') group by grouping sets ((), (market))",
     ),
+    "a20_record_of_30_days": (
+        lambda t: G.record(G.recent_days(_settled(t), "created_date")),
+        f"with {_GRADED} select coalesce(market, 'all') as market, count(*) as picks, count(*) filter (where result = 'win') as wins, count(*) filter (where result = 'loss') as losses, count(*) filter (where result = 'push') as pushes, round(sum(profit_units), 2) as units, round(100 * sum(profit_units) / count(*), 1) as roi from graded where created_date > (select max(created_date) from graded) - interval 30 day and result in ('win','loss','push') group by grouping sets ((), (market))",
+    ),
     "a21_market_coverage": (
         lambda t: G.market_coverage(t.games, t.predictions, 2),
         "with s as (select game_pk, count(distinct market) as m from predictions_v group by 1), j as (select g.game_date, coalesce(m, 0) as m from games_v g left join s on s.game_pk = g.game_pk) select game_date as official_date, count(*) as games, count(*) filter (where m >= 2) as full_cov, count(*) filter (where m between 1 and 1) as partial_cov, count(*) filter (where m = 0) as zero_cov, round(avg(m), 2) as avg_markets from j group by 1",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fungo.functions import predicates as P
+from fungo.sources.play_by_play import result_category
 
 _TEAM = "struct<score:int,team:struct<id:int,name:string,abbreviation:string>>"
 SCHEDULE = f"struct<dates:array<struct<games:array<struct<gamePk:bigint,officialDate:string,season:string,gameType:string,gameDate:string,status:struct<detailedState:string>,teams:struct<home:{_TEAM},away:{_TEAM}>,venue:struct<id:int,name:string>>>>>>"
@@ -92,3 +93,23 @@ def bookmaker_quotes(docs: DataFrame, json_col: str = "doc") -> DataFrame:
     outcome = F.when(F.col("kind") == "h2h", F.when(F.col("o.name") == F.col("home_team"), "home").when(F.col("o.name") == F.col("away_team"), "away")).when(F.col("kind") == "totals", F.lower("o.name"))
     q = o.select("home_team", "away_team", "source", F.when(F.col("kind") == "h2h", "game_moneyline").otherwise("game_total").alias("market"), outcome.alias("outcome"), F.when(F.col("kind") == "totals", F.col("o.point")).alias("line"), F.col("o.price").alias("price_american"))
     return q.where("outcome is not null").withColumn("implied_prob", F.round(P.american_to_probability(F.col("price_american")), 4))
+
+
+# Column names of tracking files, by the name they get here.
+TRACKING = {
+    "game_pk": "game_pk", "at_bat_index": "at_bat_number", "pitch_number": "pitch_number", "pitcher_id": "pitcher", "batter_id": "batter",
+    "zone": "zone", "balls": "balls", "strikes": "strikes", "outs": "outs_when_up", "inning": "inning",
+}
+
+
+def tracking_rows(raw: DataFrame) -> DataFrame:
+    """Pitch rows of a tracking file; those without a speed go, and numbers that do not parse are null."""
+    out = raw.select(
+        *(F.expr(f"try_cast(`{old}` as bigint)").alias(new) for new, old in TRACKING.items()),
+        "pitch_type",
+        F.expr("try_cast(release_speed as double)").alias("start_speed"),
+        "description",
+        F.coalesce(F.col("inning_topbot") == "Top", F.lit(False)).alias("top_inning"),
+        F.expr("try_cast(game_date as timestamp)").alias("pitch_ts"),
+    )
+    return out.where("start_speed is not null").withColumn("result_category", result_category(F.col("description")))
