@@ -11,6 +11,7 @@ from fungo.operators import grading as G
 from fungo.operators import models as M
 from fungo.operators import pricing as R
 from fungo.operators import quality as Q
+from fungo.sources import datasets as D
 from fungo.sources import feeds as S
 
 DAY = "1998-07-15"
@@ -18,6 +19,7 @@ DAY = "1998-07-15"
 #: Quotes that name both teams, one team, or a team that does not play, and pitches under the names of tracking files.
 _TEAM_QUOTES = """select game_pk * 10 as quote_id, game_date, case when game_pk % 3 = 1 then null when game_pk % 5 = 0 then 999 else away_team_id end as away_team_id,
  case when game_pk % 3 = 2 and game_pk % 2 = 0 then null else home_team_id end as home_team_id from games_v"""
+_VERIFIED = "select dataset, day, rows_n, games, case when day(day) % 4 <> 0 then day end as verified_at from ledger_v where dataset = 'games'"
 _TRACKED = """select game_pk, at_bat_index as at_bat_number, pitch_number, pitcher_id as pitcher, batter_id as batter, pitch_type, start_speed as release_speed, cast(zone as varchar(9)) as zone, description, balls, strikes, outs as outs_when_up, inning,
  case when top_inning then 'Top' else 'Bot' end as inning_topbot, game_date from pitches_v"""
 
@@ -241,6 +243,18 @@ select quote_id, game_date, away_team_id, home_team_id, coalesce(p, s) as game_p
  try_cast(zone as bigint) as zone, cast(balls as bigint) as balls, cast(strikes as bigint) as strikes, cast(outs_when_up as bigint) as outs, cast(inning as bigint) as inning, pitch_type,
  cast(release_speed as double) as start_speed, description, inning_topbot = 'Top' as top_inning, case description when 'ball' then 'ball' when 'in_play' then 'in_play' else 'strike_foul' end as result_category from r where release_speed is not null""",
     ),
+    "s21_hot_window": (
+        lambda t: D.hot_window(t.games.select("game_pk", "game_date"), t.sql(_VERIFIED), "game_date", F.lit(DAY).cast("date")),
+        f"with l as ({_VERIFIED}) select game_pk, game_date from games_v where game_date >= date '{DAY}' - 35 or game_date not in (select day from l where verified_at is not null)",
+    ),
+    "s23_ledger_of_old": (
+        lambda t: D.ledger_of_old(t.sql(_VERIFIED).withColumn("games", F.when(F.col("games") > 3, F.col("games")))).select("dataset", "day", "rows_n", "games", "ingested_at", F.col("verified_at").isNull().alias("unverified")),
+        f"select dataset, day, rows_n, case when games > 3 then games else 0 end as games, cast(verified_at as timestamp) as ingested_at, true as unverified from ({_VERIFIED})",
+    ),
+    "j14_named_at_bats": (
+        lambda t: A.with_names(t.at_bats, t.base("supplier").select(F.col("s_suppkey").cast("int").alias("player_id"), F.col("s_name").alias("full_name"))).select("game_pk", "at_bat_index", "pitcher_name", "batter_name", "result"),
+        "select a.game_pk, a.at_bat_index, p.s_name as pitcher_name, b.s_name as batter_name, a.result from at_bats_v a left join supplier p on p.s_suppkey = a.pitcher_id left join supplier b on b.s_suppkey = a.batter_id",
+    ),
     "o6_sampled_days": (
         lambda t: Q.sampled_days(t.ledger, 20, 7).select("dataset", "day"),
         "select dataset, day from ledger_v order by md5('7:' || dataset || ':' || cast(day as varchar)), dataset, day limit 20",

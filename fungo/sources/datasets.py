@@ -171,6 +171,20 @@ def prune(df: DataFrame, day: str, as_of: Column, keep_days: int) -> DataFrame:
     return df.where(F.col(day) >= F.date_sub(as_of, keep_days))
 
 
+def hot_window(df: DataFrame, ledger: DataFrame, day: str, as_of: Column, keep_days: int = 35) -> DataFrame:
+    """Rows of the newest ``keep_days`` days, and older ones whose day the ledger does not hold as verified."""
+    safe = ledger.where("verified_at is not null").select(F.col("day").alias("__day")).distinct()
+    older = F.col(day) < F.date_sub(as_of, keep_days)
+    return df.join(safe, older & (F.col(day) == F.col("__day")), "left_anti")
+
+
+def ledger_of_old(old: DataFrame) -> DataFrame:
+    """Ledger rows of the first layout in today's: its ``verified_at`` was the write time, and no row counts as verified."""
+    moved = old.withColumn("ingested_at", F.col("verified_at").cast("timestamp")).drop("verified_at")
+    none = {"verified_at": F.lit(None).cast("timestamp"), "verified_by": F.lit(None).cast("string")}
+    return moved.withColumns({"games": F.coalesce("games", F.lit(0)), **none})
+
+
 def prune_quotes(odds: DataFrame, keys: Sequence[str], as_of: Column, keep_days: int = 14, ts: str = "fetched_at") -> DataFrame:
     """Young quotes, and of the old ones the last of each key."""
     k = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
