@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, language, media, mixing, packing, quality, secrets, simhash, toxicity, warc
+from . import alignment, embeddings, html, language, media, mixing, packing, quality, search, secrets, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_media_copies": op2_media_copies,
@@ -64,11 +76,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_toxicity": op10_toxicity,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
+    "op13_ranked_search": search.ORACLE,
     "op9_warc_round_trip": """
 with p as (select page_id, coalesce(html, '') as payload from pages),
  d as (select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes, sha256(payload) as payload_digest from p),
