@@ -122,3 +122,19 @@ def step_bucket(value: Column, base: float, step: float) -> Column:
 def near_bucket(value: Column, base: float, step: float, most: int = 2) -> Column:
     """Nearest step from the base, held within +-most; unknown is 0."""
     return F.least(F.lit(most), F.greatest(F.lit(-most), F.coalesce(F.round((value - base) / step), F.lit(0)))).cast("int")
+
+
+def platoon(pitch_hand: Column, bat_side: Column) -> Column:
+    """"same" or "opposite" by the hands of pitcher and batter; who bats from both sides is always opposite, an unknown hand gives null."""
+    p, b = (F.upper(F.substring(c, 1, 1)) for c in (pitch_hand, bat_side))
+    known = p.isin("L", "R") & b.isin("L", "R")
+    return F.when((F.length(pitch_hand) > 0) & (b == "S"), "opposite").when(known, F.when(p == b, "same").otherwise("opposite"))
+
+
+# States of a game that is over.
+FINAL = ("Final", "Game Over", "Completed Early")
+
+
+def is_final(status: Column) -> Column:
+    """Whether a game is over."""
+    return status.startswith(FINAL[0]) | status.isin(*FINAL)

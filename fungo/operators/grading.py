@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 
 from fungo.functions import predicates as P
 
-FINAL = ("Final", "Game Over", "Completed Early")
-
-
-def is_final(status: Column) -> Column:
-    return status.startswith("Final") | status.isin(*FINAL)
-
-
 def next_event(calls: DataFrame, events: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], prefix: str = "next_") -> DataFrame:
     """``calls`` with ``values`` of the first event of the same key that is strictly later in ``order``.
 
@@ -50,7 +43,7 @@ def settle_pitch_calls(calls: DataFrame, pitches: DataFrame, games: DataFrame) -
     won = F.col("recommendation") == label
     result = (
         F.when(F.col("recommendation").isNull(), "void")
-        .when(~F.col("next_found"), F.when(is_final(F.coalesce("status", F.lit("Final"))), "void"))
+        .when(~F.col("next_found"), F.when(P.is_final(F.coalesce("status", F.lit("Final"))), "void"))
         .when(label.isNull(), "void")
         .when(won, "win")
         .otherwise("loss")
@@ -63,7 +56,7 @@ def settle_pitch_calls(calls: DataFrame, pitches: DataFrame, games: DataFrame) -
 
 def fill_actuals(calls: DataFrame, pitches: DataFrame, games: DataFrame) -> DataFrame:
     """Actuals of graded calls that lack them, for finished games; results stay as they are."""
-    done = games.where(is_final(F.col("status"))).select("game_pk")
+    done = games.where(P.is_final(F.col("status"))).select("game_pk")
     todo = calls.where("result in ('win', 'loss', 'push') and actual_value is null and actual_label is null").join(done, "game_pk", "left_semi")
     seen = next_event(todo, pitches, ["game_pk"], ["at_bat_index", "pitch_number"], ["start_speed", "result_category"])
     speed = F.col("market") == "pitch_speed_ou"
@@ -83,7 +76,7 @@ def game_actuals(pitches: DataFrame, at_bats: DataFrame) -> DataFrame:
 
 def settle_game_calls(calls: DataFrame, actuals: DataFrame, games: DataFrame) -> DataFrame:
     """Calls on whole games: moneyline, total, mean speed, mean pitches and commonest result."""
-    g = games.where(is_final(F.col("status"))).select("game_pk", "home_score", "away_score").dropDuplicates(["game_pk"])
+    g = games.where(P.is_final(F.col("status"))).select("game_pk", "home_score", "away_score").dropDuplicates(["game_pk"])
     r = calls.join(g, "game_pk").join(actuals, "game_pk", "left")
     m, line = F.col("market"), F.col("line")
     number = F.when(m == "game_total", (F.col("home_score") + F.col("away_score")).cast("double")).when(m == "pitch_speed_ou", F.col("mean_speed")).when(m == "ab_pitches_ou", F.col("mean_pa_pitches"))
@@ -168,7 +161,7 @@ def accuracy_series(rollup: DataFrame, digits: int = 4) -> DataFrame:
 
 def recap_day(games: DataFrame, as_of: Column, back: int = 10) -> DataFrame:
     """The latest day within ``back`` days whose games are all over."""
-    d = games.where(F.col("game_date").between(F.date_sub(as_of, back), as_of)).groupBy("game_date").agg(F.bool_and(is_final(F.col("status"))).alias("over"), F.count("*").alias("games"))
+    d = games.where(F.col("game_date").between(F.date_sub(as_of, back), as_of)).groupBy("game_date").agg(F.bool_and(P.is_final(F.col("status"))).alias("over"), F.count("*").alias("games"))
     return d.where("over").agg(F.max("game_date").alias("day"), F.max_by("games", "game_date").alias("games"))
 
 

@@ -21,6 +21,13 @@ COUNT_SHIFTS = {
     (2, 2): {"strike_foul": 0.03, "ball": -0.02, "in_play": -0.01},
 }
 KEEP_OF_MODEL = 0.7
+# Zone rates from which a pitcher moves the shares, and by how much; what counts do to plate appearances and speeds.
+ZONE_HIGH, ZONE_LOW, MORE_STRIKES, MORE_BALLS = 0.52, 0.44, 0.03, 0.04
+TWO_STRIKES = {"strikeout": 0.08, "hit": -0.04, "out": -0.04}
+THREE_BALLS = {"walk": 0.12, "out": -0.06}
+BELOW_FASTBALL, TWO_STRIKE_SPEED, THREE_BALL_SPEED = 2.2, 0.4, 0.3
+STILL_TO_COME, STILL_AT_TWO_STRIKES = 1.6, 1.3
+PITCHER_N, SPEED_N = 150.0, 300.0
 
 
 def latest_quotes(odds: DataFrame, keys: Sequence[str], as_of: Column | None = None, minutes: int | None = None, ts: str = "fetched_at") -> DataFrame:
@@ -79,7 +86,7 @@ def features(names: Sequence[str]) -> dict[str, Column]:
     delta = lambda c, base: F.coalesce(v(c) - base, F.lit(0.0))
     known = {
         "bias": F.lit(1.0), "balls": v("balls"), "strikes": v("strikes"), "two_strikes": (v("strikes") >= 2).cast("int"), "three_balls": (v("balls") >= 3).cast("int"), "pitch_of_pa": v("pitch_count_pa") + 1,
-        "pitcher_velo": P.blend(v("p_velo"), LEAGUE_SPEED, F.coalesce("p_pitches", F.lit(0)), 300.0), "pitcher_zone_delta": delta("p_zone_rate", 0.48), "pitcher_whiff_delta": delta("p_whiff_rate", 0.24),
+        "pitcher_velo": P.blend(v("p_velo"), LEAGUE_SPEED, F.coalesce("p_pitches", F.lit(0)), SPEED_N), "pitcher_zone_delta": delta("p_zone_rate", 0.48), "pitcher_whiff_delta": delta("p_whiff_rate", 0.24),
         "pitcher_k_delta": delta("p_k_rate", LEAGUE_PA["strikeout"]), "pitcher_bb_delta": delta("p_bb_rate", LEAGUE_PA["walk"]), "batter_k_delta": delta("b_k_rate", LEAGUE_PA["strikeout"]), "batter_bb_delta": delta("b_bb_rate", LEAGUE_PA["walk"]),
         "batter_chase_delta": delta("b_chase_rate", 0.28), "batter_contact_delta": delta("b_contact_rate", 0.77), "platoon_same": F.coalesce(((v("pitch_hand") == v("bat_side")) & (v("bat_side") != "S")).cast("int"), F.lit(0)),
     }
@@ -104,8 +111,8 @@ def pitch_result_probs(params: Mapping | None = None) -> dict[str, Column]:
         for (b, s), d in COUNT_SHIFTS.items():
             shift = F.when((F.col("balls") == b) & (F.col("strikes") == s), F.lit(d[k])).otherwise(shift)
         probs[k] = F.greatest(F.lit(0.0), base + shift)
-    probs["strike_foul"] += F.when(zone > 0.52, 0.03).otherwise(0.0)
-    probs["ball"] += F.when(zone < 0.44, 0.04).otherwise(0.0)
+    probs["strike_foul"] += F.when(zone > ZONE_HIGH, MORE_STRIKES).otherwise(0.0)
+    probs["ball"] += F.when(zone < ZONE_LOW, MORE_BALLS).otherwise(0.0)
     return normalized(probs)
 
 
@@ -115,25 +122,26 @@ def pa_result_probs(params: Mapping | None = None) -> dict[str, Column]:
         p = softmax({c: linear(params["features"], w, b) for c, w, b in zip(params["classes"], params["coef"], params["intercept"], strict=True)})
         return normalized({c: KEEP_OF_MODEL * x + (1 - KEEP_OF_MODEL) * LEAGUE_PA.get(c, 0.0) for c, x in p.items()})
     n = F.coalesce("p_abs", F.lit(0))
-    k = P.blend(F.col("p_k_rate"), LEAGUE_PA["strikeout"], n, 150.0)
-    bk = P.blend(F.col("b_k_rate"), LEAGUE_PA["strikeout"], F.coalesce("b_abs", F.lit(0)), 150.0)
+    k = P.blend(F.col("p_k_rate"), LEAGUE_PA["strikeout"], n, PITCHER_N)
+    bk = P.blend(F.col("b_k_rate"), LEAGUE_PA["strikeout"], F.coalesce("b_abs", F.lit(0)), PITCHER_N)
     k = F.when(F.col("b_k_rate").isNotNull(), (k + bk) / 2).otherwise(k)
-    two, three = (F.col("strikes") >= 2).cast("int"), (F.col("balls") >= 3).cast("int")
-    return normalized({"strikeout": k + 0.08 * two, "walk": P.blend(F.col("p_bb_rate"), LEAGUE_PA["walk"], n, 150.0) + 0.12 * three, "hit": LEAGUE_PA["hit"] - 0.04 * two, "out": LEAGUE_PA["out"] - 0.04 * two - 0.06 * three})
+    at = {"two": (F.col("strikes") >= 2).cast("int"), "three": (F.col("balls") >= 3).cast("int")}
+    base = {"strikeout": k, "walk": P.blend(F.col("p_bb_rate"), LEAGUE_PA["walk"], n, PITCHER_N), "hit": F.lit(LEAGUE_PA["hit"]), "out": F.lit(LEAGUE_PA["out"])}
+    return normalized({c: x + TWO_STRIKES.get(c, 0.0) * at["two"] + THREE_BALLS.get(c, 0.0) * at["three"] for c, x in base.items()})
 
 
 def pitch_speed(params: Mapping | None = None) -> tuple[Column, float]:
     """Expected speed of the next pitch, and its deviation."""
     if params:
         return linear(params["features"], params["coef"], params["intercept"]), params.get("sigma", SPEED_SIGMA)
-    mu = features(["pitcher_velo"])["pitcher_velo"] - 2.2 - F.when(F.col("strikes") == 2, 0.4).otherwise(0.0) + F.when(F.col("balls") == 3, 0.3).otherwise(0.0)
+    mu = features(["pitcher_velo"])["pitcher_velo"] - BELOW_FASTBALL - F.when(F.col("strikes") == 2, TWO_STRIKE_SPEED).otherwise(0.0) + F.when(F.col("balls") == 3, THREE_BALL_SPEED).otherwise(0.0)
     return mu, SPEED_SIGMA
 
 
 def pa_pitches(table: DataFrame | None = None) -> Column:
     """Expected pitches of the plate appearance; ``remaining_mean`` from a fitted table where the context has it."""
     now = F.col("pitch_count_pa")
-    plain = F.when(now >= LEAGUE_PITCHES, now + F.when(F.col("strikes") == 2, 1.3).otherwise(1.6)).otherwise(LEAGUE_PITCHES)
+    plain = F.when(now >= LEAGUE_PITCHES, now + F.when(F.col("strikes") == 2, STILL_AT_TWO_STRIKES).otherwise(STILL_TO_COME)).otherwise(LEAGUE_PITCHES)
     return plain if table is None else F.coalesce(now + F.col("remaining_mean"), F.greatest(now + 1, F.lit(LEAGUE_PITCHES)))
 
 
@@ -153,48 +161,71 @@ def top_class(probs: Mapping[str, Column]) -> tuple[Column, Column]:
     return name, most
 
 
-def scoring_context(pitches: DataFrame, pitcher_stats: DataFrame, batter_stats: DataFrame) -> DataFrame:
-    """Open positions with the rolling figures of pitcher and batter."""
-    p = pitcher_stats.select("pitcher_id", F.col("sample_pitches").alias("p_pitches"), F.col("sample_abs").alias("p_abs"), *(F.col(c).alias(f"p_{c}") for c in ("zone_rate", "whiff_rate", "k_rate", "bb_rate")), F.lit(None).cast("double").alias("p_velo"))
-    b = batter_stats.select("batter_id", F.col("sample_abs").alias("b_abs"), *(F.col(c).alias(f"b_{c}") for c in ("chase_rate", "contact_rate", "k_rate", "bb_rate")))
-    return pitches.withColumn("pitch_count_pa", F.col("pitch_number") - 1).join(p, "pitcher_id", "left").join(b, "batter_id", "left")
+def scoring_context(pitches: DataFrame, pitcher_stats: DataFrame, batter_stats: DataFrame, day: str | None = None) -> DataFrame:
+    """Open positions with the rolling figures of pitcher and batter; with ``day``, those of the position's own day."""
+    on = [day] if day else []
+    have = set(pitcher_stats.columns)
+    speed = next((F.col(c) for c in ("avg_fastball_velo", "fastball_speed") if c in have), F.lit(None)).cast("double")
+    rates = lambda side, names: [F.col(c).alias(f"{side}_{c}") for c in names]
+    p = pitcher_stats.select("pitcher_id", *on, F.col("sample_pitches").alias("p_pitches"), F.col("sample_abs").alias("p_abs"), *rates("p", ("zone_rate", "whiff_rate", "k_rate", "bb_rate")), speed.alias("p_velo"))
+    b = batter_stats.select("batter_id", *on, F.col("sample_abs").alias("b_abs"), *rates("b", ("chase_rate", "contact_rate", "k_rate", "bb_rate")))
+    return pitches.withColumn("pitch_count_pa", F.col("pitch_number") - 1).join(p, ["pitcher_id", *on], "left").join(b, ["batter_id", *on], "left")
 
 
-# League runs a team and game, and how starters and weather move runs.
-LEAGUE_RUNS = 4.4
+# League runs a team and game, and how starters, air, wind and parks move runs.
+LEAGUE_RUNS, RATE_N, STARTER_N = 4.4, 40.0, 200.0
+STARTER_STRIKEOUTS, STARTER_WALKS, STARTER_SHARE, STARTER_RANGE = 1.6, 1.1, 0.6, (0.78, 1.22)
+MILD, A_DEGREE, AIR_RANGE = 70, 0.004, (0.94, 1.08)
+WIND_OUT, OUT_RANGE, WIND_IN, IN_RANGE = 0.006, (1.0, 1.10), 0.005, (0.92, 1.0)
+PARK_RANGE, RUNS_RANGE, LEAST_SIGMA = (0.85, 1.18), (4.5, 14.0), 3.0
 
 
-def _held(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+def _held(x: Column, within: tuple[float, float]) -> Column:
+    """Within the range; unknown stays unknown, as ``least`` and ``greatest`` would pass over it."""
+    return F.when(x.isNotNull(), F.least(F.lit(within[1]), F.greatest(F.lit(within[0]), x)))
 
 
 def starter_factor(k_rate: Column, bb_rate: Column, pa: Column) -> Column:
     """What a starter does to the runs of the other side; 1 where nothing is known of them."""
     n = F.coalesce(pa, F.lit(0))
-    k, bb = P.blend(k_rate, LEAGUE_PA["strikeout"], n, 200.0), P.blend(bb_rate, LEAGUE_PA["walk"], n, 200.0)
-    raw = 1 - 1.6 * (k - LEAGUE_PA["strikeout"]) + 1.1 * (bb - LEAGUE_PA["walk"])
-    return F.when(pa.isNull(), 1.0).otherwise(_held(1 + 0.6 * (raw - 1), 0.78, 1.22))
+    k, bb = P.blend(k_rate, LEAGUE_PA["strikeout"], n, STARTER_N), P.blend(bb_rate, LEAGUE_PA["walk"], n, STARTER_N)
+    effect = STARTER_WALKS * (bb - LEAGUE_PA["walk"]) - STARTER_STRIKEOUTS * (k - LEAGUE_PA["strikeout"])
+    return F.when(pa.isNull(), 1.0).otherwise(_held(1 + STARTER_SHARE * effect, STARTER_RANGE))
 
 
 def weather_factor(temp_f: Column, wind_mph: Column, wind_direction: Column) -> Column:
     """Warm air and wind out add runs, wind in takes some; unknown weather does nothing."""
-    warm = F.coalesce(_held(1 + 0.004 * (temp_f - 70), 0.94, 1.08), F.lit(1.0))
+    warm = F.coalesce(_held(1 + A_DEGREE * (temp_f - MILD), AIR_RANGE), F.lit(1.0))
     to, mph = F.lower(F.coalesce(wind_direction, F.lit(""))), F.coalesce(wind_mph, F.lit(0)).cast("double")
-    wind = F.when((mph > 0) & to.contains("out"), _held(1 + 0.006 * mph, 1.0, 1.10)).when((mph > 0) & to.contains("in"), _held(1 - 0.005 * mph, 0.92, 1.0)).otherwise(1.0)
+    wind = F.when((mph > 0) & to.contains("out"), _held(1 + WIND_OUT * mph, OUT_RANGE)).when((mph > 0) & to.contains("in"), _held(1 - WIND_IN * mph, IN_RANGE)).otherwise(1.0)
     return warm * wind
 
 
-def game_totals(games: DataFrame, rates: DataFrame, parks: DataFrame) -> DataFrame:
-    """Expected runs of each game from both teams' rates, the park and the weather, and their deviation."""
-    side = lambda s: rates.select(F.col("team_id").alias(f"{s}_team_id"), F.col("rs_pg").alias(f"{s}_rs"), F.col("ra_pg").alias(f"{s}_ra"), F.col("games").alias(f"{s}_n"))
-    g = games.join(side("home"), "home_team_id", "left").join(side("away"), "away_team_id", "left").join(parks.select("venue_id", "factor"), "venue_id", "left")
+def game_totals(games: DataFrame, rates: DataFrame, parks: DataFrame, starters: DataFrame | None = None, profiles: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
+    """Expected runs of each game from both teams' rates, starters, park and weather, and their deviation.
+
+    ``starters`` (game_pk, home_pitcher_id, away_pitcher_id) with ``profiles`` (pitcher_id,
+    k_rate, bb_rate, pa): the away starter moves the home side's runs and the other
+    way round; a side without a known starter stays as it is. ``on`` names further
+    columns by which figures belong to a game (its day, for figures as they stood).
+    """
+    on = list(on)
+    side = lambda s: rates.select(F.col("team_id").alias(f"{s}_team_id"), *on, F.col("rs_pg").alias(f"{s}_rs"), F.col("ra_pg").alias(f"{s}_ra"), F.col("games").alias(f"{s}_n"))
+    g = games.join(side("home"), ["home_team_id", *on], "left").join(side("away"), ["away_team_id", *on], "left").join(parks.select("venue_id", *on, "factor"), ["venue_id", *on], "left")
+    factor = {"home": F.lit(1.0), "away": F.lit(1.0)}
+    if starters is not None and profiles is not None:
+        g = g.join(starters.select("game_pk", *(f"{s}_pitcher_id" for s in factor)), "game_pk", "left")
+        for s in factor:
+            own = profiles.select(F.col("pitcher_id").alias(f"{s}_pitcher_id"), *on, *(F.col(c).alias(f"{s}_s_{c}") for c in ("k_rate", "bb_rate", "pa")))
+            g = g.join(own, [f"{s}_pitcher_id", *on], "left")
+            factor[s] = starter_factor(*(F.col(f"{s}_s_{c}") for c in ("k_rate", "bb_rate", "pa")))
     have = {c: F.col(c) if c in games.columns else F.lit(None) for c in ("temp_f", "wind_mph", "wind_direction")}
     n = F.least(F.coalesce("home_n", F.lit(0)), F.coalesce("away_n", F.lit(0)))
-    part = lambda c: P.blend(F.col(c), LEAGUE_RUNS, n, 40.0)
-    runs = (part("home_rs") + part("away_ra")) / 2 + (part("away_rs") + part("home_ra")) / 2
-    park = F.coalesce(_held(F.col("factor"), 0.85, 1.18), F.lit(1.0))
-    mu = _held(runs * park * weather_factor(have["temp_f"].cast("double"), have["wind_mph"].cast("double"), have["wind_direction"].cast("string")), 4.5, 14.0)
-    return g.select("game_pk", n.cast("long").alias("sample_games"), mu.alias("mu")).withColumn("sigma", F.greatest(F.lit(3.0), F.sqrt(2 * F.col("mu"))))
+    part = lambda c: P.blend(F.col(c), LEAGUE_RUNS, n, RATE_N)
+    runs = (part("home_rs") + part("away_ra")) / 2 * factor["away"] + (part("away_rs") + part("home_ra")) / 2 * factor["home"]
+    park = F.coalesce(_held(F.col("factor"), PARK_RANGE), F.lit(1.0))
+    mu = _held(runs * park * weather_factor(have["temp_f"].cast("double"), have["wind_mph"].cast("double"), have["wind_direction"].cast("string")), RUNS_RANGE)
+    return g.select("game_pk", n.cast("long").alias("sample_games"), mu.alias("mu")).withColumn("sigma", F.greatest(F.lit(LEAST_SIGMA), F.sqrt(2 * F.col("mu"))))
 
 
 def pending_positions(pitches: DataFrame, done: DataFrame, open_pa: DataFrame, lookback: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,19 +12,37 @@ from pyspark.sql import functions as F
 BASELINE_ROWS, MIN_BASELINE = 28, 10
 Z_WARN, Z_ALERT, FLOOR_PERCENT = 2.5, 3.5, 5.0
 MAD_SCALE = 0.6745
-RATE_MOVE_POINTS = 2.0
-
-# Rules that no row should break, as SQL.
-PITCH_RULES = {
-    "balls outside 0-3": "balls < 0 or balls > 3",
-    "strikes outside 0-2": "strikes < 0 or strikes > 2",
-    "outs outside 0-2": "outs < 0 or outs > 2",
-    "inning < 1": "inning < 1",
-    "pitch_number < 1": "pitch_number < 1",
-    "start_speed outside 40-110": "start_speed is not null and (start_speed < 40 or start_speed > 110)",
-    "launch_speed above 125": "launch_speed is not null and launch_speed > 125",
-    "null natural key": "game_pk is null or at_bat_index is null or pitch_number is null",
+RATE_MOVE_POINTS = 5.0
+# Percent missing beyond which a column is flagged, and files of one write that make it a backfill.
+MISSING_WARN, MISSING_ALERT, BACKFILL_FILES = 1.0, 5.0, 20
+
+# What each value of a row must lie between (none: no limit), other conditions that no row should meet, and natural keys.
+LIMITS = {
+    "pitches": {"balls": (0, 3), "strikes": (0, 2), "outs": (0, 2), "inning": (1, None), "pitch_number": (1, None), "start_speed": (40, 110), "spin_rate": (None, 4000), "launch_speed": (None, 125)},
+    "at_bats": {"pitch_count": (1, None), "inning": (1, None), "rbi": (0, 4)},
+    "games": {"least(home_score, away_score)": (0, None), "temp_f": (0, 130), "attendance": (0, None)},
+}
+CONDITIONS = {
+    "pitches": {"thrown more than a day off the game's day": "cast(pitch_ts as date) > game_date + 1 or cast(pitch_ts as date) < game_date - 1"},
+    "at_bats": {"ends before it starts": "end_ts < start_ts"},
+    "games": {"season is not the year of the day": "season <> year(game_date)"},
 }
+RULE_KEYS = {"pitches": ("game_pk", "at_bat_index", "pitch_number"), "at_bats": ("game_pk", "at_bat_index"), "games": ("game_pk",)}
+
+
+def rules_of(dataset: str, columns: Sequence[str]) -> dict[str, str]:
+    """The dataset's rules as SQL conditions that hold for a broken row; those on columns that are not there are left out."""
+    have, word = set(columns), re.compile(r"[a-z_]+")
+    found = {}
+    for value, (low, high) in LIMITS[dataset].items():
+        tests = [f"{value} < {low}"] * (low is not None) + [f"{value} > {high}"] * (high is not None)
+        found[f"{value} outside {'' if low is None else low}..{'' if high is None else high}"] = " or ".join(tests)
+    found |= CONDITIONS[dataset]
+    found["part of the key missing"] = " or ".join(f"{k} is null" for k in RULE_KEYS[dataset])
+    known = {"least", "cast", "as", "date", "or", "is", "null", "year"}
+    return {name: test for name, test in found.items() if set(word.findall(test)) - known <= have}
+
+
 HISTOGRAMS = {"start_speed": (55.0, 105.0, 50), "launch_speed": (10.0, 125.0, 46), "launch_angle": (-90.0, 90.0, 60)}
 
 
@@ -186,6 +205,18 @@ def verdicts(*checks: tuple[str, DataFrame, str]) -> DataFrame:
     return out.select("check", F.element_at(F.array(*(F.lit(s) for s in ("pass", "known", "warn", "fail"))), F.col("r") + 1).alias("status"), "evidence")
 
 
+def moved_nulls(movers: DataFrame, structural: Sequence[str] = ()) -> DataFrame:
+    """``null_movers`` with a verdict on the shift; columns that lack values by design pass."""
+    shift = F.abs(F.coalesce("shift_pp", F.lit(0.0)))
+    quiet = F.col("column").isin(list(structural)) | (shift <= MISSING_WARN)
+    return movers.withColumn("status", F.when(quiet, "pass").when(shift > MISSING_ALERT, "fail").otherwise("warn"))
+
+
+def judged(counts: DataFrame, column: str, bad: str = "fail") -> DataFrame:
+    """One row of counts with a verdict: ``bad`` where the count is not zero."""
+    return counts.withColumn("status", F.when(F.col(column) > 0, bad).otherwise("pass"))
+
+
 def freshness(tables: Mapping[str, tuple[DataFrame, str]], as_of: Column, stale_hours: int = 36) -> DataFrame:
     """Rows, newest instant and staleness of each named table (frame, time column)."""
     out = None
@@ -202,10 +233,6 @@ def job_health(runs: DataFrame, job: str, ok: Column, finished: str, as_of: Colu
     return g.withColumn("age_minutes", F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("last_success")) / 60).cast("long"))
 
 
-# Percent missing beyond which a column is flagged, and files of one write that make it a backfill.
-MISSING_WARN, MISSING_ALERT, BACKFILL_FILES = 1.0, 5.0, 20
-
-
 def missingness(df: DataFrame, columns: Sequence[str], structural: Sequence[str] = (), digits: int = 6) -> DataFrame:
     """Missing values of each column with a severity; columns that lack values by design are never flagged."""
     one = df.agg(F.count("*").alias("n_rows"), *(F.count(c).alias(f"c{i}") for i, c in enumerate(columns)))

@@ -16,6 +16,9 @@ from fungo.sources import feeds as S
 
 DAY = "1998-07-15"
 
+#: The last three seasons that are there, by the rule of the built player tables.
+_WINDOW = f"span as (select cast(min(s) as int) as first_season from (select distinct year(game_date) as s from pitches_v order by s desc limit {A.WINDOW_SEASONS}))"
+
 #: Quotes that name both teams, one team, or a team that does not play, and pitches under the names of tracking files.
 _TEAM_QUOTES = """select game_pk * 10 as quote_id, game_date, case when game_pk % 3 = 1 then null when game_pk % 5 = 0 then 999 else away_team_id end as away_team_id,
  case when game_pk % 3 = 2 and game_pk % 2 = 0 then null else home_team_id end as home_team_id from games_v"""
@@ -69,10 +72,22 @@ _PICKS = """
 
 
 def _ledger(t):
-    return t.ledger.withColumns({"bytes": F.col("rows_n") * 70 + F.col("games"), "ingested_at": F.col("day").cast("timestamp") + F.make_dt_interval(F.lit(1), (F.col("rows_n") % 50).cast("int"))})
+    return t.ledger.withColumns({"bytes": F.col("rows_n") * F.when(F.dayofyear("day") % 53 == 0, 140).otherwise(70) + F.col("games"), "ingested_at": F.col("day").cast("timestamp") + F.make_dt_interval(F.lit(1), (F.col("rows_n") % 50).cast("int"))})
+
 
+_LEDGER = "select *, rows_n * case when dayofyear(day) % 53 = 0 then 140 else 70 end + games as bytes, day::timestamp + interval 1 day + to_hours(cast(rows_n % 50 as int)) as ingested_at from ledger_v"
 
-_LEDGER = "select *, rows_n * 70 + games as bytes, day::timestamp + interval 1 day + to_hours(cast(rows_n % 50 as int)) as ingested_at from ledger_v"
+_SCORED_SQL = f"""with l as ({_LEDGER}), f as (select *, round(rows_n / games, 6) as rpg, round(bytes / rows_n, 6) as bpr, round(date_diff('second', day::timestamp, ingested_at) / 86400, 6) as lag,
+  count(*) over (partition by dataset, cast(ingested_at as date)) > 20 as bulk, row_number() over (partition by dataset order by day desc) as newest from l),
+ long as (select dataset, day, 'rpg' as metric, rpg as v, 5.0 as floor_pct, games >= 3 as judged from f union all select dataset, day, 'bpr', bpr, 15.0, rows_n >= 3000 from f),
+ past as (select *, list(v) over (partition by dataset, metric order by day rows between 28 preceding and 1 preceding) as prior from long),
+ mid as (select *, case when len(prior) >= 10 then list_median(prior) end as med from past),
+ dev as (select *, case when med is not null then list_median(list_transform(prior, lambda y: abs(y - med))) end as mad from mid),
+ moved as (select *, abs(100.0 * (v - med) / nullif(med, 0)) as rel, case when mad > 0 then abs(0.6745 * (v - med) / mad) end as z from dev),
+ told as (select *, case when not judged or rel is null or rel <= floor_pct then 0 when z is null then case when rel > 3 * floor_pct then 2 else 1 end when z > 3.5 then 2 when z > 2.5 then 1 else 0 end as grade from moved),
+ wide as (select dataset, day, max(med) filter (where metric = 'rpg') as med, max(grade) filter (where metric = 'rpg') as a, max(grade) filter (where metric = 'bpr') as b from told group by 1, 2),
+ all_ as (select f.dataset, f.day, round(med * games, 3) as expected_rows, a, b, case when newest > 14 or bulk then 0 when lag > 5 then 2 when lag > 3 then 1 else 0 end as c from f join wide using (dataset, day))
+select dataset, day, expected_rows, ['pass', 'warn', 'fail'][a + 1] as rows_per_game_status, ['pass', 'warn', 'fail'][b + 1] as bytes_per_row_status, ['pass', 'warn', 'fail'][c + 1] as lag_days_status, ['pass', 'warn', 'fail'][greatest(a, b, c) + 1] as status from all_"""
 
 
 def _windowed(games):
@@ -218,17 +233,7 @@ select dataset, day, rows_n, games, bytes, round(rows_n / games, 6) as rows_per_
     ),
     "q12_scored_days": (
         lambda t: Q.scored_days(Q.ingest_frame(_ledger(t))).select("dataset", "day", "expected_rows", "rows_per_game_status", "bytes_per_row_status", "lag_days_status", "status"),
-        f"""with l as ({_LEDGER}), f as (select *, round(rows_n / games, 6) as rpg, round(bytes / rows_n, 6) as bpr, round(date_diff('second', day::timestamp, ingested_at) / 86400, 6) as lag,
-  count(*) over (partition by dataset, cast(ingested_at as date)) > 20 as bulk, row_number() over (partition by dataset order by day desc) as newest from l),
- long as (select dataset, day, 'rpg' as metric, rpg as v, 5.0 as floor_pct, games >= 3 as judged from f union all select dataset, day, 'bpr', bpr, 15.0, rows_n >= 3000 from f),
- past as (select *, list(v) over (partition by dataset, metric order by day rows between 28 preceding and 1 preceding) as prior from long),
- mid as (select *, case when len(prior) >= 10 then list_median(prior) end as med from past),
- dev as (select *, case when med is not null then list_median(list_transform(prior, lambda y: abs(y - med))) end as mad from mid),
- moved as (select *, abs(100.0 * (v - med) / nullif(med, 0)) as rel, case when mad > 0 then abs(0.6745 * (v - med) / mad) end as z from dev),
- told as (select *, case when not judged or rel is null or rel <= floor_pct then 0 when z is null then case when rel > 3 * floor_pct then 2 else 1 end when z > 3.5 then 2 when z > 2.5 then 1 else 0 end as grade from moved),
- wide as (select dataset, day, max(med) filter (where metric = 'rpg') as med, max(grade) filter (where metric = 'rpg') as a, max(grade) filter (where metric = 'bpr') as b from told group by 1, 2),
- all_ as (select f.dataset, f.day, round(med * games, 3) as expected_rows, a, b, case when newest > 14 or bulk then 0 when lag > 5 then 2 when lag > 3 then 1 else 0 end as c from f join wide using (dataset, day))
-select dataset, day, expected_rows, ['pass', 'warn', 'fail'][a + 1] as rows_per_game_status, ['pass', 'warn', 'fail'][b + 1] as bytes_per_row_status, ['pass', 'warn', 'fail'][c + 1] as lag_days_status, ['pass', 'warn', 'fail'][greatest(a, b, c) + 1] as status from all_""",
+        _SCORED_SQL,
     ),
     "j15_quoted_games": (
         lambda t: B.quoted_games(t.sql(_TEAM_QUOTES), t.games),
@@ -264,12 +269,21 @@ select quote_id, game_date, away_team_id, home_team_id, coalesce(p, s) as game_p
         "select game_pk, game_date, status from games_v order by game_date desc, game_pk desc limit 20",
     ),
     "a8_built_matchups": (
-        lambda t: A.build("matchup_history", t.pitches, t.at_bats).select("pitcher_id", "batter_id", "season_floor", "pa_count"),
-        "select pitcher_id, batter_id, (select cast(min(year(game_date)) as int) from pitches_v) as season_floor, count(*) as pa_count from at_bats_v group by 1, 2 having count(*) > 2",
+        lambda t: A.build("matchup_history", t.pitches, t.at_bats, t.games).select("pitcher_id", "batter_id", "season_floor", "pa_count"),
+        f"with {_WINDOW} select pitcher_id, batter_id, first_season as season_floor, count(*) as pa_count from at_bats_v join span on year(game_date) >= first_season group by all having count(*) >= {A.MIN_MEETINGS}",
     ),
     "a8_built_fatigue": (
-        lambda t: A.build("pitcher_fatigue_profile", t.pitches, t.at_bats).select("pitcher_id", "pitch_bucket", "season_floor", "n"),
-        """with span as (select greatest(min(year(game_date)), max(year(game_date)) - 2) as floor from pitches_v)
-select pitcher_id, cast(least(pitch_of_game // 25, 4) as int) as pitch_bucket, cast(floor as int) as season_floor, count(*) as n from pitches_v cross join span where year(game_date) >= floor group by all""",
+        lambda t: A.build("pitcher_fatigue_profile", t.pitches, t.at_bats, t.games).select("pitcher_id", "pitch_bucket", "season_floor", "n"),
+        f"with {_WINDOW} select pitcher_id, cast(least(pitch_of_game // 25, 4) as int) as pitch_bucket, first_season as season_floor, count(*) as n from pitches_v join span on year(game_date) >= first_season group by all",
+    ),
+    "a8_built_power": (
+        lambda t: A.build("batter_power_profile", t.pitches, t.at_bats, t.games).select("batter_id", "scope", "season_floor", "pa", "hr"),
+        f"""with {_WINDOW}, seen as (select * from at_bats_v join span on year(game_date) >= first_season), last as (select max(game_date) as d from seen),
+ scopes as (select 'career' as scope, * from seen union all select 'season', s.* from seen s join last on year(game_date) = year(d) union all select 'd30', s.* from seen s join last on date_diff('day', game_date, d) < {A.RECENT_DAYS})
+select batter_id, scope, cast(greatest(first_season, {A.TRACKED_SINCE}) as int) as season_floor, count(*) as pa, cast(sum(cast(result_detail = 'home_run' as int)) as bigint) as hr from scopes group by all having count(*) >= {A.MIN_PA}""",
+    ),
+    "a8_built_context": (
+        lambda t: A.build("game_context", t.pitches, t.at_bats, t.games).select("game_pk", "game_date", "season", "venue_id", "season_floor"),
+        "select game_pk, game_date, season, venue_id, (select cast(min(year(game_date)) as int) from pitches_v) as season_floor from games_v",
     ),
 }

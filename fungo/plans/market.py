@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from fungo.functions import predicates as P
 from fungo.operators import aggregates as A
+from fungo.operators import asof
 from fungo.operators import pricing as R
-from fungo.plans.display import AS_OF, SEASON, _rolling
+from fungo.plans.display import DIGITS, SEASON, rolling_before
 from fungo.sources import play_by_play as N
 
 _IMPLIED = "case when price_american < 0 then -price_american / (100.0 - price_american) else 100.0 / (100 + price_american) end"
@@ -35,21 +36,22 @@ def _quotes(t):
 
 
 def _context(t):
-    as_of = F.lit(AS_OF).cast("date")
-    return R.scoring_context(t.pitches, A.rolling_stats(t.pitches, t.at_bats, "pitcher_id", as_of), A.rolling_stats(t.pitches, t.at_bats, "batter_id", as_of))
+    """Each pitch with the rolling figures of the days before its own."""
+    form = [asof.rolling_before(t.pitches, t.at_bats, who, t.pitches.select(who, "game_date").distinct(), speed_digits=DIGITS) for who in ("pitcher_id", "batter_id")]
+    return R.scoring_context(t.pitches, *form, day="game_date")
 
 
 _CTX = f"""
-ps as ({_rolling('pitcher_id').strip()}), bs as ({_rolling('batter_id').strip()}),
-ctx as (select p.game_pk, p.at_bat_index, p.pitch_number, p.balls, p.strikes, p.pitch_number - 1 as pitch_count_pa, ps.zone_rate as pz, ps.k_rate as pk, ps.bb_rate as pbb, ps.sample_abs as pa, bs.k_rate as bk, bs.sample_abs as ba
- from pitches_v p left join ps on ps.pitcher_id = p.pitcher_id left join bs on bs.batter_id = p.batter_id)"""
+{rolling_before('pitcher_id', 'select distinct pitcher_id as who, game_date as day from pitches_v', 'pr')}, {rolling_before('batter_id', 'select distinct batter_id as who, game_date as day from pitches_v', 'br')},
+ctx as (select p.game_pk, p.at_bat_index, p.pitch_number, p.balls, p.strikes, p.pitch_number - 1 as pitch_count_pa, ps.zone_rate as pz, ps.k_rate as pk, ps.bb_rate as pbb, ps.sample_abs as pa, ps.sample_pitches as pp, ps.avg_fastball_velo as pv, bs.k_rate as bk, bs.sample_abs as ba
+ from pitches_v p left join pr_form ps on ps.who = p.pitcher_id and ps.day = p.game_date left join br_form bs on bs.who = p.batter_id and bs.day = p.game_date)"""
 
 
-def _shift_sql(k: str) -> str:
+def shift_sql(k: str) -> str:
     return "case " + " ".join(f"when balls = {b} and strikes = {s} then {d[k]}" for (b, s), d in R.COUNT_SHIFTS.items()) + " else 0.0 end"
 
 
-def _blend_sql(v: str, league: float, n: str, k: float) -> str:
+def blend_sql(v: str, league: float, n: str, k: float) -> str:
     w = f"(0.85::double * (1 - exp(-coalesce({n}, 0)::double / {k})))"
     return f"case when {v} is null then {league}::double else {w} * {v} + (1 - {w}) * {league} end"
 
@@ -98,15 +100,15 @@ PLANS = {
     ),
     "r1_pitch_result_scores": (
         lambda t: _scored(t, R.pitch_result_probs()),
-        f"with {_CTX}, r as (select *, greatest(0.0, 0.455::double + {_shift_sql('strike_foul')}) + case when pz > 0.52 then 0.03 else 0 end as sf, greatest(0.0, 0.352::double + {_shift_sql('ball')}) + case when pz < 0.44 then 0.04 else 0 end as b, greatest(0.0, 0.193::double + {_shift_sql('in_play')}) as ip from ctx) select game_pk, at_bat_index, pitch_number, round(sf / (sf + b + ip), 6) as p_strike_foul, round(b / (sf + b + ip), 6) as p_ball, round(ip / (sf + b + ip), 6) as p_in_play, round(greatest(sf, b, ip) / (sf + b + ip), 6) as confidence from r",
+        f"with {_CTX}, r as (select *, greatest(0.0, 0.455::double + {shift_sql('strike_foul')}) + case when pz > 0.52 then 0.03 else 0 end as sf, greatest(0.0, 0.352::double + {shift_sql('ball')}) + case when pz < 0.44 then 0.04 else 0 end as b, greatest(0.0, 0.193::double + {shift_sql('in_play')}) as ip from ctx) select game_pk, at_bat_index, pitch_number, round(sf / (sf + b + ip), 6) as p_strike_foul, round(b / (sf + b + ip), 6) as p_ball, round(ip / (sf + b + ip), 6) as p_in_play, round(greatest(sf, b, ip) / (sf + b + ip), 6) as confidence from r",
     ),
     "r2_pa_result_scores": (
         lambda t: _scored(t, R.pa_result_probs()),
-        f"with {_CTX}, r as (select *, {_blend_sql('pk', 0.221, 'pa', 150.0)} as k0, {_blend_sql('bk', 0.221, 'ba', 150.0)} as k1, {_blend_sql('pbb', 0.087, 'pa', 150.0)} as w0, case when strikes >= 2 then 1 else 0 end as two, case when balls >= 3 then 1 else 0 end as three from ctx), q as (select *, case when bk is not null then (k0 + k1) / 2 else k0 end + 0.08 * two as k, w0 + 0.12 * three as w, 0.239::double - 0.04 * two as h, 0.453::double - 0.04 * two - 0.06 * three as o from r) select game_pk, at_bat_index, pitch_number, round(k / (k + w + h + o), 6) as p_strikeout, round(w / (k + w + h + o), 6) as p_walk, round(h / (k + w + h + o), 6) as p_hit, round(o / (k + w + h + o), 6) as p_out, round(greatest(k, w, h, o) / (k + w + h + o), 6) as confidence from q",
+        f"with {_CTX}, r as (select *, {blend_sql('pk', 0.221, 'pa', 150.0)} as k0, {blend_sql('bk', 0.221, 'ba', 150.0)} as k1, {blend_sql('pbb', 0.087, 'pa', 150.0)} as w0, case when strikes >= 2 then 1 else 0 end as two, case when balls >= 3 then 1 else 0 end as three from ctx), q as (select *, case when bk is not null then (k0 + k1) / 2 else k0 end + 0.08 * two as k, w0 + 0.12 * three as w, 0.239::double - 0.04 * two as h, 0.453::double - 0.04 * two - 0.06 * three as o from r) select game_pk, at_bat_index, pitch_number, round(k / (k + w + h + o), 6) as p_strikeout, round(w / (k + w + h + o), 6) as p_walk, round(h / (k + w + h + o), 6) as p_hit, round(o / (k + w + h + o), 6) as p_out, round(greatest(k, w, h, o) / (k + w + h + o), 6) as confidence from q",
     ),
     "r3_r8_speed_over_line": (
         lambda t: (lambda ctx, ms: ctx.withColumn("mu", F.round(ms[0], 2)).withColumn("line", F.floor(F.col("mu") * 2 + 0.5) / 2).withColumns(R.over_line(F.col("mu"), ms[1], F.col("line"))).select(*_KEY, "mu", "line", "recommendation", "confidence", "edge"))(_context(t), R.pitch_speed()),
-        f"with {_CTX}, m as (select *, round(92.8::double - 2.2 - case when strikes = 2 then 0.4 else 0.0 end + case when balls = 3 then 0.3 else 0.0 end, 2) as mu from ctx), l as (select *, floor(mu * 2 + 0.5) / 2 as line from m), o as (select *, 1 - {_cdf('((line - mu) / 5.4::double)')} as ov from l) select game_pk, at_bat_index, pitch_number, mu, line, case when ov >= 0.5 then 'over' else 'under' end as recommendation, round(greatest(ov, 1 - ov), 4) as confidence, round(greatest(ov, 1 - ov) - 0.5, 4) as edge from o",
+        f"with {_CTX}, m as (select *, round({blend_sql('pv', 92.8, 'pp', 300.0)} - 2.2 - case when strikes = 2 then 0.4 else 0.0 end + case when balls = 3 then 0.3 else 0.0 end, 2) as mu from ctx), l as (select *, floor(mu * 2 + 0.5) / 2 as line from m), o as (select *, 1 - {_cdf('((line - mu) / 5.4::double)')} as ov from l) select game_pk, at_bat_index, pitch_number, mu, line, case when ov >= 0.5 then 'over' else 'under' end as recommendation, round(greatest(ov, 1 - ov), 4) as confidence, round(greatest(ov, 1 - ov) - 0.5, 4) as edge from o",
     ),
     "r5_game_totals": (
         lambda t: R.game_totals(t.games.where(F.col("season") == SEASON), A.team_run_rates(t.games, SEASON), A.park_factors(t.games)).select("game_pk", "sample_games", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma")),
@@ -115,8 +117,8 @@ with {_WINS}, tr as (select team_id, count(*) as n, round(avg(rs), 3) as rs, rou
  sc as (select venue_id, home_score + away_score as runs from games_v), pl as (select avg(runs) as m from sc), pv as (select venue_id, count(*) as g, avg(runs) as r from sc group by 1),
  pf as (select venue_id, round(1 + (r / nullif(m, 0) - 1) * (g / (g + 200)), 4) as factor from pv cross join pl),
  j as (select g.game_pk, g.temp_f, factor, least(coalesce(h.n, 0), coalesce(a.n, 0)) as n, h.rs as hrs, h.ra as hra, a.rs as ars, a.ra as ara from games_v g left join tr h on h.team_id = home_team_id left join tr a on a.team_id = away_team_id left join pf on pf.venue_id = g.venue_id where season = {SEASON}),
- e as (select game_pk, n, temp_f, factor, ({_blend_sql('hrs', 4.4, 'n', 40.0)} + {_blend_sql('ara', 4.4, 'n', 40.0)}) / 2 + ({_blend_sql('ars', 4.4, 'n', 40.0)} + {_blend_sql('hra', 4.4, 'n', 40.0)}) / 2 as runs from j),
- m as (select game_pk, n, least(14.0, greatest(4.5, runs * coalesce(least(1.18, greatest(0.85, factor)), 1.0) * coalesce(least(1.08, greatest(0.94, 1 + 0.004::double * (temp_f - 70))), 1.0))) as mu from e)
+ e as (select game_pk, n, temp_f, factor, ({blend_sql('hrs', 4.4, 'n', 40.0)} + {blend_sql('ara', 4.4, 'n', 40.0)}) / 2 + ({blend_sql('ars', 4.4, 'n', 40.0)} + {blend_sql('hra', 4.4, 'n', 40.0)}) / 2 as runs from j),
+ m as (select game_pk, n, least(14.0, greatest(4.5, runs * case when factor is null then 1.0 else least(1.18, greatest(0.85, factor)) end * case when temp_f is null then 1.0 else least(1.08, greatest(0.94, 1 + 0.004::double * (temp_f - 70))) end)) as mu from e)
 select game_pk, n as sample_games, round(mu, 6) as mu, round(greatest(3.0, sqrt(2 * mu)), 6) as sigma from m""",
     ),
     "r15_pending_positions": (

@@ -18,7 +18,34 @@ def _latest():
 
 
 _NULLS = " union all ".join(f"select '{c}' as \"column\", count(*) filter (where {_L}) as latest_rows, count(*) filter (where {_L} and {c} is null) as latest_missing, count(*) filter (where not {_L}) as baseline_rows, count(*) filter (where not {_L} and {c} is null) as baseline_missing from pitches_v" for c in _NULLABLE)
-_VIOLATIONS = " union all ".join(f"select '{n}' as rule, count(*) filter (where {_L} and ({r})) as latest, count(*) filter (where not {_L} and ({r})) as baseline, count(*) filter (where {_L}) as latest_rows, count(*) filter (where not {_L}) as baseline_rows from pitches_v" for n, r in Q.PITCH_RULES.items())
+#: Columns of the derived tables that rules speak of.
+_COLUMNS = {
+    "pitches": ["game_pk", "at_bat_index", "pitch_number", "game_date", "pitch_ts", "balls", "strikes", "outs", "inning", "start_speed", "launch_speed"],
+    "at_bats": ["game_pk", "at_bat_index", "pitch_count"],
+    "games": ["game_pk", "game_date", "season", "home_score", "away_score", "temp_f"],
+}
+
+
+def _violations_sql(dataset: str) -> str:
+    def one(name: str, rule: str) -> str:
+        label = name.replace("'", "''")
+        counts = ", ".join(f"count(*) filter (where {p} and ({rule})) as {n}" for n, p in (("latest", _L), ("baseline", f"not {_L}")))
+        return f"select '{label}' as rule, {counts}, count(*) filter (where {_L}) as latest_rows, count(*) filter (where not {_L}) as baseline_rows from {dataset}_v"
+
+    return " union all ".join(one(n, r) for n, r in Q.rules_of(dataset, _COLUMNS[dataset]).items())
+
+
+def _violations(t, dataset="pitches"):
+    return Q.violations(getattr(t, dataset), Q.rules_of(dataset, _COLUMNS[dataset]), _latest())
+
+
+_VIOLATIONS = _violations_sql("pitches")
+
+
+def _rated(violations: str) -> str:
+    rate = lambda p: f"round(100.0 * {p} / {p}_rows, 6) as {p}_rate"
+    status = f"case when latest = 0 then 'pass' when baseline = 0 then 'fail' when baseline_rate is null then 'warn' when abs(latest_rate - baseline_rate) > {Q.RATE_MOVE_POINTS} then 'warn' else 'known' end as status"
+    return f"with v as ({violations}), r as (select *, {rate('latest')}, {rate('baseline')} from v) select *, {status} from r"
 
 
 def _stats_sql(where: str) -> str:
@@ -44,10 +71,9 @@ PLANS = {
         lambda t: Q.duplicate_keys(t.base("lineitem"), ["l_orderkey", "l_linenumber"]),
         "select sum(c) as n_rows, count(*) as n_keys, sum(c) - count(*) as surplus from (select count(*) as c from lineitem group by l_orderkey, l_linenumber)",
     ),
-    "q5_violations": (
-        lambda t: Q.violations(t.pitches, Q.PITCH_RULES, _latest()),
-        f"with v as ({_VIOLATIONS}), r as (select *, round(100.0 * latest / latest_rows, 6) as latest_rate, round(100.0 * baseline / baseline_rows, 6) as baseline_rate from v) select *, case when latest = 0 then 'pass' when baseline = 0 then 'fail' when baseline_rate is null then 'warn' when abs(latest_rate - baseline_rate) > 2.0 then 'warn' else 'known' end as status from r",
-    ),
+    "q5_violations": (_violations, _rated(_VIOLATIONS)),
+    "q5_at_bat_violations": (lambda t: _violations(t, "at_bats"), _rated(_violations_sql("at_bats"))),
+    "q5_game_violations": (lambda t: _violations(t, "games"), _rated(_violations_sql("games"))),
     "q7_histograms": (
         lambda t: Q.histograms(t.pitches, Q.HISTOGRAMS, _latest()),
         "with x as (" + " union all ".join(f"select '{c}' as metric, cast(greatest(0, least({n} - 1, floor(({c} - {lo}) / {(hi - lo) / n}))) as int) as bin, {lo}::double as lo, {(hi - lo) / n}::double as step, {_L} as l from pitches_v where {c} is not null" for c, (lo, hi, n) in Q.HISTOGRAMS.items()) + ") select metric, bin, round(any_value(lo) + bin * any_value(step), 6) as bin_start, count(*) filter (where l) as latest_n, count(*) filter (where not l) as baseline_n from x group by 1, 2",
@@ -94,8 +120,26 @@ select venue_id, cast(year(day) as int) as season, day + 1 as from_day, followin
     "q18_dataset_totals": (lambda t: Q.dataset_totals(t.ledger), "select dataset, count(*) as days, sum(rows_n) as total_rows, sum(games) as total_games, min(day) as first_day, max(day) as last_day from ledger_v group by 1"),
     "q17_event_freshness": (lambda t: t.base("events").groupBy("event_type").agg(F.max("ts").alias("latest_ts"), F.count("*").alias("n")), "select event_type, max(ts) as latest_ts, count(*) as n from events group by 1"),
     "q16_verdicts": (
-        lambda t: Q.verdicts(("violations", Q.violations(t.pitches, Q.PITCH_RULES, _latest()), "status"), ("volume", Q.trailing_baseline(t.ledger.where("dataset = 'pitches'"), ["dataset"], "day", "rows_n"), "rows_n_status")),
-        f"with v as ({_VIOLATIONS}), r as (select *, round(100.0 * latest / latest_rows, 6) as lr, round(100.0 * baseline / baseline_rows, 6) as br from v), vs as (select case when latest = 0 then 'pass' when baseline = 0 then 'fail' when abs(lr - br) > 2.0 then 'warn' else 'known' end as st from r), {_BASELINE}, bs as (select {_SEVERITY} as st from s), a as (select 'violations' as \"check\", st from vs union all select 'volume', st from bs) select \"check\", case max(case st when 'fail' then 3 when 'warn' then 2 when 'known' then 1 else 0 end) when 3 then 'fail' when 2 then 'warn' when 1 then 'known' else 'pass' end as status, count(*) filter (where st in ('fail','warn')) as evidence from a group by 1",
+        lambda t: Q.verdicts(
+            ("violations", _violations(t), "status"),
+            ("volume", Q.trailing_baseline(t.ledger.where("dataset = 'pitches'"), ["dataset"], "day", "rows_n"), "rows_n_status"),
+            ("nulls", Q.moved_nulls(Q.null_movers(Q.null_counts(t.pitches, _NULLABLE, _latest())), structural=["launch_angle"]), "status"),
+            ("drift", Q.drift(Q.robust_stats(t.pitches.where(~_latest()), _METRICS), Q.robust_stats(t.pitches.where(_latest()), _METRICS)), "status"),
+            ("categories", Q.appeared_or_vanished(Q.category_counts(t.pitches, _CATEGORIES, _latest())).withColumn("status", F.lit("warn")), "status"),
+            ("duplicates", Q.judged(Q.duplicate_keys(t.base("lineitem"), ["l_orderkey", "l_linenumber"]), "surplus"), "status"),
+            ("orphans", Q.judged(Q.referential_gap(t.pitches.select("game_pk"), t.games.where("status = 'Final'"), "game_pk"), "orphan_keys", "warn"), "status"),
+        ),
+        f"""with vs as (select status as st from ({_rated(_VIOLATIONS)})), {_BASELINE}, bs as (select {_SEVERITY} as st from s),
+ ns as (select case when "column" = 'launch_angle' or abs(mv) <= {Q.MISSING_WARN} then 'pass' when abs(mv) > {Q.MISSING_ALERT} then 'fail' else 'warn' end as st from (select *, round(100.0 * latest_missing / latest_rows - 100.0 * baseline_missing / baseline_rows, 6) as mv from ({_NULLS}))),
+ qb as ({_stats_sql('not ' + _L)}), ql as ({_stats_sql(_L)}), dj as (select qb.median as mb, ql.median as ml, qb.spread as sp from qb full join ql using (metric)),
+ ds as (select {_SEVERITY} as st from (select 100.0 * (ml - mb) / nullif(mb, 0) as rel, case when sp > 0 then (ml - mb) / sp end as z from dj)),
+ cs as (select 'warn' as st from ({' union all '.join(f"select '{c}' as col, cast({c} as varchar) as v, count(*) filter (where {_L}) as l, count(*) filter (where not {_L}) as b from pitches_v where {c} is not null group by 2" for c in _CATEGORIES)}) where (b = 0 and l >= 20) or (l = 0 and b >= 20)),
+ us as (select case when sum(c) > count(*) then 'fail' else 'pass' end as st from (select count(*) as c from lineitem group by l_orderkey, l_linenumber)),
+ os as (select case when count(*) > 0 then 'warn' else 'pass' end as st from pitches_v where game_pk not in (select game_pk from games_v where status = 'Final')),
+ a as ({' union all '.join(f"select '{n}' as chk, st from {x}" for n, x in (('violations', 'vs'), ('volume', 'bs'), ('nulls', 'ns'), ('drift', 'ds'), ('categories', 'cs'), ('duplicates', 'us'), ('orphans', 'os')))}),
+ names as (select unnest(['violations', 'volume', 'nulls', 'drift', 'categories', 'duplicates', 'orphans']) as chk)
+select names.chk as "check", ['pass', 'known', 'warn', 'fail'][1 + coalesce(max(case st when 'fail' then 3 when 'warn' then 2 when 'known' then 1 else 0 end), 0)] as status, count(*) filter (where st in ('fail', 'warn')) as evidence
+from names left join a on a.chk = names.chk group by 1""",
     ),
     "o1_latest_records": (
         lambda t: t.base("events").select("event_id", "ts", "user_id", "event_type").orderBy(F.desc_nulls_last("ts"), F.desc("event_id")).limit(100),

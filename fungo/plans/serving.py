@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from fungo.functions import predicates as P
 from fungo.operators import aggregates as A
 from fungo.operators import grading as G
-from fungo.plans.display import FLOOR
 from fungo.plans.grading import _GRADED
 from fungo.sources import datasets as D
 
@@ -47,7 +46,7 @@ PLANS = {
         "select game_pk, market, at_bat_index, id, pitch_number, recommendation from predictions_v qualify row_number() over (partition by game_pk, market, at_bat_index order by id desc) = 1",
     ),
     "w12_preferred_scope": (
-        lambda t: A.first_per_key(A.player_profiles(t.pitches, t.at_bats, "pitcher_id", FLOOR), ["player_id"], [F.when(F.col("scope") == "season", 0).when(F.col("scope") == "d30", 1).otherwise(2)]).select("player_id", "scope", "pitches"),
+        lambda t: A.first_per_key(A.player_profiles(t.pitches, t.at_bats, "pitcher_id", 0), ["player_id"], [F.when(F.col("scope") == "season", 0).when(F.col("scope") == "d30", 1).otherwise(2)]).select("player_id", "scope", "pitches"),
         "with c as (select pitcher_id as player_id, 'career' as scope, 2 as r, count(*) as pitches from pitches_v group by 1 having count(*) >= 30 union all select pitcher_id, 'season', 0, count(*) from pitches_v where year(game_date) = (select year(max(game_date)) from pitches_v) group by 1 having count(*) >= 30) select player_id, scope, pitches from c qualify row_number() over (partition by player_id order by r) = 1",
     ),
     "p3_clamped_window": (
@@ -84,11 +83,11 @@ PLANS = {
         "select id from odds_v qualify fetched_at >= date '1998-07-15' - 14 or row_number() over (partition by game_pk, market, source, coalesce(outcome, '') order by fetched_at desc, id desc) = 1",
     ),
     "v1_profile_lookup": (
-        lambda t: A.situational_splits(t.pitches, t.at_bats, FLOOR).where("role = 'pitcher' and player_id = 7").select("men_on_base", "opp_hand", "pa", "k_rate").orderBy("men_on_base", "opp_hand"),
+        lambda t: A.situational_splits(t.pitches, t.at_bats, 0).where("role = 'pitcher' and player_id = 7").select("men_on_base", "opp_hand", "pa", "k_rate").orderBy("men_on_base", "opp_hand"),
         "select men_on_base, bat_side as opp_hand, count(*) as pa, round(sum(cast(result = 'strikeout' as int)) / count(*), 4) as k_rate from at_bats_v where pitcher_id = 7 group by men_on_base, bat_side",
     ),
     "v2_matchup_lookup": (
-        lambda t: A.matchup_lookup(t.pitches.select("pitcher_id", "batter_id"), A.matchup_history(t.at_bats, FLOOR)),
+        lambda t: A.matchup_lookup(t.pitches.select("pitcher_id", "batter_id"), A.matchup_history(t.at_bats, 0)),
         """with asked as (select distinct pitcher_id, batter_id from pitches_v),
  met as (select pitcher_id, batter_id, count(*) as n, sum(cast(result = 'hit' as int)) as hits from at_bats_v group by all)
 select a.pitcher_id, a.batter_id, cast(case when n >= 3 then n else 0 end as bigint) as pa_count, cast(case when n >= 3 then hits else 0 end as bigint) as h_count from asked a left join met m on m.pitcher_id = a.pitcher_id and m.batter_id = a.batter_id""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fungo.operators import features as X
+from fungo.plans.display import HARD
 
 
 def _spine_sql(table: str, measures: dict[str, str]) -> str:
@@ -94,7 +95,7 @@ from states group by all""",
     "a32_clamped_speed_cells": (
         lambda t: X.clamped_speed_cells(t.pitches),
         f"""
-with fast as (select *, case when pitch_type in ('FC', 'SI', 'FT', 'FF') then start_speed end as hard from ({_with_count_before('(select * from pitches_v where start_speed is not null)')})),
+with fast as (select *, case when {HARD} then start_speed end as hard from ({_with_count_before('(select * from pitches_v where start_speed is not null)')})),
  known as (select *, count(hard) over p as hard_seen, avg(hard) over p as hard_mean from fast window p as (partition by pitcher_id))
 select round(hard_mean) as velo_bucket, had_balls as balls, had_strikes as strikes, case when pitch_number > 8 then 8 else pitch_number end as pitch_of_pa, count(*) as n, round(avg(start_speed), 6) as mean_speed, round(var_samp(start_speed), 6) as var_speed
 from known where hard_seen >= 50 and had_balls {_LEGAL.format('had_strikes')} group by 1, 2, 3, 4 having n >= 20""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fungo.functions import predicates as P
 from fungo.sources.play_by_play import result_category
 
-_TEAM = "struct<score:int,team:struct<id:int,name:string,abbreviation:string>>"
+_TEAM = "struct<score:int,team:struct<id:int,name:string,abbreviation:string>,probablePitcher:struct<id:int,fullName:string>>"
 SCHEDULE = f"struct<dates:array<struct<games:array<struct<gamePk:bigint,officialDate:string,season:string,gameType:string,gameDate:string,status:struct<detailedState:string>,teams:struct<home:{_TEAM},away:{_TEAM}>,venue:struct<id:int,name:string>>>>>>"
 BOXSCORE = "struct<officials:array<struct<officialType:string,official:struct<id:int,fullName:string>>>,info:array<struct<label:string,value:string>>>"
 PEOPLE = "struct<people:array<struct<id:int,fullName:string,batSide:struct<code:string>,pitchHand:struct<code:string>,primaryPosition:struct<abbreviation:string>,mlbDebutDate:string,birthDate:string>>>"
@@ -17,10 +17,6 @@ CONTRACTS = "struct<markets:array<struct<ticker:string,title:string,yes_sub_titl
 BOOKS = "array<struct<home_team:string,away_team:string,bookmakers:array<struct<key:string,markets:array<struct<key:string,outcomes:array<struct<name:string,price:int,point:double>>>>>>>>"
 
 
-def is_final(status: Column) -> Column:
-    return status.startswith("Final") | status.isin("Game Over", "Completed Early")
-
-
 def schedule_games(docs: DataFrame, json_col: str = "doc", final_only: bool = False) -> DataFrame:
     """One row a scheduled game, as often as the schedule lists it."""
     g = docs.select(F.explode(F.from_json(json_col, SCHEDULE)["dates"]).alias("d")).select(F.explode("d.games").alias("g"))
@@ -30,7 +26,19 @@ def schedule_games(docs: DataFrame, json_col: str = "doc", final_only: bool = Fa
         *(F.col(f"g.teams.{s}.score").alias(f"{s}_score") for s in ("home", "away")),
         F.col("g.venue.id").alias("venue_id"), F.col("g.venue.name").alias("venue_name"), F.try_to_timestamp("g.gameDate").alias("start_ts"),
     )
-    return out.where(is_final(F.col("status"))) if final_only else out
+    return out.where(P.is_final(F.col("status"))) if final_only else out
+
+
+def probable_starters(docs: DataFrame, json_col: str = "doc") -> DataFrame:
+    """Announced starters of each scheduled game: (game_pk, home_pitcher_id, home_pitcher, away_pitcher_id, away_pitcher); null where a side has none.
+
+    A game that the schedule lists again keeps what any of its entries announces; of two names for a side the later document's stays.
+    """
+    g = docs.select(F.monotonically_increasing_id().alias("n"), F.explode(F.from_json(json_col, SCHEDULE)["dates"]).alias("d")).select("n", F.posexplode("d.games").alias("i", "g"))
+    rows = g.where("g.gamePk is not null")
+    last = lambda s: F.max_by(F.when(F.col(f"g.teams.{s}.probablePitcher.id").isNotNull(), F.col(f"g.teams.{s}.probablePitcher")), F.when(F.col(f"g.teams.{s}.probablePitcher.id").isNotNull(), F.struct("n", "i")))
+    found = rows.groupBy(F.col("g.gamePk").alias("game_pk")).agg(*(last(s).alias(s) for s in ("home", "away")))
+    return found.select("game_pk", *(F.col(f"{s}.{c}").alias(f"{s}_{n}") for s in ("home", "away") for c, n in (("id", "pitcher_id"), ("fullName", "pitcher"))))
 
 
 def boxscore_context(docs: DataFrame, json_col: str = "doc") -> DataFrame:
