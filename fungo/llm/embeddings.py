@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
+from pyspark.sql.types import ByteType, FloatType, IntegerType, LongType, ShortType
 
 from .components import connected_components
 from .shared import split_hot, stage
@@ -79,8 +79,8 @@ def _pairs(rotations: dict[int, np.ndarray], threshold: float, kind: str):
         if not frames:
             return
         rows = pa.Table.from_batches(frames).combine_chunks()
-        col = {c: rows[c].to_numpy() for c in ("label", "dim", "t", "key", "bi", "bj", "side", "rep", "copies")}
-        order = np.lexsort([col[c] for c in ("rep", "side", "bj", "bi", "key", "t", "dim", "label")])
+        col = {c: rows[c].to_numpy() for c in ("label", "dim", "t", "key", "bi", "bj", "side", "node", "copies")}
+        order = np.lexsort([col[c] for c in ("node", "side", "bj", "bi", "key", "t", "dim", "label")])
         group = np.stack([col[c][order].astype(np.int64) for c in ("label", "dim", "t", "key", "bi", "bj")])
         starts = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
         vec, keys, codes, factors = (rows[c].combine_chunks() for c in ("vec", "keys", "code", "factor"))
@@ -111,7 +111,7 @@ def _pairs(rotations: dict[int, np.ndarray], threshold: float, kind: str):
                 fresh = (k[i] == k[j]).argmax(1) == group[2, lo]  # the first table in which the two meet
                 i, j = i[fresh], j[fresh]
             if len(i):
-                ids, copies = col["rep"][at], col["copies"][at]
+                ids, copies = col["node"][at], col["copies"][at]
                 links = np.bincount(i, copies[j], len(at)) + np.bincount(j, copies[i], len(at))
                 forest = _Forest(len(at))
                 forest.link(i, j)
@@ -136,37 +136,47 @@ def _to_bytes(kind: str):
     return run
 
 
+def _label(vectors: DataFrame, label_col: str) -> Column:
+    """Labels as numbers: whole ones as they are, any other kind by a hash of its text."""
+    kind = vectors.schema[label_col].dataType
+    label = F.col(label_col)
+    return label.cast("long") if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)) else F.when(label.isNotNull(), F.xxhash64(label.cast("string")))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 42, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors with equal labels link at a cosine of ``threshold`` or more; none
     below it is linked. Null labels, and vectors that are null, empty, zero or
     hold null or non-finite components, link with nothing; so do vectors of
-    different lengths. Rows that repeat are copies that link with each other. An
-    empty table gives no row. Other columns are not read.
+    different lengths. Rows that repeat are copies that link with each other. A
+    row without an id links like any other; its component is the least id that
+    links reach, null if there is none, and it is never kept. An empty table
+    gives no row. Other columns are not read.
     """
     # single precision is kept where the table has it: the bytes are half as many and the same numbers
     kind = "<f4" if vectors.schema[vector_col].dataType.elementType == FloatType() else "<f8"
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), _label(vectors, label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     finite: Column = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(sound).withColumn("dim", F.size("v").cast("long")).mapInArrow(_to_bytes(kind), "vec_id long, label long, dim long, vec binary")
     good = stage(good.withColumn("same", F.sha2("vec", 256)), "vectors")
-    reps = stage(good.groupBy("label", "dim", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec")), "distinct_vectors")
+    reps = stage(good.groupBy("label", "dim", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec")).withColumn("node", F.monotonically_increasing_id()), "distinct_vectors")
     sizes = reps.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     bits, tables = tables_for(max((r["n"] for r in sizes), default=1), threshold, recall)
     rotations = {r["dim"]: rotation(r["dim"], seed) for r in sizes}
     planes = {d: np.random.default_rng([seed, d, 1]).normal(size=(d, tables * bits)) for d in rotations}
-    schema = "label long, dim long, rep long, copies long, vec binary, code binary, factor double, keys array<int>"
-    coded = stage(reps.select("label", "dim", "rep", "copies", "vec").mapInArrow(_coded(rotations, planes, tables, bits, kind), schema), "coded_vectors")
+    schema = "label long, dim long, node long, copies long, vec binary, code binary, factor double, keys array<int>"
+    coded = stage(reps.select("label", "dim", "node", "copies", "vec").mapInArrow(_coded(rotations, planes, tables, bits, kind), schema), "coded_vectors")
     rows_by_key = coded.select("*", F.posexplode("keys").alias("t", "key"))
     group = ["label", "dim", "t", "key"]
-    met = split_hot(rows_by_key, group, "rep", block).repartition(*group, "bi", "bj").mapInArrow(_pairs(rotations, threshold, kind), "a long, b long, n long")
+    met = split_hot(rows_by_key, group, "node", block).repartition(*group, "bi", "bj").mapInArrow(_pairs(rotations, threshold, kind), "a long, b long, n long")
     met = stage(met, "vector_links")
     roots = connected_components(met.where("b is not null").select("a", "b"))
     counts = met.where("b is null").groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n"))
-    known = reps.select("label", "dim", "same", "rep", "copies").join(counts, F.col("rep") == F.col("linked"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "dim", "same", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    placed = reps.select("label", "dim", "same", F.col("node").alias("own"), "rep", "copies").join(counts, F.col("own") == F.col("linked"), "left").join(roots, F.col("own") == F.col("node"), "left")
+    placed = stage(placed.select("label", "dim", "same", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "own").alias("root")), "placed_vectors")
+    known = placed.join(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("label", "dim", "same", "n_links", "component_id")
     linked = good.select("vec_id", "label", "dim", "same").join(known, ["label", "dim", "same"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
