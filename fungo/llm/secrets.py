@@ -7,8 +7,8 @@ of 20 and more such characters; shorter ones do not tell random from not. A toke
 that the least of as many p-values is no greater. Random strings have p spread over [0, 1]; ordinary words,
 names and paths gather at zero. So for each encoding and pool of neighbouring
 length classes, counts of p over the whole corpus tell how many tokens above a
-threshold are random ones (twice those above one half, carried down), and the
-threshold is the least that keeps the share of others at or below ``fdr``.
+threshold are random ones (a bound from those above one half, carried down), and the threshold is the least that keeps the share of others at
+or below ``fdr``.
 Counts are a table of bounded
 size: encodings x length classes x bins of p.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stage
+from .shared import small_batches, stage, unused
 
 # Fixed patterns of the base scan. Minimum lengths are checked after the match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -47,6 +47,10 @@ ALPHABETS = {
 GRID = (0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
 #: Tokens that neighbouring length classes of an encoding are pooled to.
 POOL = 400
+#: Chance that the bound on the number of random tokens is too high; where the upper half is cut to see whether it is even, and by how many deviations it may lean.
+DOUBT, TAIL, LEAN = 0.5, 0.75, 1.0
+#: Tokens above one half that a pool must have; fewer are no evidence of random ones.
+EVIDENCE = 15
 
 
 def infer_encoding(token: str) -> str:
@@ -185,23 +189,73 @@ def _pools(sizes: dict[int, int]) -> list[list[int]]:
     return pools
 
 
+def least_share(n: int, above: int, split: float = 0.5, doubt: float = DOUBT) -> float:
+    """Lower confidence bound of the share of random tokens among ``n`` of which ``above`` have a p over ``split``.
+
+    Random tokens have p spread evenly, so of m of them a part 1 - split is
+    expected above; the bound is that of Clopper and Pearson, by bisection of
+    the binomial tail.
+    """
+    if not above:
+        return 0.0
+
+    def tail(p: float) -> float:  # of above or more
+        if n > 1000:
+            return 0.5 * math.erfc((above - 0.5 - n * p) / math.sqrt(2 * n * p * (1 - p)))
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(above, n + 1))
+
+    low, high = 1e-12, min(above / n, 1 - 1e-12)
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if tail(mid) < doubt else (low, mid)
+    return low / (1 - split)
+
+
+def least_p(rows: Sequence, fdr: float = 0.05) -> float | None:
+    """The least threshold of GRID that keeps the false share of a pool; None if none does.
+
+    ``rows``: size, n<i> tokens above each threshold, and tail tokens above TAIL.
+    The tokens above one half tell how many random ones there are, so they are no
+    test of themselves: the first threshold that is judged is the next one, and a
+    threshold holds only if all higher ones do. If those above one half lean
+    towards it, they are the end of another spread than the random one's, and
+    none is accepted.
+    """
+    counts = [sum(row[f"n{i}"] for row in rows) for i in range(len(GRID))]
+    size, tail, half = sum(row["size"] for row in rows), sum(row["tail"] for row in rows), counts[-1]
+    part = (1 - TAIL) / (1 - GRID[-1])
+    if half < EVIDENCE or half * part - tail > LEAN * math.sqrt(half * part * (1 - part)):
+        return None
+    random, found = least_share(size, half, GRID[-1]) * size, None
+    for t, n in zip(reversed(GRID[:-1]), reversed(counts[:-1]), strict=True):
+        if not n or n - random * (1 - t) > fdr * n:
+            break
+        found = t
+    return found
+
+
 def thresholds(scanned: DataFrame, fdr: float = 0.05) -> dict[str, float]:
     """Least accepted p by "encoding/length class"; classes without one are absent.
 
     The rule is the same at every size: of the tokens above a threshold, the
-    share that the estimate of random ones does not explain is ``fdr`` at most.
+    share that random ones do not explain is ``fdr`` at most. How many are random
+    is the median-unbiased bound from those with p above one half, and a pool with
+    fewer than EVIDENCE of these accepts none. Pools that accept none are judged once
+    more with those of all encodings together.
     """
     above = [F.count_if(F.col("c.p") > t).alias(f"n{i}") for i, t in enumerate(GRID)]
-    rows = scanned.select(F.explode("more").alias("c")).groupBy("c.encoding", "c.lengths").agg(F.count("*").alias("size"), *above).collect()
-    out = {}
-    for encoding in {row["encoding"] for row in rows}:
+    rows = scanned.select(F.explode("more").alias("c")).groupBy("c.encoding", "c.lengths").agg(F.count("*").alias("size"), F.count_if(F.col("c.p") > TAIL).alias("tail"), *above).collect()
+    out, open_ = {}, []
+    for encoding in sorted({row["encoding"] for row in rows}):
         mine = {row["lengths"]: row for row in rows if row["encoding"] == encoding}
         for pool in _pools({k: row["size"] for k, row in mine.items()}):
-            counts = [sum(mine[k][f"n{i}"] for k in pool) for i in range(len(GRID))]
-            random = 2 * counts[-1]
-            accepted = [t for t, n in zip(GRID, counts, strict=True) if n and n - random * (1 - t) <= fdr * n]
-            out |= {f"{encoding}/{k}": accepted[0] for k in pool if accepted}
-    return out
+            t = least_p([mine[k] for k in pool], fdr)
+            if t is None:
+                open_ += [mine[k] for k in pool]
+            else:
+                out |= {f"{encoding}/{k}": t for k in pool}
+    t = least_p(open_, fdr) if open_ else None
+    return out | ({f"{row['encoding']}/{row['lengths']}": t for row in open_} if t is not None else {})
 
 
 def _accepted(limits: dict[str, float]) -> Column:
@@ -258,7 +312,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    out = docs.withColumn("__clean", clean(F.col(text_col)))
+    new = unused(docs, "clean")
+    out = docs.withColumn(new, clean(F.col(text_col)))
+    changed = {text_col: F.col(new)}
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("__clean").eqNullSafe(F.col(text_col)), F.col(length_col)).otherwise(F.char_length("__clean").cast(docs.schema[length_col].dataType)))
-    return out.withColumn(text_col, F.col("__clean")).drop("__clean")
+        changed[length_col] = F.when(F.col(new).eqNullSafe(F.col(text_col)), F.col(length_col)).otherwise(F.char_length(new).cast(docs.schema[length_col].dataType))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))

@@ -65,6 +65,15 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of letters."""
+    have = {c.lower() for c in df.columns}
+    found = f"__{name}"
+    while found in have:
+        found += "_"
+    return found
+
+
 def share(col: Column, salt: str) -> Column:
     """A number in [0, 1) that depends only on the value and the salt."""
     return (F.pmod(F.xxhash64(F.lit(salt), col.cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))).cast("double")
