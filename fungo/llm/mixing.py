@@ -75,7 +75,7 @@ def leaf_budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weight
 
 
 def with_copies(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 2, seed: int = 7, weights: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None) -> DataFrame:
-    """``docs`` with struct column ``__mix``: domain, lang, source, tokens, copies (0 for documents that are not drawn).
+    """Two struct columns: ``row``, the row of ``docs``, and ``mix``: domain, lang, source, tokens, copies (0 for documents that are not drawn).
 
     The budget is ``budget_share`` of all tokens. Null languages and sources are
     nodes named "none"; texts without tokens are drawn with every epoch their
@@ -83,13 +83,15 @@ def with_copies(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 2,
     shorter comes first. An empty table gives no row.
     """
     weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
-    tagged = docs.withColumns({
-        "__domain": F.coalesce(domain if domain is not None else default_domain(F.col(source_col)), F.lit("none")),
-        "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("none")),
-        "__source": F.coalesce(F.col(source_col).cast("string"), F.lit("none")),
-        "__tokens": count_tokens(F.col(text_col)),
-        "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-    })
+    # the row goes into one column, so that none of its names meets one of ours
+    tagged = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.coalesce(domain if domain is not None else default_domain(F.col(source_col)), F.lit("none")).alias("__domain"),
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("none")).alias("__lang"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("none")).alias("__source"),
+        count_tokens(F.col(text_col)).alias("__tokens"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"),
+    )
     slim = stage(tagged.select(*(F.col(f"__{c}").alias(c) for c in LEVELS), F.col("__tokens").alias("tokens"), F.col("__id").alias("id")), "mix_tokens")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(leaves, budget_share, max_epochs, weights).select(
@@ -114,18 +116,18 @@ def with_copies(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 2,
     close = placed.where(on_edge).withColumn("__in", F.col("__before") + running <= F.col("__rest"))
     copies = F.least(F.lit(max_epochs), F.col("__whole") + F.col("__in").cast("int"))
     mix = F.struct(*(F.col(f"__{c}").alias(c) for c in LEVELS), F.col("__tokens").alias("tokens"), copies.alias("copies"))
-    return sure.unionByName(close).select(*(F.col(c) for c in docs.columns), mix.alias("__mix"))
+    return sure.unionByName(close).select("row", mix.alias("mix"))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """One row for each row of ``docs`` that is drawn: doc_id, domain, lang, source, tokens, copies."""
-    return with_copies(docs, id_col=id_col, **how).where("__mix.copies > 0").select(F.col(id_col).alias("doc_id"), "__mix.*")
+    return with_copies(docs, id_col=id_col, **how).where("mix.copies > 0").select(F.col("row")[id_col].alias("doc_id"), "mix.*")
 
 
 def draw(docs: DataFrame, **how) -> DataFrame:
     """The drawn rows of ``docs``, each as often as it is drawn; columns stay as they are."""
-    mixed = with_copies(docs, **how).where("__mix.copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).select(*docs.columns)
+    mixed = with_copies(docs, **how).where("mix.copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies"))).alias("copy")).select("row.*")
 
 
 #: DuckDB SQL of ``mixture`` with its defaults.

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import small_batches, split_hot, stage
+from .shared import small_batches, split_hot, stage, unused
 
 BITS = 64
 #: A task of more fingerprints than this is split at the next levels of the trie.
@@ -268,10 +268,11 @@ def keep_rows(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) ->
     A row is named by id and text together, so neither a null nor a repeated id
     makes rows of different components one.
     """
+    own, kept_id, kept_hash = (unused(docs, n) for n in ("hash", "kept_id", "kept_hash"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("x")
-    kept = placed.groupBy("root").agg(least).select(F.col("x.doc_id").alias("__kept_id"), F.col("x.text_hash").alias("__kept_hash")).distinct()
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    return hashed.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")
+    kept = placed.groupBy("root").agg(least).select(F.col("x.doc_id").alias(kept_id), F.col("x.text_hash").alias(kept_hash)).distinct()
+    hashed = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    return hashed.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash)), "left_semi").dropDuplicates([id_col, own]).drop(own)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 3, seed: int = 42, task_fingerprints: int = TASK_FINGERPRINTS) -> DataFrame:

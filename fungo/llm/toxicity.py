@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import share, small_batches
+from .shared import share, small_batches, unused
 
 #: Bounds: labelled documents of each class in the sample, features of the model, and grades above zero.
 SAMPLE_EACH, FEATURES, GRADES = 1_500, 1_000, 3
@@ -213,4 +213,5 @@ def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5, **how) -> DataFrame:
     """``docs`` without the rows that are graded toxic; columns stay as they are."""
     model = train(docs, labels, id_col, text_col, **how)
-    return docs.withColumn("__toxicity", score_column(model, F.col(text_col))).where(F.col("__toxicity.p_toxic") < limit).drop("__toxicity")
+    score = unused(docs, "toxicity")
+    return docs.withColumn(score, score_column(model, F.col(text_col))).where(F.col(score)["p_toxic"] < limit).drop(score)
