@@ -94,23 +94,55 @@ def histograms(df: DataFrame, bins: Mapping[str, tuple[float, float, int]], late
     return x.groupBy("metric", b.alias("bin"), "lo", "step").agg(F.count_if("latest").alias("latest_n"), F.count_if(~F.col("latest")).alias("baseline_n")).select("metric", "bin", F.round(F.col("lo") + F.col("bin") * F.col("step"), 6).alias("bin_start"), "latest_n", "baseline_n")
 
 
+def weighted_quantiles(counted: DataFrame, wanted: Sequence[float], buckets: int = 64) -> DataFrame:
+    """(metric, q): exact quantiles, in order of ``wanted``, of values with counts (metric, value, n); a map from place to value.
+
+    Values are dealt to buckets between approximate quantiles, so each task sorts
+    a part of a metric's values; counts of whole buckets give where a part begins.
+    Any cuts give the same answer, they only share out the work.
+    """
+    present = counted.where(F.col("value").isNotNull())
+    cuts = present.groupBy("metric").agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))  # a row a metric
+    placed = present.join(F.broadcast(cuts), "metric").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    sums = placed.groupBy("metric", "bucket").agg(F.sum("n").alias("inside"))
+    w = Window.partitionBy("metric")
+    before = F.coalesce(F.sum("inside").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("metric", "bucket", before.alias("before"), F.sum("inside").over(w).alias("total"))  # a row a metric and bucket
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("metric", "bucket").orderBy("value"))
+    run = placed.join(F.broadcast(offsets), ["metric", "bucket"]).withColumn("upto", upto)
+    parts = []
+    for i, q in enumerate(wanted):
+        at = F.lit(q) * (F.col("total") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        parts.append(F.struct(F.lit(i).alias("i"), low.alias("k"), F.when(low == high, 1.0).otherwise(high - at).alias("w")))
+        parts.append(F.struct(F.lit(i).alias("i"), high.alias("k"), F.when(low == high, 0.0).otherwise(at - low).alias("w")))
+    mine = F.filter(F.array(*parts), lambda x: (x["k"] < F.col("upto")) & (x["k"] >= F.col("upto") - F.col("n")))
+    hits = run.select("metric", "value", F.explode(mine).alias("x"))
+    found = hits.groupBy("metric", "x.i").agg(F.sum(F.col("value") * F.col("x.w")).alias("v"))
+    return found.groupBy("metric").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("q"))  # a few entries
+
+
 def robust_stats(df: DataFrame, columns: Sequence[str], digits: int = 6, accuracy: int | None = None) -> DataFrame:
     """5th, 50th and 95th percentile, a robust spread (IQR / 1.349) and missing share of each column.
 
-    Equal values are counted first, so an exact percentile sees each value once;
-    for columns whose distinct values outgrow a task give ``accuracy``, which
-    takes ``percentile_approx`` with that accuracy.
+    Equal values are counted first and the exact quantiles taken over parts of
+    the values; with ``accuracy`` they are those of ``percentile_approx``.
     """
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
-    counted = long.groupBy("metric", "value").agg(F.count("*").alias("n"))
-    wanted = F.array(*(F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)))
-    quantiles = F.percentile("value", wanted, F.col("n")) if accuracy is None else F.percentile_approx("value", wanted, accuracy)
-    source = counted if accuracy is None else long.withColumn("n", F.lit(1))
-    x = source.groupBy("metric").agg(quantiles.alias("q"), F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("present"))
+    places = (0.05, 0.25, 0.5, 0.75, 0.95)
+    present = F.count_if(F.col("value").isNotNull()) if accuracy else F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    if accuracy is None:
+        counted = long.groupBy("metric", "value").agg(F.count("*").alias("n"))
+        sizes = counted.groupBy("metric").agg(F.sum("n").alias("n_rows"), F.coalesce(present, F.lit(0)).alias("present"))
+        x = sizes.join(weighted_quantiles(counted, places), "metric", "left")
+    else:
+        entries = F.percentile_approx("value", list(places), accuracy)
+        x = long.groupBy("metric").agg(entries.alias("a"), F.count("*").alias("n_rows"), present.alias("present"))
+        x = x.withColumn("q", F.map_from_entries(F.transform("a", lambda v, i: F.struct(i, v))))
     at = lambda i: F.round(F.try_element_at("q", F.lit(i)), digits)
-    spread = F.round((F.try_element_at("q", F.lit(4)) - F.try_element_at("q", F.lit(2))) / 1.349, digits)
+    spread = F.round((F.try_element_at("q", F.lit(3)) - F.try_element_at("q", F.lit(1))) / 1.349, digits)
     missing = F.round(F.try_divide(100.0 * (F.col("n_rows") - F.col("present")), F.col("n_rows").cast("double")), digits)
-    return x.select("metric", at(1).alias("p05"), at(3).alias("median"), at(5).alias("p95"), spread.alias("spread"), missing.alias("null_pct"))
+    return x.select("metric", at(0).alias("p05"), at(2).alias("median"), at(4).alias("p95"), spread.alias("spread"), missing.alias("null_pct"))
 
 
 def severity(z: Column, relative: Column, floor: float = FLOOR_PERCENT) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fungo.sources.views import Tables, with_views
 
-from . import boards, display, grading, market, quality, scoring, serving, training, verdicts
+from . import boards, display, grading, market, quality, reports, scoring, serving, training, verdicts
 
-MODULES = (display, training, grading, quality, market, serving, boards, scoring, verdicts)
+MODULES = (display, training, grading, quality, market, serving, boards, scoring, verdicts, reports)
 
 
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -62,6 +62,10 @@ PLANS = {
         lambda t: D.day_checksums(t.pitches, D.KEYS["pitches"], exact=True),
         "select game_date as day, count(*) as rows, count(distinct game_pk) as games, sha256(array_to_string(list_sort(list(concat_ws('|', game_pk, at_bat_index, pitch_number))), chr(10))) as checksum from pitches_v group by 1",
     ),
+    "s11_day_folds": (
+        lambda t: D.day_checksums(t.pitches, D.KEYS["pitches"]),
+        "select game_date as day, count(*) as rows, count(distinct game_pk) as games, cast(sum(('0x' || substr(md5(concat_ws('|', game_pk, at_bat_index, pitch_number)), 1, 12))::bigint) as varchar) as checksum from pitches_v group by 1",
+    ),
     "s13_pending_days": (
         lambda t: D.pending_days(t.games.select(F.col("game_date").alias("day")), t.ledger.where("dataset = 'pitches' and games >= 7").select("day"), F.lit("1996-04-01").cast("date"), F.lit(DAY).cast("date"), most=1_000),
         f"select distinct game_date as day from games_v where game_date between date '1996-04-01' and date '{DAY}' and game_date not in (select day from ledger_v where dataset = 'pitches' and games >= 7)",

@@ -89,7 +89,7 @@ def _baselines(t):
 
 def _form(days: str, value: str, weight: str) -> str:
     """Trailing means over the days before: a career's, 30 and 90 days'."""
-    frame = lambda name, lower: f"sum({value} * {weight}) over (partition by who order by day range between {lower} and interval 1 day preceding) / nullif(sum({weight}) over (partition by who order by day range between {lower} and interval 1 day preceding), 0) as {name}"
+    frame = lambda name, lower: f"cast(sum({value} * {weight}) over (partition by who order by day range between {lower} and interval 1 day preceding) as double) / nullif(sum({weight}) over (partition by who order by day range between {lower} and interval 1 day preceding), 0) as {name}"
     return f"select who, day, {frame('career', 'unbounded preceding')}, {frame('d30', 'interval 30 day preceding')}, {frame('d90', 'interval 90 day preceding')} from ({days})"
 
 
@@ -97,8 +97,8 @@ def _bucket(window: str, base: float, step: float) -> str:
     return f"cast(floor(round(coalesce({window} - {base}, 0.0) / {step}, 9)) as int)"
 
 
-_ZONE_DAYS = "select pitcher_id as who, game_date as day, round(avg(case when zone between 1 and 9 then 1.0 else 0.0 end), 9) as m, count(*) as n from pitches_v group by 1, 2"
-_SPEED_DAYS = "select pitcher_id as who, game_date as day, round(avg(start_speed), 9) as m, count(*) as n from pitches_v group by 1, 2"
+_ZONE_DAYS = "select pitcher_id as who, game_date as day, cast(round(avg(case when zone between 1 and 9 then 1.0 else 0.0 end), 9) as decimal(18,9)) as m, count(*) as n from pitches_v group by 1, 2"
+_SPEED_DAYS = "select pitcher_id as who, game_date as day, cast(round(avg(start_speed), 9) as decimal(18,9)) as m, count(*) as n from pitches_v group by 1, 2"
 
 
 def _logit_rows(fit: tuple) -> str:

@@ -122,4 +122,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if f"{name}_v" not in VIEWS:
             raise AttributeError(name)
-        return self.sql(f"select * from {name}_v")
+        found = self.sql(f"select * from {name}_v")
+        setattr(self, name, found)  # one frame a name, so that its exchanges can be used again
+        return found

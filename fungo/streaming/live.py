@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -83,21 +84,30 @@ def settle_stream(calls: DataFrame, events: DataFrame, key: str, within: str, la
     return c.join(e, cond, "left").groupBy(*calls.columns).agg(first).select(*calls.columns, "first.event_ts", "first.happened")
 
 
-def once_each(batch_sink: Callable[[DataFrame], None], path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: hand on rows whose keys have not been written under ``path`` yet, and note them."""
+def once_each(batch_sink: Callable[[DataFrame], None], path: str, keys: Sequence[str], day: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: hand on rows whose keys no other batch under ``path`` has.
 
-    def run(batch: DataFrame, _epoch: int) -> None:
+    The batch's keys are noted under its number before its rows are handed on, so
+    a batch that comes again after a failure gets the same rows, and a sink that
+    writes by batch is not given any of them in another one. With ``day`` (a column
+    of the keys) notes lie by day, and only the days of the batch are read; days
+    behind the watermark can be deleted.
+    """
+    parts = [day, "epoch"] if day else ["epoch"]
+
+    def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates(list(keys))
-        try:
-            rows = rows.join(spark.read.parquet(path), list(keys), "left_anti")
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            seen = spark.read.schema(T.StructType([*(batch.schema[k] for k in keys), T.StructField("epoch", T.LongType())])).parquet(path).where(F.col("epoch") != epoch)
+            if day:
+                seen = seen.join(F.broadcast(batch.select(day).distinct()), day, "left_semi")  # the days of one batch
+            rows = rows.join(seen, list(keys), "left_anti")
         rows = rows.persist()
         try:
+            rows.select(*keys, F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
             batch_sink(rows)
-            rows.select(*keys).write.mode("append").parquet(path)
         finally:
             rows.unpersist()
 

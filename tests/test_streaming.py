@@ -45,6 +45,28 @@ def test_once_each_sink(spark, tmp_path):
     assert out == [[1, 2], [3]]
 
 
+def test_a_batch_that_comes_again_gets_its_rows_again(spark, tmp_path):
+    """A sink that fails after the keys are noted is given the same rows when the batch is run once more, and no other batch is."""
+    done, out, fails = str(tmp_path / "done"), [], [True]
+
+    def sink(df):
+        if fails:
+            fails.pop()
+            raise OSError("lost")
+        out.append(sorted(r["k"] for r in df.collect()))
+
+    once = L.once_each(sink, done, ["k", "d"], day="d")
+    first, second = (spark.createDataFrame(rows, "k int, d string") for rows in ([(1, "a"), (2, "b")], [(2, "b"), (3, "b")]))
+    try:
+        once(first, 0)
+    except OSError:
+        pass
+    once(first, 0)
+    once(second, 1)
+    once(second, 1)
+    assert out == [[1, 2], [3], [3]]
+
+
 def test_settlement_of_streams(spark, tmp_path):
     e = spark.createDataFrame([(1, "2024-01-01 00:05:00", "a"), (1, "2024-01-01 00:07:00", "b"), (1, "2024-01-01 00:30:00", "c"), (9, "2024-01-03 00:00:00", "z")], "user_id int, t string, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_type")
     c = spark.createDataFrame([(1, 10, "2024-01-01 00:00:00"), (2, 20, "2024-01-01 00:00:00"), (9, 90, "2024-01-03 00:00:00")], "user_id int, call_id int, t string").select("user_id", "call_id", F.to_timestamp("t").alias("call_ts"))
