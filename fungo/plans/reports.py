@@ -61,10 +61,10 @@ select game_date as official_date, {', '.join(f'cast(coalesce(sum({c}), 0) as bi
     ),
     "v12_health": (
         lambda t: V.health(t.sql(_RUNS), t.sql(_REGISTRY), {"games": (t.games, "game_date"), "quotes": (t.odds, "fetched_at")}, F.lit(NOW)),
-        f"""with runs as ({_RUNS}), done as (select job, count(*) as n, max(finished_at) filter (where ok) as at from runs group by 1), pub as (select 'games' as name, count(*) as n, max(game_date)::timestamp as at from games_v union all select 'quotes', count(*), max(fetched_at)::timestamp from odds_v)
-select 'job' as section, job as name, strftime(at, '%Y-%m-%d %H:%M:%S') as detail, n, cast(floor(epoch(timestamp '{NOW}')) - floor(epoch(at)) as bigint) as age, cast(null as boolean) as stale from done
+        f"""with runs as ({_RUNS}), done as (select job, count(*) as n, max(finished_at) filter (where ok) as done_at from runs group by 1), pub as (select 'games' as name, count(*) as n, max(game_date)::timestamp as done_at from games_v union all select 'quotes', count(*), max(fetched_at)::timestamp from odds_v)
+select 'job' as section, job as name, strftime(done_at, '%Y-%m-%d %H:%M:%S') as detail, n, cast(floor(epoch(timestamp '{NOW}')) - floor(epoch(done_at)) as bigint) as age, cast(null as boolean) as stale from done
 union all select 'model', market, version, null, null, null from ({_REGISTRY}) where is_active
-union all select 'table', name, strftime(at, '%Y-%m-%d %H:%M:%S'), n, cast(round(date_diff('second', at, timestamp '{NOW}') / 3600.0) as bigint), round(date_diff('second', at, timestamp '{NOW}') / 3600.0) > {V.STALE_HOURS} from pub""",
+union all select 'table', name, strftime(done_at, '%Y-%m-%d %H:%M:%S'), n, cast(round(date_diff('second', done_at, timestamp '{NOW}') / 3600.0) as bigint), round(date_diff('second', done_at, timestamp '{NOW}') / 3600.0) > {V.STALE_HOURS} from pub""",
     ),
     "v4_board": (
         lambda t: V.board(t.games, _calls(t), F.lit(DAY).cast("date")),
