@@ -18,7 +18,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.find_copies(media.images_of_vectors(_read(spark, sf_dir, "embeddings")))
+    return media.find_copies(media.images_of_vectors(_read(spark, sf_dir, "embeddings"), edits=media.EDITS))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
