@@ -364,6 +364,34 @@ def test_toxicity(spark, odd, labels):
     assert toxicity.drop_toxic(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_toxicity_of_unseen_labels(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.held_out(d, lab).toPandas().set_index("toxic")
+    assert got["documents"].sum() > 500
+    assert got.loc[1, "rejected"] > 0.8 * got.loc[1, "documents"] and got.loc[0, "rejected"] < 0.01 * got.loc[0, "documents"]
+    assert got.loc[1, "severity"] > 1 > 0.1 > got.loc[0, "severity"]
+    assert toxicity.held_out(d, lab.limit(0)).count() == 0
+
+
+def test_toxicity_weighs_both_ways_and_reads_whole_texts(spark):
+    rng = np.random.default_rng(1)
+    word = lambda n: [f"common{k}" for k in rng.integers(0, 300, n)]
+    rows = []
+    for i in range(600):
+        bad = i % 2
+        marks = ["vilest"] * int(rng.integers(1, 4)) if bad else []
+        # half of the harmless texts hold a word that no toxic one does
+        marks += ["quoting"] if not bad and i % 4 == 0 else []
+        rows.append((i, " ".join([*word(60), *marks, *word(60)]), bad))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    weight = {w: sum(model.weights[model.features[f]] for f in toxicity.word_buckets(w) if f in model.features) for w in ("vilest", "quoting")}
+    assert weight["vilest"] > 0 > weight["quoting"]
+    long = " ".join(word(250_000))
+    assert model.above(long + " vilest")[0] > model.above(long)[0] and model.above("vilest quoting")[0] < model.above("vilest")[0]
+    assert (np.diff(model.thresholds) > 0).all()
+
+
 def test_ordinal_fit_recovers_thresholds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
