@@ -13,6 +13,8 @@ from fungo.plans.display import _CATEGORIES, _RESULTS, DIGITS, _category_sql, be
 from fungo.plans.market import _cdf, blend_sql, shift_sql
 
 _KEY = ["game_pk", "at_bat_index", "pitch_number"]
+#: Shares of a pitcher enter the predictors rounded, as the stored figures are.
+RATE_DIGITS = 4
 
 #: Quotes of totals and speeds for some games, drawn from the games themselves.
 LINES = """
@@ -170,7 +172,7 @@ def _frequency(market):
     def plan(t):
         asked = lambda who: t.pitches.select(who, "game_date").distinct()
         form = [asof.rolling_before(t.pitches, t.at_bats, who, asked(who), speed_digits=DIGITS) for who in ("pitcher_id", "batter_id")]
-        shares = A.category_rates(t.pitches, ["pitcher_id"], "result_category", _CATEGORIES, "start_speed", "avg_speed", 600, DIGITS)
+        shares = A.category_rates(t.pitches, ["pitcher_id"], "result_category", _CATEGORIES, "start_speed", "avg_speed", 600, DIGITS, RATE_DIGITS)
         results = A.category_rates(t.at_bats, ["pitcher_id"], "result", _RESULTS, "pitch_count", "avg_pitches", 200, DIGITS)
         positions = t.pitches.withColumn("pitch_count_pa", F.col("pitch_number") - 1)
         ctx = Q.context(positions, shares, results, *form, A.matchup_history(t.at_bats, 0), _hard_hit(t))
