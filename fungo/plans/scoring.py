@@ -173,7 +173,7 @@ def _frequency(market):
         asked = lambda who: t.pitches.select(who, "game_date").distinct()
         form = [asof.rolling_before(t.pitches, t.at_bats, who, asked(who), speed_digits=DIGITS) for who in ("pitcher_id", "batter_id")]
         shares = A.category_rates(t.pitches, ["pitcher_id"], "result_category", _CATEGORIES, "start_speed", "avg_speed", 600, DIGITS, RATE_DIGITS)
-        results = A.category_rates(t.at_bats, ["pitcher_id"], "result", _RESULTS, "pitch_count", "avg_pitches", 200, DIGITS)
+        results = A.category_rates(t.at_bats, ["pitcher_id"], "result", _RESULTS, "pitch_count", "avg_pitches", 200, DIGITS, RATE_DIGITS)
         positions = t.pitches.withColumn("pitch_count_pa", F.col("pitch_number") - 1)
         ctx = Q.context(positions, shares, results, *form, A.matchup_history(t.at_bats, 0), _hard_hit(t))
         out = Q.predict(ctx, market, _KEY, digits=DIGITS)

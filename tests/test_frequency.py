@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 KEY = ["game_pk", "at_bat_index", "pitch_number"]
 
 
-@pytest.mark.parametrize("name", ["r7_frequency_pitch_result"])
+@pytest.mark.parametrize("name", ["r7_frequency_pitch_result", "r7_frequency_pa_result"])
 def test_known_pitchers_equal_sql(spark, name):
     with duckdb.connect() as con:
         con.sql("set timezone='UTC'")
