@@ -145,6 +145,26 @@ def test_keep_one_similar_equals_brute_force(spark):
     assert len(kept) == want < 100
 
 
+def test_similar_texts_meet_by_their_fingerprints(spark, monkeypatch):
+    # no two texts share a band here, so only the trie join brings them together
+    bands = simhash.BANDS
+    monkeypatch.setattr(simhash, "band_keys", lambda x, seed=42: x[:1].view(np.int64) ^ x[-1:].view(np.int64) ^ np.int64(len(x)) ^ np.arange(bands))
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    rows = []
+    for i in range(40):
+        words = [str(w) for w in rng.choice(vocabulary, 400)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:200], "changed", *words[201:], "more"]))]
+        # as near in bits or not, a text of other words stays
+        rows.append((3 * i + 2, " ".join(str(w) for w in rng.choice(vocabulary, 2))))
+    codes, sets = [simhash.fingerprint(t, 5) for _, t in rows], [simhash.shingles(t) for _, t in rows]
+    close = [i for i in range(40) if (codes[3 * i] ^ codes[3 * i + 1]).bit_count() <= simhash.WIDE_BUDGET]
+    assert len(close) > 30 and all(simhash.similarity(sets[3 * i], sets[3 * i + 1]) >= 0.8 for i in close)
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {3 * i + 1 for i in range(40)} - kept == {3 * i + 1 for i in close}
+    assert all(3 * i in kept and 3 * i + 2 in kept for i in range(40))
+
+
 def test_similar_links_in_blocks_equal_brute_force(spark, monkeypatch):
     # a spread group: many texts are near each other but not near their band's hub
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", 8)
