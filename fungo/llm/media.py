@@ -2,17 +2,17 @@
 
 Corners are found at several scales, turned to the direction of their patch's
 centroid, and described by 128 comparisons of smoothed brightness. Hamming
-tables (some bits of a descriptor each) put corners into buckets. Images that
-share MIN_SHARED buckets are candidates; of a candidate pair all corners are
-compared, close ones vote for the turn, scale and shift that would lay one image
-over the other, and images link when enough corners agree.
-
-Only numbers of images and buckets are shuffled for the tables. In each bucket
-every image is first paired with one hub, the image of least hash, which is the
-same in most buckets of a group of copies. Images that are still in different
-components afterwards are paired all with all, but only where they share a deep
-bucket (DEEP_BITS bits), so that strangers that look alike do not meet. A group
-of copies costs about a star.
+tables (BITS bits of a descriptor each) put corners into buckets. Images whose
+close corners meet MIN_SHARED times in buckets are candidates; of a candidate
+pair all corners are compared, close ones vote for the turn, scale and shift that
+would lay one image over the other, and images link when enough corners agree.
+Whether two images are candidates depends on these two alone, not on the size of
+the table or of a bucket.
+
+In each bucket In each bucket every image is first paired with one hub, the image of least number,
+which is the same in most buckets of a group of copies. Images that are still in
+different components afterwards are paired all with all, large buckets in blocks.
+A group of copies costs about a star.
 
 Images with equal pixels enter once.
 """
@@ -29,15 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stage
+from .shared import drop_staged, split_hot, stage
 
 #: Descriptor: comparisons, patch radius, directions. Corners kept of 64 x 64 pixels of a level; a level has 1 / STEP the side of the one before.
 TESTS, RADIUS, TURNS, CORNERS, STEP = 128, 8, 24, 32, math.sqrt(2)
-#: Tables; bits of a bucket above the logarithm of the number of corners, their bounds, and bits of a deep bucket; buckets that candidates share.
-TABLES, SPARE_BITS, LEAST_BITS, MOST_BITS, DEEP_BITS, MIN_SHARED = 6, 13, 24, 44, 60, 3
+#: Tables; bits of a bucket, and bits drawn for each table; meetings of close corners that make candidates.
+TABLES, BITS, DEEP_BITS, MIN_SHARED = 6, 32, 60, 3
 #: Greatest distance of a match; corners that must agree within CELL pixels and two directions.
 NEAR, AGREE, CELL = 18, 5, 8
-#: Images of a bucket that are paired directly; comparisons and image pairs at once.
+#: Corners of a bucket in one block; comparisons and image pairs at once.
 BLOCK, PAIRS_AT_ONCE, IMAGES_AT_ONCE = 2_000, 500_000, 500
 CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "u1"), ("turn", "u1"), ("code", "<u8", (2,))])
 
@@ -104,15 +104,15 @@ def describe(image: np.ndarray) -> np.ndarray:
 
 
 def table_keys(codes: np.ndarray) -> np.ndarray:
-    """Deep bucket of each descriptor in each table: the table in the highest bits, the chosen bits in the lowest."""
+    """Chosen bits of each descriptor in each table, in the lowest bits; the table in the highest."""
     one = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
     weight = np.int64(1) << np.arange(DEEP_BITS, dtype=np.int64)
     return np.stack([one[:, places] @ weight + (np.int64(t) << DEEP_BITS) for t, places in enumerate(_pattern()[1])], -1)
 
 
-def _bucket(deep: Column, bits: int) -> Column:
-    """The table and the first ``bits`` of a deep bucket."""
-    return deep.bitwiseAND(((1 << bits) - 1) | (((1 << 63 - DEEP_BITS) - 1) << DEEP_BITS))
+def _near(a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Whether two descriptors, each in two columns, are close."""
+    return sum(F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)) <= NEAR
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +127,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, corners) to (node, deep), each deep bucket of an image once."""
+    """(node, corners) to (node, bucket, c0, c1), each descriptor of an image once in each table."""
+    mask = np.int64(((1 << 63 - DEEP_BITS) - 1) << DEEP_BITS | (1 << BITS) - 1)
     for batch in batches:
-        nodes, deep = [], []
+        nodes, buckets, codes = [], [], []
         for node, corners in zip(batch["node"].to_pylist(), batch["corners"], strict=True):
-            code = np.frombuffer(corners.as_py(), CORNER)["code"]
+            code = np.unique(np.frombuffer(corners.as_py(), CORNER)["code"], axis=0)
             if len(code):
-                deep.append(np.unique(table_keys(code)))
-                nodes.append(np.full(len(deep[-1]), node, np.int64))
+                buckets.append((table_keys(code) & mask).ravel())
+                codes.append(np.repeat(code.view(np.int64), TABLES, axis=0))
+                nodes.append(np.full(len(buckets[-1]), node, np.int64))
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(deep))], names=["node", "deep"])
+            both = np.concatenate(codes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(buckets)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["node", "bucket", "c0", "c1"])
 
 
 def matches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -214,20 +217,18 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _crossing(shared: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a deep bucket and are in different components."""
-    placed = _rooted(shared, stage(connected_components(links), "media_roots"), "node", "root").select("node", "deep", "root")
-    open_ = placed.groupBy("deep").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("deep", "n")
-    left = stage(placed.join(open_, "deep"), "open_buckets")
-
-    def met(rows: DataFrame, *keys: str) -> DataFrame:
-        other = rows.select(*keys, F.col("node").alias("b"), F.col("root").alias("root_b"))
-        return rows.select(*keys, F.col("node").alias("a"), "root").join(other, list(keys)).where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b")
-
-    few = met(left.where(F.col("n") <= block), "deep")
-    # images of a larger bucket meet in pairs of buckets: two that agree in as many corners as a link needs share a second one
-    many = left.where(F.col("n") > block).select("node", "root", F.col("deep").alias("first"))
-    second = many.join(left.select("node", F.col("deep").alias("second")), "node").where("first <> second")
-    return few.unionByName(met(second, "first", "second")).distinct()
+    """Candidates (a, b) that are in different components: all of them, ``block`` corners of a bucket against as many at once. ``shared`` is deleted."""
+    placed = _rooted(shared, stage(connected_components(links), "media_roots"), "node", "root").select("node", "bucket", "c0", "c1", "root")
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    open_rows = stage(placed.join(open_, "bucket", "left_semi"), "open_buckets")
+    drop_staged(shared)
+    left = split_hot(open_rows, ["bucket"], "node", block)
+    keys = ["bucket", "bi", "bj"]
+    one, two = (left.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "side", "c0", "c1"))) for end in "ab")
+    once = F.expr("if(bi = bj, node_a < node_b, side_a < side_b)")
+    met = one.join(two, keys).where(once & (F.col("root_a") != F.col("root_b")) & _near(("c0_a", "c1_a"), ("c0_b", "c1_b")))
+    pairs = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).count()
+    return pairs.where(F.col("count") >= MIN_SHARED).select("a", "b")
 
 
 def find_copies(media: DataFrame, id_col: str = "media_id", pixels_col: str = "pixels", width_col: str = "width", agree: int = AGREE, block: int = BLOCK) -> DataFrame:
@@ -245,20 +246,21 @@ def find_copies(media: DataFrame, id_col: str = "media_id", pixels_col: str = "p
     same = F.coalesce(shape, F.concat(F.lit("null"), F.coalesce("media_id", F.lit(-1))))
     described = stage(rows.withColumn("same", same).mapInArrow(_describe, "media_id long, same string, corners binary"), "described_media")
     distinct = described.groupBy("same").agg(F.min("media_id").alias("rep"), F.max("corners").alias("corners"))
-    # an image's node is its place in the staged table; on eight bytes the hash is one to one, so nodes are in a random order
-    images = stage(stage(distinct, "distinct_media").select("same", "rep", F.xxhash64(F.monotonically_increasing_id()).alias("node"), "corners"), "images")
-    corners = images.agg(F.sum(F.octet_length("corners"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, SPARE_BITS + math.ceil(math.log2(max(1, corners / CORNER.itemsize)))))
+    # an image's node is its place in the staged table, a number that packs well in the many rows of corners
+    placed_once = stage(distinct, "distinct_media")
+    images = stage(placed_once.select("same", "rep", F.monotonically_increasing_id().alias("node"), "corners"), "images")
+    drop_staged(placed_once)
     sets = images.where(F.octet_length("corners") > 0).select("node", "corners")
-    keys = sets.mapInArrow(_keys, "node long, deep long").withColumn("bucket", _bucket(F.col("deep"), bits)).repartition("bucket")
-    hubs = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = stage(keys.join(hubs, "bucket"), "shared_buckets")
-    stars = stage(shared.where("node <> hub").select("node", "hub", "bucket").distinct().groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).count().where(F.col("count") >= MIN_SHARED), "media_stars")
+    keys = sets.mapInArrow(_keys, "node long, bucket long, c0 long, c1 long").repartition("bucket")
+    hubs = keys.groupBy("bucket").agg(F.min(F.struct("node", "c0", "c1")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
+    shared = stage(keys.join(hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.c0").alias("h0"), F.col("hub.c1").alias("h1")), "bucket"), "shared_buckets")
+    to_hub = shared.where((F.col("node") != F.col("hub")) & _near(("c0", "c1"), ("h0", "h1")))
+    stars = stage(to_hub.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).count().where(F.col("count") >= MIN_SHARED), "media_stars")
     # each image with the hub that it shares most with; then other hubs, where still apart; then all others
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
     links = _checked(best, sets, agree, "best_links")
     links = links.unionByName(_checked(_apart(stars.select("a", "b"), links), sets, agree, "hub_links"))
-    links = links.unionByName(_checked(_crossing(shared.select("node", "deep"), links, block), sets, agree, "other_links"))
+    links = links.unionByName(_checked(_crossing(shared, links, block), sets, agree, "other_links"))
     placed = stage(_rooted(images.select("same", "rep", "node"), stage(connected_components(links), "media_roots"), "node", "root"), "placed_media")
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = placed.join(named, "root").select("same", "component_id")

@@ -83,3 +83,18 @@ def test_group_of_copies_is_one_component(spark):
     rows += [(100 + i, bytearray(_image(50 + i).astype(np.uint8).tobytes()), 64) for i in range(10)]
     got = media.find_copies(spark.createDataFrame(rows, "media_id long, pixels binary, width int")).toPandas().set_index("media_id").sort_index()
     assert (got.component_id.loc[:59] == 0).all() and all(got.component_id[100 + i] == 100 + i for i in range(10))
+
+
+def test_components_do_not_depend_on_the_size_of_the_table_or_of_a_bucket(spark):
+    rows = []
+    for i in range(40):
+        image = _image(i)
+        for k, x in enumerate((image, np.rint(media.turned(image, 12)))):
+            rows.append((2 * i + k, bytearray(np.clip(x, 0, 255).astype(np.uint8).tobytes()), x.shape[1]))
+    strangers = [(1_000 + i, bytearray(_image(500 + i).astype(np.uint8).tobytes()), 64) for i in range(600)]
+    schema, found = "media_id long, pixels binary, width int", []
+    for some, block in ((rows, 2_000), (rows + strangers, 2_000), (rows + strangers, 2)):
+        got = media.find_copies(spark.createDataFrame(some, schema).repartition(4), block=block).toPandas().set_index("media_id").component_id
+        found.append(got.sort_index().loc[:999].tolist())
+    assert found[0] == found[1] == found[2]
+    assert sum(a == b for a, b in zip(found[0][::2], found[0][1::2], strict=True)) > 5
