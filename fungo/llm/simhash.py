@@ -36,8 +36,10 @@ BITS = 64
 #: A task of more fingerprints than this is split at the next levels of the trie.
 TASK_FINGERPRINTS = 200_000
 SPLIT_BITS = 4
-#: Node pairs held at once inside a task, and leaf pairs below which a node pair is resolved directly.
-PAIRS_AT_ONCE, LEAF_PAIRS = 1_000_000, 64
+#: Rows of whole tasks walked at once.
+ROWS_AT_ONCE = 50_000
+#: Node pairs of a level, or leaf pairs, held at once inside a task, and leaf pairs below which a node pair is resolved directly.
+PAIRS_AT_ONCE, LEAF_PAIRS = 100_000, 64
 SLICE_BYTES = 1 << 20
 #: Bits for edited copies: 0.13 of the pairs at similarity 0.8 are that close and 0.50 of those at 0.9, as calculated.
 WIDE_BUDGET = 6
@@ -113,6 +115,18 @@ class _Forest:
                 self.label = up
 
 
+def _leaf_pairs(na: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pair, i, j): for each node pair all places of its na leaves with all of its nb, PAIRS_AT_ONCE at once or one node pair."""
+    size = na * nb
+    total, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+        pair = np.repeat(np.arange(lo, hi), size[lo:hi])
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(size[lo:hi]) - size[lo:hi], size[lo:hi])
+        yield pair, k // nb[pair], k % nb[pair]
+        lo = hi
+
+
 def trie_join(codes: np.ndarray, starts: tuple[np.ndarray, ...], depth: int, budget: int, forest: _Forest) -> None:
     """Link the positions of ``codes`` (unsigned) whose bits differ in ``budget`` places or fewer.
 
@@ -134,12 +148,10 @@ def trie_join(codes: np.ndarray, starts: tuple[np.ndarray, ...], depth: int, bud
         alo, ahi, blo, bhi, diff = (x[new] for x in (alo, ahi, blo, bhi, diff))
         na, nb, own = ahi - alo, bhi - blo, alo == blo
         few = na * nb <= LEAF_PAIRS
-        if few.any():
-            size = (na * nb)[few]
-            pair = np.repeat(np.flatnonzero(few), size)
-            k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
-            a, b = alo[pair] + k // nb[pair], blo[pair] + k % nb[pair]
-            near = (~own[pair] | (a < b)) & (_popcount(codes[a] ^ codes[b]) <= budget)
+        first_a, first_b, same = alo[few], blo[few], own[few]
+        for pair, i, j in _leaf_pairs(na[few], nb[few]):
+            a, b = first_a[pair] + i, first_b[pair] + j
+            near = (~same[pair] | (a < b)) & (_popcount(codes[a] ^ codes[b]) <= budget)
             forest.link(a[near], b[near])
         alo, ahi, blo, bhi, diff, own = (x[~few] for x in (alo, ahi, blo, bhi, diff, own))
         if not len(alo):
@@ -170,15 +182,37 @@ def _rotate(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     return (x << by) | (x >> ((np.uint64(64) - by) & np.uint64(63))) * (by > 0).astype(np.uint64)
 
 
+KEY = ["turn", "depth", "pa", "pb"]
+
+
+def _whole_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in the order of KEY, about ROWS_AT_ONCE of them or one task at once; no task is cut."""
+    held, n, due = [], 0, ROWS_AT_ONCE
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n < due:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        ends = np.flatnonzero((rows[KEY].to_numpy(np.int64) != rows[KEY].iloc[-1].to_numpy(np.int64)).any(1))
+        whole = ends[-1] + 1 if len(ends) else 0
+        if whole:
+            yield rows[:whole]
+        held, n = [rows[whole:]], len(rows) - whole
+        due = max(ROWS_AT_ONCE, 2 * n)
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _join_tasks(budget: int):
-    """mapInPandas function: rows (turn, depth, pa, pb, side, code) of whole tasks to links (a, b)."""
+    """mapInPandas function: rows (turn, depth, pa, pb, side, code) of whole tasks, in the order of KEY, to links (a, b)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [x for x in batches if len(x)]
-        if not frames:
-            return
-        all_rows = pd.concat(frames, ignore_index=True)
-        for depth, rows in all_rows.groupby("depth"):
+        for some in _whole_tasks(batches):
+            yield from joined(some)
+
+    def joined(some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for depth, rows in some.groupby("depth"):
             code = rows["code"].to_numpy(np.int64).view(np.uint64)
             turn, pa, pb, side = (rows[c].to_numpy(np.int64) for c in ("turn", "pa", "pb", "side"))
             order = np.lexsort((code, side, pb, pa, turn))
@@ -214,7 +248,7 @@ def links(codes: DataFrame, budget: int = 3, task_fingerprints: int = TASK_FINGE
         F.explode(F.array(*(F.struct(F.lit(i * width).alias("turn"), (F.shiftleft("code", i * width).bitwiseOR(F.shiftrightunsigned("code", BITS - i * width)) if i else F.col("code")).alias("code")) for i in range(blocks)))).alias("x")
     ).select("x.*")
     tasks = turned.select("turn", F.lit(width).alias("depth"), _prefix(F.col("code"), width).alias("pa"), _prefix(F.col("code"), width).alias("pb"), F.lit(0).alias("side"), "code")
-    key, depth, ready = ["turn", "depth", "pa", "pb"], width, []
+    key, depth, ready = KEY, width, []
     while True:
         sizes = tasks.groupBy(key).count()
         large = stage(sizes.where(F.col("count") > task_fingerprints).drop("count"), "large_tasks")
@@ -238,7 +272,7 @@ def links(codes: DataFrame, budget: int = 3, task_fingerprints: int = TASK_FINGE
         )
     out = None
     for part in ready:
-        found = part.repartition(*key).mapInPandas(_join_tasks(budget), "a long, b long")
+        found = part.repartition(*key).sortWithinPartitions(*key).mapInPandas(_join_tasks(budget), "a long, b long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -106,6 +106,52 @@ def test_trie_join_on_dense_codes(spark, task):
     assert (_roots(ids, np.bitwise_count(c[:, None] ^ c) <= 3) == [got.get(int(x), int(x)) for x in ids]).all()
 
 
+def _task_rows(codes, budget):
+    """Rows of the tasks of all blocks but the first, in the order in which Spark hands them over."""
+    width, frames = 64 // (budget + 1), []
+    for turn in range(width, width * (budget + 1), width):
+        turned = (codes << np.uint64(turn)) | (codes >> np.uint64(64 - turn))
+        top = (turned >> np.uint64(64 - width)).astype(np.int64)
+        frames.append(pd.DataFrame({"turn": turn, "depth": width, "pa": top, "pb": top, "side": 0, "code": turned.view(np.int64)}))
+    return pd.concat(frames).sort_values(simhash.KEY, ignore_index=True)
+
+
+def test_trie_task_holds_little_however_many_rows_a_partition_has():
+    import tracemalloc
+
+    rows, run, peaks = _task_rows(np.random.default_rng(2).integers(0, 2**63, 40_000, dtype=np.uint64), simhash.WIDE_BUDGET), simhash._join_tasks(simhash.WIDE_BUDGET), []
+    for n in (len(rows) // 4, len(rows)):
+        tracemalloc.start()
+        for _ in run(rows[at : at + 500] for at in range(0, n, 500)):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 100 << 20 and peaks[1] < 1.5 * peaks[0]
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 300, 10_000])
+def test_batches_of_whole_tasks_cut_none(monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "ROWS_AT_ONCE", at_once)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+    rng = np.random.default_rng(4)
+    c = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    c = np.unique(np.concatenate([c, c ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)), np.uint64(5) << np.arange(20, dtype=np.uint64)]))
+    rows = _task_rows(c, 3)
+    parts = list(simhash._whole_tasks(rows[at : at + 7] for at in range(0, len(rows), 7)))
+    assert pd.concat(parts, ignore_index=True).equals(rows)
+    keys = [set(x[simhash.KEY].itertuples(index=False, name=None)) for x in parts]
+    assert sum(map(len, keys)) == len(set().union(*keys))
+    found = pd.concat(simhash._join_tasks(3)(rows[at : at + 7] for at in range(0, len(rows), 7)))
+    linked = np.eye(len(c), dtype=bool)
+    place = {int(x): i for i, x in enumerate(c.view(np.int64))}
+    for a, b in found.itertuples(index=False):
+        linked[place[a], place[b]] = linked[place[b], place[a]] = True
+    apart = c[:, None] ^ c
+    # what the blocks reach: codes that agree in one of them but the first
+    blocks = [(apart >> np.uint64(16 * i)) & np.uint64(0xFFFF) == 0 for i in range(3)]
+    assert (_roots(np.arange(len(c)), linked) == _roots(np.arange(len(c)), (np.bitwise_count(apart) <= 3) & np.any(blocks, 0))).all()
+
+
 def test_simhash_odd_rows(odd):
     got = simhash.near_duplicates(odd).toPandas()
     assert len(got) == len(ODD)
