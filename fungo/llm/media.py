@@ -1,15 +1,18 @@
 """Cropped and edited copies of images, by local descriptors.
 
 Corners are found at several scales, turned to the direction of their patch's
-centroid, and described by 128 comparisons of smoothed brightness. Hamming
-tables (BITS bits of a descriptor each) put corners into buckets. Images whose
-close corners meet MIN_SHARED times in buckets are candidates; of a candidate
-pair all corners are compared, close ones vote for the turn, scale and shift that
-would lay one image over the other, and images link when enough corners agree.
-Whether two images are candidates depends on these two alone, not on the size of
-the table or of a bucket.
-
-In each bucket In each bucket every image is first paired with one hub, the image of least number,
+centroid, and described by 128 comparisons of smoothed brightness. Each corner
+with each of its NEIGHBOURS nearest corners makes a row; a bucket takes BITS bits
+of the one descriptor, BITS of the other, and the difference of their levels.
+Images are candidates if MIN_SHARED such rows meet: in a bucket, both corners close,
+the turn from one to the other the same. Two strangers often share a corner that
+looks alike, but seldom two of them side by side, so few strangers meet. Of a
+candidate pair all corners are compared, close ones vote for the turn, scale and
+shift that would lay one image over the other, and images link when enough corners
+agree. Whether two images are candidates depends on these two alone, not on the
+size of the table or of a bucket.
+
+In each bucket every image is first paired with one hub, the image of least number,
 which is the same in most buckets of a group of copies. Images that are still in
 different components afterwards are paired all with all, large buckets in blocks.
 A group of copies costs about a star.
@@ -33,11 +36,13 @@ from .shared import drop_staged, split_hot, stage
 
 #: Descriptor: comparisons, patch radius, directions. Corners kept of 64 x 64 pixels of a level; a level has 1 / STEP the side of the one before.
 TESTS, RADIUS, TURNS, CORNERS, STEP = 128, 8, 24, 32, math.sqrt(2)
-#: Tables; bits of a bucket, and bits drawn for each table; meetings of close corners that make candidates.
-TABLES, BITS, DEEP_BITS, MIN_SHARED = 6, 32, 60, 3
+#: Orders of bits, and bits drawn for each; bits of either corner in a bucket; corners that each corner is paired with; meetings that make candidates.
+TABLES, DEEP_BITS, BITS, NEIGHBOURS, MIN_SHARED = 6, 60, 16, 6, 1
+#: A level's difference counts as so many pixels of distance; greatest difference of directions from corner to neighbour; levels are under 64.
+LEVEL_PIXELS, TURN_SLACK, LEVELS = 3, 2, 64
 #: Greatest distance of a match; corners that must agree within CELL pixels and two directions.
 NEAR, AGREE, CELL = 18, 5, 8
-#: Corners of a bucket in one block; comparisons and image pairs at once.
+#: Rows of a bucket in one block; comparisons and image pairs at once.
 BLOCK, PAIRS_AT_ONCE, IMAGES_AT_ONCE = 2_000, 500_000, 500
 CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "u1"), ("turn", "u1"), ("code", "<u8", (2,))])
 
@@ -110,9 +115,16 @@ def table_keys(codes: np.ndarray) -> np.ndarray:
     return np.stack([one[:, places] @ weight + (np.int64(t) << DEEP_BITS) for t, places in enumerate(_pattern()[1])], -1)
 
 
-def _near(a: tuple[str, str], b: tuple[str, str]) -> Column:
-    """Whether two descriptors, each in two columns, are close."""
-    return sum(F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)) <= NEAR
+PAIR = ("c0", "c1", "n0", "n1", "turn")
+KEY_COLUMNS = "node long, bucket long, c0 long, c1 long, n0 long, n1 long, turn int"
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether two rows of PAIR, in columns named by ``a`` and ``b`` with {} for the name, hold close corners and the same turn."""
+    x, y = ({c: F.col(n.format(c)) for c in PAIR} for n in (a, b))
+    apart = {c: F.bit_count(x[c].bitwiseXOR(y[c])) for c in PAIR[:4]}
+    turn = F.pmod(x["turn"] - y["turn"] + TURN_SLACK, F.lit(TURNS)) <= 2 * TURN_SLACK
+    return (apart["c0"] + apart["c1"] <= NEAR) & (apart["n0"] + apart["n1"] <= NEAR) & turn
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,20 +138,32 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some["media_id"], some["same"], pa.array(found, pa.binary())], names=["media_id", "same", "corners"])
 
 
+def pair_rows(corners: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bucket, i, k, turn): each corner with its nearest ones, by places in ``corners``."""
+    at = np.stack([corners["x"], corners["y"]], 1).astype(float)
+    level = corners["scale"].astype(np.int64)
+    away = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)) + LEVEL_PIXELS * np.abs(level[:, None] - level)
+    np.fill_diagonal(away, np.inf)
+    nearest = np.argsort(away, axis=1, kind="stable")[:, : min(NEIGHBOURS, len(corners) - 1)]
+    i, k = np.repeat(np.arange(len(corners)), nearest.shape[1]), nearest.ravel()
+    keys, mask = table_keys(corners["code"]), np.int64((1 << BITS) - 1)
+    bucket = (keys[i, 0] & mask) | ((keys[k, 1] & mask) << BITS) | ((level[k] - level[i] + LEVELS) << 2 * BITS)
+    return bucket, i, k, (corners["turn"][k].astype(np.int32) - corners["turn"][i]) % TURNS
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, corners) to (node, bucket, c0, c1), each descriptor of an image once in each table."""
-    mask = np.int64(((1 << 63 - DEEP_BITS) - 1) << DEEP_BITS | (1 << BITS) - 1)
+    """(node, corners) to (node, bucket, c0, c1, n0, n1, turn), each descriptor of an image once."""
     for batch in batches:
-        nodes, buckets, codes = [], [], []
-        for node, corners in zip(batch["node"].to_pylist(), batch["corners"], strict=True):
-            code = np.unique(np.frombuffer(corners.as_py(), CORNER)["code"], axis=0)
-            if len(code):
-                buckets.append((table_keys(code) & mask).ravel())
-                codes.append(np.repeat(code.view(np.int64), TABLES, axis=0))
-                nodes.append(np.full(len(buckets[-1]), node, np.int64))
-        if nodes:
-            both = np.concatenate(codes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(buckets)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["node", "bucket", "c0", "c1"])
+        found = []
+        for node, raw in zip(batch["node"].to_pylist(), batch["corners"], strict=True):
+            corners = np.frombuffer(raw.as_py(), CORNER)
+            corners = corners[np.sort(np.unique(corners["code"], axis=0, return_index=True)[1])]
+            if len(corners) > 1:
+                bucket, i, k, turn = pair_rows(corners)
+                code = corners["code"].view(np.int64).reshape(-1, 2)
+                found.append((np.full(len(i), node, np.int64), bucket, *code[i].T, *code[k].T, turn.astype(np.int32)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["node", "bucket", *PAIR])
 
 
 def matches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -217,16 +241,16 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _crossing(shared: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """Candidates (a, b) that are in different components: all of them, ``block`` corners of a bucket against as many at once. ``shared`` is deleted."""
-    placed = _rooted(shared, stage(connected_components(links), "media_roots"), "node", "root").select("node", "bucket", "c0", "c1", "root")
+    """Candidates (a, b) that are in different components: all of them, ``block`` rows of a bucket against as many at once. ``shared`` is deleted."""
+    placed = _rooted(shared, stage(connected_components(links), "media_roots"), "node", "root").select("node", "bucket", *PAIR, "root")
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     open_rows = stage(placed.join(open_, "bucket", "left_semi"), "open_buckets")
     drop_staged(shared)
     left = split_hot(open_rows, ["bucket"], "node", block)
     keys = ["bucket", "bi", "bj"]
-    one, two = (left.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "side", "c0", "c1"))) for end in "ab")
+    one, two = (left.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "side", *PAIR))) for end in "ab")
     once = F.expr("if(bi = bj, node_a < node_b, side_a < side_b)")
-    met = one.join(two, keys).where(once & (F.col("root_a") != F.col("root_b")) & _near(("c0_a", "c1_a"), ("c0_b", "c1_b")))
+    met = one.join(two, keys).where(once & (F.col("root_a") != F.col("root_b")) & _close("{}_a", "{}_b"))
     pairs = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).count()
     return pairs.where(F.col("count") >= MIN_SHARED).select("a", "b")
 
@@ -239,7 +263,7 @@ def find_copies(media: DataFrame, id_col: str = "media_id", pixels_col: str = "p
     link with nothing but images of the same bytes. Nulls are no copies of each
     other. An image without an id links like any other and is never kept; a
     component of such images alone is null. An empty table gives no row. Other
-    columns are not read.
+    columns are not read. ``agree`` is two or more, as candidates share two corners.
     """
     rows = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(pixels_col).alias("pixels"), F.col(width_col).cast("int").alias("width"))
     shape = F.sha2(F.concat(F.coalesce("width", F.lit(-1)).cast("string").cast("binary"), F.lit(b":"), F.col("pixels")), 256)
@@ -251,10 +275,10 @@ def find_copies(media: DataFrame, id_col: str = "media_id", pixels_col: str = "p
     images = stage(placed_once.select("same", "rep", F.monotonically_increasing_id().alias("node"), "corners"), "images")
     drop_staged(placed_once)
     sets = images.where(F.octet_length("corners") > 0).select("node", "corners")
-    keys = sets.mapInArrow(_keys, "node long, bucket long, c0 long, c1 long").repartition("bucket")
-    hubs = keys.groupBy("bucket").agg(F.min(F.struct("node", "c0", "c1")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
-    shared = stage(keys.join(hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.c0").alias("h0"), F.col("hub.c1").alias("h1")), "bucket"), "shared_buckets")
-    to_hub = shared.where((F.col("node") != F.col("hub")) & _near(("c0", "c1"), ("h0", "h1")))
+    keys = sets.mapInArrow(_keys, KEY_COLUMNS).repartition("bucket")
+    hubs = keys.groupBy("bucket").agg(F.min(F.struct("node", *PAIR)).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
+    shared = stage(keys.join(hubs.select("bucket", F.col("hub.node").alias("hub"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in PAIR)), "bucket"), "shared_buckets")
+    to_hub = shared.where((F.col("node") != F.col("hub")) & _close("{}", "hub_{}"))
     stars = stage(to_hub.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).count().where(F.col("count") >= MIN_SHARED), "media_stars")
     # each image with the hub that it shares most with; then other hubs, where still apart; then all others
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")

@@ -98,3 +98,31 @@ def test_components_do_not_depend_on_the_size_of_the_table_or_of_a_bucket(spark)
         found.append(got.sort_index().loc[:999].tolist())
     assert found[0] == found[1] == found[2]
     assert sum(a == b for a, b in zip(found[0][::2], found[0][1::2], strict=True)) > 5
+
+
+def _meets(a, b):
+    """Whether the rows of pairs of corners of two images meet."""
+    (x, i, k, t), (y, j, m, u) = media.pair_rows(a), media.pair_rows(b)
+    close = np.bitwise_count(a["code"][:, None] ^ b["code"]).sum(2) <= media.NEAR
+    same = (x[:, None] == y) & ((t[:, None] - u + media.TURN_SLACK) % media.TURNS <= 2 * media.TURN_SLACK)
+    return int((same & close[i[:, None], j] & close[k[:, None], m]).sum()) >= media.MIN_SHARED
+
+
+def test_copies_are_candidates_and_strangers_seldom():
+    images = [_image(i) for i in range(40)]
+    here = [media.describe(x) for x in images]
+    for kind in range(3):
+        assert all(_meets(a, media.describe(np.rint(np.clip(media.edited(x, kind), 0, 255)))) for a, x in zip(here, images, strict=True))
+    assert sum(_meets(here[i], here[j]) for i in range(40) for j in range(i)) <= 1
+
+
+def test_strangers_of_few_directions_do_not_meet_with_their_square(spark):
+    # images of like waves: single corners of strangers meet in many buckets, neighbouring pairs of them hardly
+    rng, rows = np.random.default_rng(6), []
+    for n in range(300):
+        v = rng.normal(size=64) @ media._waves(64)
+        rows.append((n, media.describe(np.rint(np.clip(128 + 48 * v / v.std(), 0, 255)).reshape(64, 64)).tobytes()))
+    sets = spark.createDataFrame([(n, bytearray(c)) for n, c in rows], "node long, corners binary")
+    found = sets.mapInArrow(media._keys, media.KEY_COLUMNS)
+    one, two = (found.select("bucket", *(found[c].alias(f"{c}_{e}") for c in found.columns if c != "bucket")) for e in "ab")
+    assert one.join(two, "bucket").where((one["node_a"] < two["node_b"]) & media._close("{}_a", "{}_b")).count() <= 30
