@@ -107,7 +107,7 @@ PLANS = {
         f"with {_CTX}, r as (select *, {blend_sql('pk', 0.221, 'pa', 150.0)} as k0, {blend_sql('bk', 0.221, 'ba', 150.0)} as k1, {blend_sql('pbb', 0.087, 'pa', 150.0)} as w0, case when strikes >= 2 then 1 else 0 end as two, case when balls >= 3 then 1 else 0 end as three from ctx), q as (select *, case when bk is not null then (k0 + k1) / 2 else k0 end + 0.08 * two as k, w0 + 0.12 * three as w, 0.239::double - 0.04 * two as h, 0.453::double - 0.04 * two - 0.06 * three as o from r) select game_pk, at_bat_index, pitch_number, round(k / (k + w + h + o), 6) as p_strikeout, round(w / (k + w + h + o), 6) as p_walk, round(h / (k + w + h + o), 6) as p_hit, round(o / (k + w + h + o), 6) as p_out, round(greatest(k, w, h, o) / (k + w + h + o), 6) as confidence from q",
     ),
     "r3_r8_speed_over_line": (
-        lambda t: (lambda ctx, ms: ctx.withColumn("mu", F.round(ms[0], 2)).withColumn("line", F.floor(F.col("mu") * 2 + 0.5) / 2).withColumns(R.over_line(F.col("mu"), ms[1], F.col("line"))).select(*_KEY, "mu", "line", "recommendation", "confidence", "edge"))(_context(t), R.pitch_speed()),
+        lambda t: (lambda ctx, ms: ctx.withColumn("mu", P.rounded(ms[0], 2)).withColumn("line", F.floor(F.col("mu") * 2 + 0.5) / 2).withColumns(R.over_line(F.col("mu"), ms[1], F.col("line"))).select(*_KEY, "mu", "line", "recommendation", "confidence", "edge"))(_context(t), R.pitch_speed()),
         f"with {_CTX}, m as (select *, round({blend_sql('pv', 92.8, 'pp', 300.0)} - 2.2 - case when strikes = 2 then 0.4 else 0.0 end + case when balls = 3 then 0.3 else 0.0 end, 2) as mu from ctx), l as (select *, floor(mu * 2 + 0.5) / 2 as line from m), o as (select *, 1 - {_cdf('((line - mu) / 5.4::double)')} as ov from l) select game_pk, at_bat_index, pitch_number, mu, line, case when ov >= 0.5 then 'over' else 'under' end as recommendation, round(greatest(ov, 1 - ov), 4) as confidence, round(greatest(ov, 1 - ov) - 0.5, 4) as edge from o",
     ),
     "r5_game_totals": (
