@@ -15,17 +15,8 @@ STALE_HOURS = 36
 LIVE = ("In Progress", "Delayed", "Suspended", "Warmup")
 
 
-def positions(pitches: DataFrame) -> DataFrame:
-    """Each position (game, plate appearance, k): the pitch already thrown there (``at``) and the one thrown next (``next``).
-
-    Both sides of a pitch come from one pass: it is the pitch thrown at its own
-    number and the next one at the number before.
-    """
-    known = F.struct("inning", "top_inning", "balls", "strikes", "outs", "pitch_type")
-    roles = F.array(F.struct(F.col("pitch_number").alias("k"), F.lit("at").alias("role")), F.struct((F.col("pitch_number") - 1).alias("k"), F.lit("next").alias("role")))
-    rows = pitches.where("pitch_number is not null").select("game_pk", "at_bat_index", known.alias("p"), F.explode(roles).alias("r")).select("game_pk", "at_bat_index", "p", "r.*")
-    pick = lambda role: F.max(F.when(F.col("role") == role, F.col("p"))).alias(role)
-    return rows.groupBy("game_pk", "at_bat_index", F.col("k").cast("int").alias("pitch_number")).agg(pick("at"), pick("next"))
+#: What the feed tells of a call itself.
+CALLED = ("id", "official_date", "game_pk", "game_label", "at_bat_index", "pitch_number", "market", "recommendation", "predicted_value", "line", "confidence", "result", "actual_value", "actual_label", "profit_units", "backfilled")
 
 
 def graded_feed(calls: DataFrame, games: DataFrame, at_bats: DataFrame, pitches: DataFrame, names: DataFrame | None = None, graded_only: bool = False) -> DataFrame:
@@ -34,46 +25,46 @@ def graded_feed(calls: DataFrame, games: DataFrame, at_bats: DataFrame, pitches:
     The situation is that of the pitch already thrown; before the first pitch of
     a plate appearance it is read off that first pitch, at 0-0. Where the pitch is
     not known it stays null. The day is the game's, not the call's instant.
+
+    Calls, pitches and players of a plate appearance are put in one sequence, and a
+    call finds the pitch at its own place and the one at the next by their numbers.
+    So calls, the widest and most rows, go to their game and plate appearance at most
+    (nowhere if all inputs lie by game) and never to a position or player. Names join
+    the plate appearances, which are fewer.
     """
     kept = calls.where(F.col("result").isNotNull()) if graded_only else calls
     slate = games.groupBy("game_pk").agg(F.max("game_date").alias("official_date"), F.max(F.concat_ws(" @ ", F.col("away_team_id").cast("string"), F.col("home_team_id").cast("string"))).alias("game_label"))
-    players = at_bats.groupBy("game_pk", "at_bat_index").agg(F.min("pitcher_id").alias("pitcher_id"), F.min("batter_id").alias("batter_id"))
-    j = kept.join(slate, "game_pk").join(players, ["game_pk", "at_bat_index"], "left").join(positions(pitches), ["game_pk", "at_bat_index", "pitch_number"], "left")
+    players = at_bats.where("at_bat_index is not null").groupBy("game_pk", "at_bat_index").agg(F.min("pitcher_id").alias("pitcher_id"), F.min("batter_id").alias("batter_id"))
+    who = ["pitcher_id", "batter_id"]
+    if names is not None:
+        known = names.where("player_id is not null").groupBy("player_id").agg(F.min("full_name").alias("full_name"))
+        for role in ("pitcher", "batter"):
+            players = players.join(known.select(F.col("player_id").alias(f"{role}_id"), F.col("full_name").alias(f"{role}_name")), f"{role}_id", "left")
+        who += ["pitcher_name", "batter_name"]
+        players = players.repartition("game_pk")  # as the calls lie by now, so that they stay where they are
+    call = kept.join(slate, "game_pk").select(*CALLED, F.lit(True).alias("__call"))
+    place = ["game_pk", "at_bat_index"]
+    thrown = pitches.where("at_bat_index is not null and pitch_number is not null").select(*place, "pitch_number", F.struct("inning", "top_inning", "balls", "strikes", "outs", "pitch_type").alias("__thrown"))
+    both = call.unionByName(thrown, allowMissingColumns=True).unionByName(players.select(*place, F.struct(*who).alias("__who")), allowMissingColumns=True)
+    w = Window.partitionBy(*place).orderBy("pitch_number")
+    found = {"at": F.max("__thrown").over(w.rangeBetween(0, 0)), "next": F.max("__thrown").over(w.rangeBetween(1, 1)), "who": F.max("__who").over(w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
+    j = both.withColumns(found).where("__call")
     opener = F.col("pitch_number") == 0
     sit = F.coalesce("at", F.when(opener, F.col("next")))
     said = F.when(F.col("at").isNotNull(), F.concat_ws("-", F.coalesce("at.balls", F.lit(0)), F.coalesce("at.strikes", F.lit(0)))).when(opener & F.col("next").isNotNull(), "0-0")
-    out = j.select(
-        "id",
-        "official_date",
-        "game_pk",
-        "game_label",
-        "at_bat_index",
-        "pitch_number",
-        "market",
-        "recommendation",
-        "predicted_value",
-        "line",
-        "confidence",
-        "result",
-        "actual_value",
-        "actual_label",
+    return j.select(
+        *CALLED[:-2],
         F.round(F.col("predicted_value") - F.col("actual_value"), 2).alias("miss"),
         "profit_units",
-        "pitcher_id",
-        "batter_id",
+        *(f"who.{c}" for c in who[:2]),
         sit["inning"].alias("inning"),
         F.when(sit["top_inning"], "top").when(~sit["top_inning"], "bottom").alias("half"),
         said.alias("count_text"),
         sit["outs"].alias("outs"),
         F.col("next.pitch_type").alias("next_pitch_type"),
         "backfilled",
+        *(f"who.{c}" for c in who[2:]),
     )
-    if names is None:
-        return out
-    known = names.where("player_id is not null").groupBy("player_id").agg(F.min("full_name").alias("full_name"))
-    for role in ("pitcher", "batter"):
-        out = out.join(known.select(F.col("player_id").alias(f"{role}_id"), F.col("full_name").alias(f"{role}_name")), f"{role}_id", "left")
-    return out
 
 
 def feed_summary(feed: DataFrame) -> DataFrame:
